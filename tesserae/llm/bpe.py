@@ -8,6 +8,8 @@ which bounds memory without changing any id.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 
@@ -20,7 +22,7 @@ def default_path() -> str:
 class Encoder:
     """Encodes whole texts; ids come back as little-endian uint16 or uint32 bytes."""
 
-    def __init__(self, path: str | None = None, memo_limit: int = 600_000):
+    def __init__(self, path: str | None = None, memo_limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
@@ -30,6 +32,7 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)  # tokens whose first byte is a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
+        self.tails = dict(zip(",.", self._plain([",", "."]), strict=True))
         self.memo: dict[str, bytes | None] = {}
         self.memo_limit = memo_limit
 
@@ -39,12 +42,16 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """A chunk with white space at either end gets None: its texts are encoded whole."""
-        good = []
+        good, ended = [], []
+        memo, tails = self.memo, self.tails
         for c in chunks:
-            if c and not c[0].isspace() and not c[-1].isspace():
-                good.append(c)
+            if not c or c[0].isspace() or c[-1].isspace():
+                memo[c] = None
+            elif c[-1] in tails and len(c) > 1 and c[-2].isalpha():
+                ended.append(c)  # a mark after a letter is a token of its own
             else:
-                self.memo[c] = None
+                good.append(c)
+        good += {c[:-1] for c in ended}.difference(memo, good)
         for at in range(0, len(good), 4096):
             some = good[at : at + 4096]
             (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
@@ -58,6 +65,8 @@ class Encoder:
             ends = [*(starts[1:] * width).tolist(), len(raw)]
             for c, a, b in zip(some, (starts * width).tolist(), ends, strict=True):
                 self.memo[c] = raw[a:b]
+        for c in ended:
+            memo[c] = memo[c[:-1]] + tails[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -80,8 +89,8 @@ class Encoder:
             seen.update(p)
             p[0] = p0
         seen.discard(None)  # type: ignore[arg-type]
-        if len(self.memo) + len(seen) > self.memo_limit:
-            self.memo = {}
+        if len(self.memo) + len(seen) > self.memo_limit:  # keep what this block uses
+            self.memo = {c: self.memo[c] for c in seen if c in self.memo}
         self._learn(list(seen.difference(self.memo)))
         get, whole = self.memo.__getitem__, []
         for k, (p, head) in enumerate(zip(parts, heads, strict=True)):
@@ -99,3 +108,9 @@ class Encoder:
         if whole:
             for k, x in zip(whole, self._plain([texts[k] for k in whole]), strict=True):
                 out[k] = x
+
+
+@cache
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder for each worker process: its memo outlives a task."""
+    return Encoder(path)

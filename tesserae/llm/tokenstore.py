@@ -28,7 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import Encoder
+from . import bpe
 from .common import file_system, shared_path, texts
 
 FRAME_BYTES = 64 * 1024
@@ -150,7 +150,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0
             if not b.num_rows:
                 continue
             if out is None:
-                encoder = Encoder(path)
+                encoder = bpe.encoder(path)
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(temporary)
                 writer = Writer(out, encoder.dtype)
