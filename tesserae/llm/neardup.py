@@ -26,6 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,12 @@ class Hashes(dict):
         return h
 
 
+@cache
+def word_hashes() -> Hashes:
+    """One table for each worker process."""
+    return Hashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -103,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the words, s1 and s2 (the SimHash), keys; no keys for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = word_hashes()
         for b in batches:
             digests, codes, keys = [], [], []
             for t in b.column(1):
@@ -227,7 +234,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = word_hashes()
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for x in batches:
             out = []

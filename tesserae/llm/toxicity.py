@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns
-from .neardup import Hashes, mix
+from .neardup import Hashes, mix, word_hashes
 
 #: Words of a window, and the length-normalised ratio from which it leans to toxic.
 WINDOW, LEANS = 3, 0.8
@@ -60,7 +60,7 @@ def counts(marked: DataFrame) -> DataFrame:
     """Occurrences of each (left, right) word pair by class, over all rows of marked (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = word_hashes()
         for b in batches:
             held: list[list[np.ndarray]] = [[], []]
             size = 0
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = word_hashes()
         for b in batches:
             rows = [NONE if sent.value is None else sent.value.features(hashed(t.as_py(), hashes)) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.float64()) for x in zip(*rows, strict=True)], b.column(1)], names=["a", "b", "c", "d", "toxic"])
@@ -222,14 +222,12 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     """docs (or the columns in keep) with held_out, ratio, score and predicted."""
     model, curve = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((model, curve))
-    kept: list[Hashes] = []
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        if not kept:
-            kept.append(Hashes())
+        hashes = word_hashes()
         model, curve = sent.value
         column = b.column(b.schema.get_field_index("text"))
-        rows = [NONE if model is None else model.features(hashed(t.as_py(), kept[0])) for t in column]
+        rows = [NONE if model is None else model.features(hashed(t.as_py(), hashes)) for t in column]
         x = np.array(rows, float).reshape(-1, 4)
         s = 1 / (1 + np.exp(-np.clip(curve[0] + curve_inputs(x) @ curve[1:], -40, 40)))
         held = [zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else False for i in b.column(b.schema.get_field_index("doc_id")).to_pylist()]

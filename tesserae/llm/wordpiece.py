@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,6 +121,12 @@ class Automaton:
             return len(words), sum(map(memo.__getitem__, words))
 
 
+@cache
+def automaton(path: str | None = None) -> Automaton:
+    """One automaton for each worker process."""
+    return Automaton(*vocabulary(path))
+
+
 def greedy(word: bytes, first: set[bytes], later: set[bytes]) -> int:
     """The count by its definition, for tests."""
     at = n = 0
@@ -134,12 +141,10 @@ def greedy(word: bytes, first: set[bytes], later: set[bytes]) -> int:
 
 def count_tokens(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words and n_tokens of its text."""
-    made: list[Automaton] = []
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        if not made:
-            made.append(Automaton(*vocabulary(path)))
-        rows = [made[0].text(t.as_py()) for t in b.column(b.schema.get_field_index("text"))]
+        counter = automaton(path)
+        rows = [counter.text(t.as_py()) for t in b.column(b.schema.get_field_index("text"))]
         return [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
 
     return append_columns(docs, [("n_words", "long", pa.int64()), ("n_tokens", "long", pa.int64())], make, keep)
