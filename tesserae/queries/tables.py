@@ -167,7 +167,7 @@ for _d, _sql in {
 }.items():
     _j = "a.user_id = b.user_id AND a.at >= b.at" if _d == "backward" else "a.user_id = b.user_id AND a.at <= b.at"
     two("table.asof_join", A, B, {"left_on": "at", "right_on": "at", "left_by": ["user_id"], "right_by": ["user_id"], "direction": _d}, f"WITH a AS (SELECT event_id, user_id, event_id AS at FROM events), b AS (SELECT event_id AS other, user_id, event_id * 2 + 1 AS at, value FROM events) SELECT a.event_id, a.user_id, a.at, b.other, b.value FROM a ASOF LEFT JOIN b ON {_j}", f"_{_d}", "event_id", "other")
-two("table.asof_join", A, B, {"left_on": "at", "right_on": "at", "left_by": ["user_id"], "right_by": ["user_id"], "direction": "nearest", "tolerance": 500}, "WITH a AS (SELECT event_id, user_id, event_id AS at FROM events), b AS (SELECT event_id AS other, user_id, event_id * 2 + 1 AS at, value FROM events), p AS (SELECT a.*, b.other, b.value, b.at AS bat FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.at >= b.at), n AS (SELECT a.event_id, b.other, b.value, b.at AS bat FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.at <= b.at), x AS (SELECT p.event_id, p.user_id, p.at, CASE WHEN p.at - p.bat <= 500 THEN p.bat END AS pb, p.other AS po, p.value AS pv, CASE WHEN n.bat - p.at <= 500 THEN n.bat END AS nb, n.other AS n_o, n.value AS nv FROM p JOIN n USING (event_id)) SELECT event_id, user_id, at, CASE WHEN pb IS NOT NULL AND (nb IS NULL OR at - pb <= nb - at) THEN po WHEN nb IS NOT NULL THEN n_o END AS other, CASE WHEN pb IS NOT NULL AND (nb IS NULL OR at - pb <= nb - at) THEN pv WHEN nb IS NOT NULL THEN nv END AS value FROM x", "_nearest", "event_id", "other")
+two("table.asof_join", A, B, {"left_on": "at", "right_on": "at", "left_by": ["user_id"], "right_by": ["user_id"], "direction": "nearest", "tolerance": 500}, "WITH a AS (SELECT event_id, user_id, event_id AS at FROM events), b AS (SELECT event_id AS other, user_id, event_id * 2 + 1 AS at, value FROM events), p AS (SELECT a.*, b.other, b.value, b.at AS bat FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.at >= b.at), n AS (SELECT a.event_id, b.other, b.value, b.at AS bat FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.at <= b.at), x AS (SELECT p.event_id, p.user_id, p.at, CASE WHEN p.at - p.bat <= 500 THEN p.bat END AS pb, p.other AS po, p.value AS pv, CASE WHEN n.bat - p.at <= 500 THEN n.bat END AS nb, n.other AS n_o, n.value AS nv FROM p JOIN n USING (event_id)) SELECT event_id, user_id, x.at, CASE WHEN pb IS NOT NULL AND (nb IS NULL OR x.at - pb <= nb - x.at) THEN po WHEN nb IS NOT NULL THEN n_o END AS other, CASE WHEN pb IS NOT NULL AND (nb IS NULL OR x.at - pb <= nb - x.at) THEN pv WHEN nb IS NOT NULL THEN nv END AS value FROM x", "_nearest", "event_id", "other")
 N1, N2 = ("nation", "n_nationkey; n_name as name"), ("nation", "n_nationkey as other; concat(n_name, 'A') as name")
 for _m, _sql in {"levenshtein": "1.0 - levenshtein(lower(a.n_name), lower(b.name)) / greatest(length(a.n_name), length(b.name))", "jaro_winkler": None}.items():
     two("table.fuzzy_join", N1, N2, {"left_key": "name", "right_key": "name", "metric": _m, "threshold": 0.7, "score_column": "score"}, f"SELECT n_nationkey, n_name AS name, other, b.name AS \"name_R\", {_sql} AS score FROM nation a JOIN (SELECT n_nationkey AS other, n_name || 'A' AS name FROM nation) b ON left(lower(n_name), 2) = left(lower(b.name), 2) WHERE {_sql} >= 0.7" if _sql else None, f"_{_m}", "n_nationkey")  # type: ignore[arg-type]
