@@ -94,8 +94,9 @@ def text_of(c: Column, t: T.DataType) -> Column:
         d = c.cast("double")
         plain = F.regexp_replace(d.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
         whole = (d == F.floor(d)) & (F.abs(d) < 9e18)
+        large = F.format_string("%.0f", d)
         special = F.when(F.isnan(d), "NaN").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf")
-        return F.coalesce(special, F.when(whole, F.floor(d).cast("string")).when(d.cast("string").contains("E") & (F.abs(d) < 1e19), plain).otherwise(d.cast("string")))
+        return F.coalesce(special, F.when(whole, F.floor(d).cast("string")).when(F.abs(d) >= 9e18, large).when(d.cast("string").contains("E") & (F.abs(d) < 1e19), plain).otherwise(d.cast("string")))
     if isinstance(t, T.TimestampType):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
     if isinstance(t, T.TimestampNTZType):
