@@ -4,7 +4,7 @@ Similarity is the Jaccard index of the sets of five-word shingles (a shorter tex
 shingle); documents linked by pairs of at least 0.8 form a class. Words are those of
 decontaminate.words().
 
-1. Texts of equal words collapse to their smallest doc_id. Each gets a 128-bit SimHash
+1. Texts of equal words collapse to their smallest doc_id. Each gets a 256-bit SimHash
    of its shingles and BANDS shard keys, each of ROWS min-hashes. Two texts of similarity
    0.8 share no key with a probability of (1 - 0.8**3)**16 = 1e-5. Only shards of two
    and more are searched; sharding by content keeps the search from growing as the square
@@ -15,7 +15,8 @@ decontaminate.words().
    bits, with a deviation of 4). Proposals are verified on the whole texts and united.
 3. Second pass, for wholeness: in shards whose texts are in more than one component,
    those outside the component of the smallest id are queries, sent to every part; all
-   pairs within RADIUS between components that were not verified yet are verified.
+   pairs within RADIUS between components that were not verified yet are verified, but
+   for those whose numbers of shingles already rule a similarity of 0.8 out.
    Nothing is capped: links left out by the first pass only are those within a component.
 
 Edge cases: null texts count as empty; all texts without words form one class. Rows that
@@ -34,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import stored
 from .decontaminate import words
 from .graph import Shard, components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 3
-RADIUS = 36
+RADIUS = 62
 SHARD = 512
+SIGNATURE = ["size", "s1", "s2", "s3", "s4"]
 BLOOM_BITS = 1 << 24
 #: Odd multipliers of the min-hashes and of the shingle polynomial.
 MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,10 +87,12 @@ def shingles(w: list[bytes], hashes: Hashes) -> np.ndarray:
 
 
 def simhash(s: np.ndarray) -> bytes:
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(s), 255 * 64):
-        part = s[at : at + 255 * 64]
-        bits = np.unpackbits(np.stack([part, mix(part ^ np.uint64(0x9E3779B97F4A7C15))], axis=1).view(np.uint8).reshape(-1, 16), axis=1)
+    votes = np.zeros(256, np.int64)
+    for at in range(0, len(s), 255 * 32):
+        part = [s[at : at + 255 * 32]]
+        while len(part) < 4:
+            part.append(mix(part[-1] ^ np.uint64(0x9E3779B97F4A7C15)))
+        bits = np.unpackbits(np.stack(part, axis=1).view(np.uint8).reshape(-1, 32), axis=1)
         for low in range(0, len(bits), 255):
             votes += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
     return np.packbits(votes * 2 > len(s)).tobytes()
@@ -107,31 +112,38 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, s1 and s2 (the SimHash), keys; no keys for texts without words."""
+    """doc_id, digest of the words, number of shingles, s1 to s4 (the SimHash), keys; no keys for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.release()  # a worker that tokenised before needs its memory for this
         hashes = word_hashes()
         for b in batches:
-            digests, codes, keys = [], [], []
+            digests, sizes, codes, keys = [], [], [], []
             for t in b.column(1):
                 w = words(t.as_py())
                 digests.append(xxhash.xxh3_128_digest(b" ".join(w)))
                 s = shingles(w, hashes)
+                sizes.append(len(s))
                 codes.append(simhash(s))
                 keys.append(bands(s) if len(s) else [])
-            code = np.frombuffer(b"".join(codes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "s1", "s2", "keys"])
+            code = np.frombuffer(b"".join(codes), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(code[:, k]) for k in range(4)], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", *SIGNATURE, "keys"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, s1 long, s2 long, keys array<long>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size long, s1 long, s2 long, s3 long, s4 long, keys array<long>")
+
+
+def alike(m: int, n: int) -> bool:
+    """Whether sets of these sizes can be similar enough."""
+    return min(m, n) >= SIMILARITY * max(m, n)
 
 
 def proposals(rows: DataFrame) -> DataFrame:
-    """First pass over (shard, part, rep, s1, s2), sorted within partitions: pairs (a, b) with a < b."""
+    """First pass over (shard, part, rep, SIGNATURE), sorted within partitions: pairs (a, b) with a < b."""
 
-    def pairs(ids: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+    def pairs(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
         shard = Shard(codes, RADIUS)
         for i in range(1, len(ids)):
-            found = [j for _, j in shard.nearest(codes[i]) if j < i]
+            found = [j for _, j in shard.nearest(codes[i]) if j < i and alike(sizes[i], sizes[j])]
             if found:
                 for j in {found[0], min(found)}:
                     yield int(ids[j]), int(ids[i])
@@ -140,15 +152,15 @@ def proposals(rows: DataFrame) -> DataFrame:
         for columns in groups(batches, 2):
             ids, first = np.unique(columns[2], return_index=True)
             if len(ids) > 1:
-                yield from written(pairs(ids, np.stack([columns[3][first], columns[4][first]], axis=1).view(np.uint64)))
+                yield from written(pairs(ids, columns[3][first], np.stack([c[first] for c in columns[4:8]], axis=1).view(np.uint64)))
 
-    return rows.select("shard", "part", "rep", "s1", "s2").mapInArrow(collected(run), "a long, b long").distinct()
+    return rows.select("shard", "part", "rep", *SIGNATURE).mapInArrow(collected(run), "a long, b long").distinct()
 
 
 def remaining(rows: DataFrame) -> DataFrame:
-    """Second pass over (shard, part, query, rep, s1, s2, root), sorted: all pairs of a query and a row of another component."""
+    """Second pass over (shard, part, query, rep, SIGNATURE, root), sorted: all pairs of a query and a row of another component."""
 
-    def pairs(query: np.ndarray, ids: np.ndarray, codes: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    def pairs(query: np.ndarray, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, int]]:
         data = np.flatnonzero(~query)
         if not len(data) or not query.any():
             return
@@ -156,14 +168,14 @@ def remaining(rows: DataFrame) -> DataFrame:
         for i in np.flatnonzero(query):
             for _, j in shard.within(codes[i]):
                 k = data[j]
-                if roots[k] != roots[i]:
+                if roots[k] != roots[i] and alike(sizes[i], sizes[k]):
                     yield (int(ids[i]), int(ids[k])) if ids[i] < ids[k] else (int(ids[k]), int(ids[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in groups(batches, 2):
-            yield from written(pairs(c[2] > 0, c[3], np.stack([c[4], c[5]], axis=1).view(np.uint64), c[6]))
+            yield from written(pairs(c[2] > 0, c[3], c[4], np.stack(c[5:9], axis=1).view(np.uint64), c[9]))
 
-    return rows.select("shard", "part", "query", "rep", "s1", "s2", "root").mapInArrow(collected(run), "a long, b long").distinct()
+    return rows.select("shard", "part", "query", "rep", *SIGNATURE, "root").mapInArrow(collected(run), "a long, b long").distinct()
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
@@ -217,11 +229,11 @@ def collected(run):
     return batches
 
 
-def touched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents that pairs name, and a few more: a bitmap of fixed size spares the others the shuffle."""
+def touched(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that ids (one column) names, and a few more: a bitmap of fixed size spares the others the shuffle."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS))
-    ids = pairs.select("a").union(pairs.select("b")).withColumn("bit", bit("a"))
-    words = ids.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
+    own_bits = ids.select(bit(ids.columns[0]).alias("bit"))
+    words = own_bits.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
     # at most BLOOM_BITS / 32 rows
     own = docs.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("bit", bit("doc_id"))
     there = own.join(F.broadcast(words), F.shiftright("bit", 5) == F.col("w"))
@@ -230,7 +242,7 @@ def touched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with the Jaccard index of their whole texts."""
-    own = touched(docs, pairs).dropDuplicates(["doc_id"])
+    own = touched(docs, pairs.select("a").union(pairs.select("b"))).dropDuplicates(["doc_id"])
     both = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +265,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and class_size for each document."""
+    """doc_id and class_id, the smallest doc_id of its class, for each document."""
     own = stored(signatures(docs), "signatures")
     copies = own.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = stored(own.select("doc_id", "digest").distinct().join(copies, "digest").select("doc_id", "rep"), "members")
     reps = own.join(copies, "digest", "left_semi").join(member.select("rep").distinct(), own.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "digest"])
-    banded = stored(reps.select(F.explode("keys").alias("shard"), F.col("doc_id").alias("rep"), "s1", "s2"), "bands")
+    banded = stored(reps.select(F.explode("keys").alias("shard"), F.col("doc_id").alias("rep"), *SIGNATURE), "bands")
     sizes = banded.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1")
     shards = stored(banded.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / SHARD)), "shards")
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    columns = ["shard", "part", "rep", "s1", "s2"]
+    columns = ["shard", "part", "rep", *SIGNATURE]
     first = shards.withColumn("part", part).select(*columns).unionByName(shards.where("parts > 1 AND rep = hub").withColumn("part", everywhere).select(*columns))
     pairs = stored(proposals(first.repartition("shard", "part").sortWithinPartitions("shard", "part", "rep")), "pairs")
     links = stored(verified(docs, pairs).where(f"similarity >= {SIMILARITY}").select("a", "b"), "links")
@@ -273,7 +285,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rooted = shards.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("root"))).alias("main")).where("low < high")
     open_ = stored(rooted.join(mixed.select("shard", "main"), "shard"), "open")
-    columns = ["shard", "part", "query", "rep", "s1", "s2", "root"]
+    columns = ["shard", "part", "query", "rep", *SIGNATURE, "root"]
     data = open_.withColumn("part", part).withColumn("query", F.lit(0).cast("long")).select(*columns)
     queries = open_.where("root <> main").withColumn("part", everywhere).withColumn("query", F.lit(1).cast("long")).select(*columns)
     rest = remaining(data.unionByName(queries).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "rep"))
@@ -282,9 +294,7 @@ def classes(docs: DataFrame) -> DataFrame:
         more = stored(verified(docs, rest).where(f"similarity >= {SIMILARITY}").select("a", "b"), "links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    out = member.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    sized = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sized, "class_id").select("doc_id", "class_id", "class_size")
+    return member.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
