@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns
-from .neardup import Hashes, mix, word_hashes
+from .neardup import Hashes, mix, touched, word_hashes
 
 #: Words of a window, and the length-normalised ratio from which it leans to toxic.
 WINDOW, LEANS = 3, 0.8
@@ -192,8 +192,11 @@ def curve_inputs(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = docs.select("doc_id", "text").where(remainder("doc_id") != 2).join(known.where(remainder("doc_id") != 2), "doc_id").withColumn("fold", remainder("doc_id"))
-    pairs = counts(marked.where("fold IN (0, 1)")).persist()
+    # only labelled texts are shuffled; the join is the same at every size
+    ours = known.where(remainder("doc_id").isin(0, 1))
+    counted = touched(docs.where(remainder("doc_id").isin(0, 1)), ours.select("doc_id"))
+    marked = counted.join(ours.hint("merge"), "doc_id")
+    pairs = counts(marked).persist()
     try:
         model = learn(pairs)
     finally:
