@@ -105,9 +105,9 @@ class Block:
         self.docs = np.frombuffer(docs, np.int64)
         self.lengths = np.frombuffer(lengths, np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths.astype(np.int64) + 1)[:-1]])
-        ends = np.cumsum(np.frombuffer(counts, np.int32))
+        ends = np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)
         where = np.frombuffer(postings, np.int32)
-        self.lists = {t: where[a:b] for t, a, b in zip(terms, [0, *ends[:-1]], ends, strict=True)}
+        self.lists = {t: where[a:b] for t, a, b in zip(terms, [0, *ends[:-1].tolist()], ends.tolist(), strict=False)}
 
     def phrase(self, terms: list[bytes]) -> np.ndarray:
         """Block positions at which the terms occur one after another."""

@@ -12,7 +12,7 @@ from .common import stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of edges (a, b); root is the smallest node of its component.
+    """(node, root) for each node of edges (a, b) but the roots, which are the smallest nodes of their components.
 
     Alternates large-star and small-star steps; each round is written to the shared folder.
     Nothing but a count and a checksum of the edges comes to the driver.
