@@ -8,6 +8,9 @@ which bounds memory without changing any id.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from functools import cache
 
 import numpy as np
@@ -22,7 +25,7 @@ def default_path() -> str:
 class Encoder:
     """Encodes whole texts; ids come back as little-endian uint16 or uint32 bytes."""
 
-    def __init__(self, path: str | None = None, memo_limit: int = 900_000):
+    def __init__(self, path: str | None = None, memo_limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
@@ -35,6 +38,7 @@ class Encoder:
         self.tails = dict(zip(",.", self._plain([",", "."]), strict=True))
         self.memo: dict[str, bytes | None] = {}
         self.memo_limit = memo_limit
+        self.recent: set[str] = set()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -92,6 +96,7 @@ class Encoder:
         if len(self.memo) + len(seen) > self.memo_limit:  # keep what this block uses
             self.memo = {c: self.memo[c] for c in seen if c in self.memo}
         self._learn(list(seen.difference(self.memo)))
+        self.recent = seen
         get, whole = self.memo.__getitem__, []
         for k, (p, head) in enumerate(zip(parts, heads, strict=True)):
             if len(p) == 1:
@@ -113,4 +118,20 @@ class Encoder:
 @cache
 def encoder(path: str | None = None) -> Encoder:
     """One encoder for each worker process: its memo outlives a task."""
-    return Encoder(path)
+    return Encoder(path or default_path())
+
+
+def release(path: str | None = None) -> None:
+    """Gives most of the memory of the worker's memo back, if it has one: only what the last block used stays."""
+    if encoder.cache_info().currsize:
+        e = encoder(path)
+        e.memo = {c: e.memo[c] for c in e.recent if c in e.memo}
+
+
+def forget() -> None:
+    """Gives the worker's encoder and memo back as a whole, for operators that don't tokenise."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
