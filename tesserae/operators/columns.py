@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..relation import ORD, PlanError, col, data, is_number, kind, literal, need, new_name, no_repeats, number, operation, to_text, with_order
+from ..relation import ORD, PlanError, col, data, is_number, kind, literal, need, new_name, no_repeats, number, operation, ranges, to_text, with_order
 from .filters import test
 
 ATOMS = {"str": "string", "string": "string", "utf8": "string", "int": "long", "int64": "long", "float": "double", "float64": "double", "bool": "boolean", "boolean": "boolean", "date32": "date", "date": "date", "timestamp_millis": "timestamp_ntz", "decimal128": "decimal(38,10)", "uint64": "decimal(20,0)", "binary": "binary"}
@@ -76,14 +76,7 @@ def add_row_number(df: DataFrame, output_column: str = "row_number", start: int
 
 def numbered(df: DataFrame, name: str, start: int) -> DataFrame:
     """Global row numbers over a range exchange: ranges of ORD are counted, then numbered within."""
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # buckets of the order column by quantiles; both passes see only ORD
-    edges = [int(x) for x in df.approxQuantile(ORD, [k / parts for k in range(1, parts)], 0.001)] if not df.isEmpty() else []
-    edges = sorted(set(edges))
-    bucket = F.lit(0)
-    if edges:
-        bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(ORD)))
-    marked = df.withColumn("__bucket", bucket)
+    marked = df.withColumn("__bucket", ranges(df))
     # at most as many rows as shuffle partitions
     counts = marked.groupBy("__bucket").count().withColumn("__before", F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = F.broadcast(counts.select("__bucket", F.coalesce("__before", F.lit(0)).alias("__before")))

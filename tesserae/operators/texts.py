@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.formats import groups, pattern, replacement
 from ..functions.formats import regex as java_regex
-from ..relation import ORD, PlanError, col, data, is_number, kind, need, new_name, operation, refuse, to_text, with_order
+from ..relation import ORD, PlanError, col, data, is_number, kind, need, new_name, operation, ranges, refuse, to_text, with_order
 
 
 @operation("table.string_pad")
@@ -142,10 +142,7 @@ def fill_na(df: DataFrame, column: str | None = None, method: str = "value", val
     if method not in ("ffill", "bfill"):
         raise PlanError(f"there is no method {method!r}")
     df = with_order(df)
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = sorted({int(x) for x in df.approxQuantile(ORD, [k / parts for k in range(1, parts)], 0.001)})
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(ORD))) if edges else F.lit(0)
-    marked = df.withColumn("__bucket", bucket)
+    marked = df.withColumn("__bucket", ranges(df))
     forward = method == "ffill"
     pick = F.max_by if forward else F.min_by
     carried = marked.groupBy("__bucket").agg(*[pick(F.when(col(n).isNotNull(), F.struct(col(n).alias("v"))), F.when(col(n).isNotNull(), F.col(ORD))).alias(f"__c{k}") for k, n in enumerate(names)])

@@ -34,6 +34,24 @@ def with_order(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn(ORD, F.monotonically_increasing_id())
 
 
+def ranges(df: DataFrame, most: int = 1024) -> Column:
+    """The number of the range of ORD that a row is in: about as many ranges as shuffle partitions, by quantiles.
+
+    The edges form a balanced tree of comparisons, so a row costs the logarithm of their number.
+    """
+    parts = max(2, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = df.approxQuantile(ORD, [k / parts for k in range(1, parts)], 0.001) or []
+    edges = sorted({int(x) for x in found})
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(ORD) <= edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(edges))
+
+
 def data(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ORD]
 
