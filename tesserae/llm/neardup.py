@@ -14,9 +14,10 @@ decontaminate.words().
    and the smallest id within RADIUS bits (at similarity 0.8 the expected distance is 19
    bits, with a deviation of 4). Proposals are verified on the whole texts and united.
 3. Second pass, for wholeness: in shards whose texts are in more than one component,
-   those outside the component of the smallest id are queries, sent to every part; all
-   pairs within RADIUS between components that were not verified yet are verified, but
-   for those whose numbers of shingles already rule a similarity of 0.8 out.
+   those outside the component of the smallest id are queries, sent to every part. All
+   pairs within RADIUS between components are compared there on their whole sets of
+   shingles, but for those whose sizes already rule a similarity of 0.8 out; only links
+   leave a task.
    Nothing is capped: links left out by the first pass only are those within a component.
 
 Edge cases: null texts count as empty; all texts without words form one class. Rows that
@@ -115,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the words, number of shingles, s1 to s4 (the SimHash), keys; no keys for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.release()  # a worker that tokenised before needs its memory for this
+        bpe.forget()  # a worker that tokenised before needs its memory for this
         hashes = word_hashes()
         for b in batches:
             digests, sizes, codes, keys = [], [], [], []
@@ -157,25 +158,66 @@ def proposals(rows: DataFrame) -> DataFrame:
     return rows.select("shard", "part", "rep", *SIGNATURE).mapInArrow(collected(run), "a long, b long").distinct()
 
 
+def jaccard(s: np.ndarray, t: np.ndarray) -> float:
+    """Of two sorted sets: equal neighbours in the merged array are common."""
+    m = np.concatenate([s, t])
+    m.sort(kind="stable")
+    common = int((m[1:] == m[:-1]).sum())
+    return common / max(1, len(m) - common)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """rep, its shingles and its shard keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for b in batches:
+            sets = [shingles(words(t.as_py()), hashes) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bands(s).tobytes() for s in sets], pa.binary())], names=["rep", "set", "keys"])
+
+    return docs.mapInArrow(run, "rep long, set binary, keys binary")
+
+
 def remaining(rows: DataFrame) -> DataFrame:
-    """Second pass over (shard, part, query, rep, SIGNATURE, root), sorted: all pairs of a query and a row of another component."""
-
-    def pairs(query: np.ndarray, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, int]]:
-        data = np.flatnonzero(~query)
-        if not len(data) or not query.any():
-            return
-        shard = Shard(codes[data], RADIUS)
-        for i in np.flatnonzero(query):
-            for _, j in shard.within(codes[i]):
-                k = data[j]
-                if roots[k] != roots[i] and alike(sizes[i], sizes[k]):
-                    yield (int(ids[i]), int(ids[k])) if ids[i] < ids[k] else (int(ids[k]), int(ids[i]))
+    """Second pass over (shard, part, query, rep, SIGNATURE, root, main, set, keys), sorted: verified links between components.
+
+    A part's data come before its queries, which stream past them. Pairs are verified where
+    they are found and only links leave the task. A pair that shares several shards is
+    looked at in that of the smallest key, and a text that is linked to a component isn't
+    compared with the rest of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in groups(batches, 2):
-            yield from written(pairs(c[2] > 0, c[3], c[4], np.stack(c[5:9], axis=1).view(np.uint64), c[9]))
+        now, data, shard = None, [], None
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                key, part, query, rep, size, *code, root, main, raw, keys = row
+                if (key, part) != now:
+                    now, data, shard = (key, part), [], None
+                if not query:
+                    data.append(row)
+                    continue
+                if not data:
+                    continue
+                if shard is None:
+                    shard = Shard(np.array([r[5:9] for r in data], np.int64).view(np.uint64), RADIUS)
+                    sets = [np.frombuffer(r[11], np.uint64) for r in data]
+                    shared = [frozenset(np.frombuffer(r[12], np.int64).tolist()) for r in data]
+                mine, own, linked = np.frombuffer(raw, np.uint64), set(np.frombuffer(keys, np.int64).tolist()), {root}
+                for _, j in shard.within(np.array(code, np.int64).view(np.uint64)):
+                    other, there, to = data[j][3], data[j][9], data[j][4]
+                    # two queries meet twice: the later one looks
+                    if there in linked or there != main and other > rep or not alike(size, to) or min(own & shared[j]) != key:
+                        continue
+                    if jaccard(mine, sets[j]) >= SIMILARITY:
+                        linked.add(there)
+                        out.append((min(rep, other), max(rep, other)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
 
-    return rows.select("shard", "part", "query", "rep", *SIGNATURE, "root").mapInArrow(collected(run), "a long, b long").distinct()
+    return rows.select("shard", "part", "query", "rep", *SIGNATURE, "root", "main", "set", "keys").mapInArrow(run, "a long, b long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
@@ -253,12 +295,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for a, tb, ta in zip(x.column(0).to_pylist(), x.column(2), x.column(3), strict=True):
                 if a != last[0]:
                     last = a, shingles(words(ta.as_py()), hashes)
-                s, t = last[1], shingles(words(tb.as_py()), hashes)
-                # both sorted and distinct: equal neighbours in the merged array are common
-                m = np.concatenate([s, t])
-                m.sort(kind="stable")
-                common = int((m[1:] == m[:-1]).sum())
-                out.append(common / max(1, len(m) - common))
+                out.append(jaccard(last[1], shingles(words(tb.as_py()), hashes)))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
     return both.select("a", "b", "tb", "ta").mapInArrow(run, "a long, b long, similarity double")
@@ -285,13 +322,13 @@ def classes(docs: DataFrame) -> DataFrame:
     rooted = shards.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("root"))).alias("main")).where("low < high")
     open_ = stored(rooted.join(mixed.select("shard", "main"), "shard"), "open")
-    columns = ["shard", "part", "query", "rep", *SIGNATURE, "root"]
-    data = open_.withColumn("part", part).withColumn("query", F.lit(0).cast("long")).select(*columns)
-    queries = open_.where("root <> main").withColumn("part", everywhere).withColumn("query", F.lit(1).cast("long")).select(*columns)
-    rest = remaining(data.unionByName(queries).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "rep"))
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = stored(verified(docs, rest).where(f"similarity >= {SIMILARITY}").select("a", "b"), "links")
+    if not open_.isEmpty():
+        sets = shingle_sets(touched(docs, open_.select("rep").distinct()).dropDuplicates(["doc_id"]))
+        whole = open_.join(sets, "rep")
+        columns = ["shard", "part", "query", "rep", *SIGNATURE, "root", "main", "set", "keys"]
+        data = whole.withColumn("part", part).withColumn("query", F.lit(0)).select(*columns)
+        queries = whole.where("root <> main").withColumn("part", everywhere).withColumn("query", F.lit(1)).select(*columns)
+        more = stored(remaining(data.unionByName(queries).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "rep")), "links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return member.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
