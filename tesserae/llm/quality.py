@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import append_columns
 
 SYMBOLS = "#*$%&|<>"
@@ -85,6 +86,7 @@ KIND[[ord(c) for c in SYMBOLS]] = 4
 
 def with_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def make(b: pa.RecordBatch) -> list[pa.Array]:
+        bpe.forget()  # a worker that tokenised before needs its memory for this
         rows = [statistics(t.as_py()) for t in b.column(b.schema.get_field_index("text"))]
         return [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
 
