@@ -11,10 +11,12 @@ logistic curve on these numbers, fitted on training rows that the counts have no
 (at most CALIBRATION_ROWS), gives the score.
 
 Rows whose crc32(doc_id as text) % 4 is 2 are held out and used for nothing; remainders 0
-and 1 are counted and 3 calibrates.
+and 1 are counted and 3 calibrates. Once the curve is fitted, 3 is counted as well.
 
-The model that is broadcast has at most KEEP_WORDS words and KEEP_BIGRAMS bigrams, the
-most frequent; others back off. Counting itself is over everything.
+Every word and bigram that was counted, once or often, is in the model; pairs never seen
+back off to the word. The model is stored in the shared folder in slices by hash, as many
+as the texts are large, and a block of texts is looked up in one slice after another. So
+memory is bounded by a block and a slice, but each block reads the stored model once.
 
 Edge cases: null and empty texts and texts of unknown words have a ratio of 0 and get the
 score of that. Labels that are null or not 0/1 are left out; of several labels of an id
@@ -30,18 +32,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns
-from .neardup import Hashes, mix, touched, word_hashes
+from .common import append_columns, file_system, shared_path
+from .neardup import Hashes, touched, word_hashes
 
 #: Words of a window, and the length-normalised ratio from which it leans to toxic.
 WINDOW, LEANS = 3, 0.8
 #: Pseudo-count of the shared bigram distribution in each context of each class.
 SHARED_MASS = 4.0
 DISCOUNT = 0.75
-KEEP_WORDS, KEEP_BIGRAMS = 1 << 17, 1 << 18
+#: Text of a slice of the model, words that are counted before they are sent and words that are looked up together.
+SLICE_TEXT, COUNTED_WORDS, BLOCK_WORDS = 16_000_000, 1_500_000, 1_000_000
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 BREAKS = bytes((c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 or c == 39 else 32) for c in range(256))
@@ -56,119 +61,173 @@ def remainder(column) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
 
 
-def counts(marked: DataFrame) -> DataFrame:
-    """Occurrences of each (left, right) word pair by class, over all rows of marked (text, toxic)."""
+def counts(marked: DataFrame, slices: int) -> DataFrame:
+    """Occurrences of each (left, right) word pair by class, over all rows of marked (text, toxic, late), a slice in one partition.
+
+    m0 and m1 are those of rows that are not late, n0 and n1 those of all rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for b in batches:
-            held: list[list[np.ndarray]] = [[], []]
-            size = 0
-            for k, (text, toxic) in enumerate(zip(b.column(0), b.column(1).to_pylist(), strict=True)):
+            held, kinds, size = [], [], 0
+            for k, (text, toxic, late) in enumerate(zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 w = hashed(text.as_py(), hashes)
                 if len(w):
-                    held[toxic].append(np.stack([np.concatenate([[START], w[:-1]]), w], axis=1))
+                    held.append(np.stack([np.concatenate([[START], w[:-1]]), w], axis=1))
+                    kinds.append(np.full(len(w), 2 * late + toxic, np.int8))
                     size += len(w)
-                if size >= 500_000 or k == b.num_rows - 1:
-                    yield from (table(np.concatenate(x), c) for c, x in enumerate(held) if x)
-                    held, size = [[], []], 0
+                if held and (size >= COUNTED_WORDS or k == b.num_rows - 1):
+                    yield table(np.concatenate(held), np.concatenate(kinds))
+                    held, kinds, size = [], [], 0
 
-    def table(pairs: np.ndarray, toxic: int) -> pa.RecordBatch:
+    def table(pairs: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        p = pairs[order]
+        p, kinds = pairs[order], kinds[order]
         first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)]))
-        n = np.diff(np.append(first, len(p)))
-        zero = np.zeros(len(n), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(p[first, 0].view(np.int64)), pa.array(p[first, 1].view(np.int64)), pa.array(zero if toxic else n), pa.array(n if toxic else zero)], names=["v", "w", "n0", "n1"])
+        x = [np.add.reduceat(kinds == k, first, dtype=np.int64) for k in range(4)]
+        p = p[first]
+        own = slice_of(p[:, 0], p[:, 1], slices).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(np.ascontiguousarray(p[:, k]).view(np.int64)) for k in range(2)], *[pa.array(n) for n in (x[0], x[1], x[0] + x[2], x[1] + x[3])]], names=["slice", "v", "w", *COUNTS])
 
-    return marked.select("text", "toxic").mapInArrow(run, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sent = marked.select("text", "toxic", "late").mapInArrow(run, "slice int, v long, w long, m0 long, m1 long, n0 long, n1 long")
+    return sent.repartition("slice").groupBy("slice", "v", "w").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 START = np.uint64(1)
 NONE = (0.0, 0.0, 0.0, 0.0)
+COUNTS = ["m0", "m1", "n0", "n1"]
+#: Of a word: pairs it ends by class and in all, its occurrences as a context and the pairs it begins.
+WORD = ["r0", "r1", "r", "x0", "x1", "l0", "l1", "l"]
 
 
-@dataclass
-class Model:
-    """Sorted keys and log-likelihood ratios of bigrams and, for all other pairs, of words."""
-
-    pairs: np.ndarray
-    pair_ratio: np.ndarray
-    words: np.ndarray
-    word_ratio: np.ndarray
-
-    @staticmethod
-    def look(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(x)), np.zeros(len(x), bool)
-        at = np.searchsorted(keys, x)
-        at[at == len(keys)] = 0
-        hit = keys[at] == x
-        return np.where(hit, values[at], 0.0), hit
-
-    def ratios(self, w: np.ndarray) -> np.ndarray:
-        """The log-likelihood ratio of each word after the one before it."""
-        own, hit = self.look(self.pairs, self.pair_ratio, pair(np.concatenate([[START], w[:-1]]), w))
-        return np.where(hit, own, self.look(self.words, self.word_ratio, w)[0])
-
-    def features(self, w: np.ndarray) -> tuple[float, ...]:
-        """Length-normalised ratio of the text and of its best window, windows that lean to toxic and words (logarithms)."""
-        if not len(w):
-            return NONE
-        r = self.ratios(w)
-        total = np.concatenate([[0.0], np.cumsum(r)])
-        size = min(WINDOW, len(r))
-        windows = (total[size:] - total[:-size]) / size
-        return float(r.mean()), float(windows.max()), float(np.log1p((windows > LEANS).sum())), float(np.log1p(len(w)))
+def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of a pair of word hashes, as PAIR makes it; signed, as Spark sorts it."""
+    return (v ^ (w << np.uint64(1) | w >> np.uint64(63))).view(np.int64)
 
 
-def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
-
-
-def learn(pairs: DataFrame) -> Model | None:
-    """The two models' ratios from pair counts; what comes to the driver is bounded by KEEP_WORDS and KEEP_BIGRAMS."""
-    seen = F.expr("int(n0 > 0)"), F.expr("int(n1 > 0)")
-    by_word = pairs.groupBy("w").agg(F.sum(seen[0]).alias("t0"), F.sum(seen[1]).alias("t1"), F.count(F.lit(1)).alias("t"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
-    by_context = pairs.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(seen[0]).alias("t0"), F.sum(seen[1]).alias("t1"), F.count(F.lit(1)).alias("t"))
-    total = by_word.agg(F.sum("t0"), F.sum("t1"), F.sum("t"), F.count(F.lit(1)), F.sum(F.expr("int(t0 > 0)")), F.sum(F.expr("int(t1 > 0)"))).first()
-    if not total[3] or not total[0] or not total[1]:
-        return None
-    c0, c1, c, kinds, k0, k1 = (float(x) for x in total)
-    often = F.col("n0") + F.col("n1")
-    words = by_word.where("n >= 3").orderBy(F.desc("n"), "w").limit(KEEP_WORDS).toPandas()
-    contexts = by_context.where(often >= 3).orderBy(F.desc(often), "v").limit(KEEP_WORDS).toPandas().astype({k: float for k in ("n0", "n1", "t0", "t1", "t")})
-    top = pairs.where(often >= 3).orderBy(F.desc(often), "v", "w").limit(KEEP_BIGRAMS).toPandas()
-    shared = (words["t"].to_numpy(float) + 0.5) / (c + 0.5 * kinds)
-    own_mass = min(c0, c1)
-
-    def tilt(t: np.ndarray, all_t: float, kinds_: float) -> np.ndarray:
-        """A class's continuation probability over the shared one."""
-        return ((np.maximum(t - DISCOUNT, 0) / shared) + DISCOUNT * kinds_ + own_mass) / (all_t + own_mass)
-
-    g0, g1 = tilt(words["t0"].to_numpy(float), c0, k0), tilt(words["t1"].to_numpy(float), c1, k1)
-    where_w = {k: i for i, k in enumerate(words["w"])}
-    where_v = {k: i for i, k in enumerate(contexts["v"])}
-    i = np.array([where_w.get(k, -1) for k in top["w"]], dtype=int)
-    j = np.array([where_v.get(k, -1) for k in top["v"]], dtype=int)
-    good = (i >= 0) & (j >= 0)
-    i, j, top = i[good], j[good], top[good]
-    x = contexts.iloc[j]
-    n0, n1 = top["n0"].to_numpy(float), top["n1"].to_numpy(float)
-    joint = (np.maximum(n0 + n1 - DISCOUNT, 0) + DISCOUNT * x["t"].to_numpy() * shared[i]) / (x["n0"] + x["n1"]).to_numpy()
-
-    def upper(n: np.ndarray, all_n: np.ndarray, t: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return (np.maximum(n - DISCOUNT, 0) + (DISCOUNT * t + SHARED_MASS) * joint * g[i]) / (all_n + SHARED_MASS)
-
-    q0 = upper(n0, x["n0"].to_numpy(), x["t0"].to_numpy(), g0)
-    q1 = upper(n1, x["n1"].to_numpy(), x["t1"].to_numpy(), g1)
-
-    def ordered(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], values[order].astype(np.float32)
-
-    unsigned = lambda k: k.to_numpy(np.int64).view(np.uint64)
-    return Model(*ordered(pair(unsigned(top["v"]), unsigned(top["w"])), np.log(q1 / q0)), *ordered(unsigned(words["w"]), np.log(g1 / g0)))
+PAIR = "v ^ (shiftleft(w, 1) | shiftrightunsigned(w, 63))"
+#: w from the pair's key and v.
+RIGHT = "shiftrightunsigned(key ^ v, 1) | shiftleft(key ^ v, 63)"
+
+
+def slice_of(v: np.ndarray, w: np.ndarray, slices: int) -> np.ndarray:
+    return ((v >> np.uint64(7)) ^ w) & np.uint64(slices - 1)
+
+
+@dataclass
+class Model:
+    """Counts of all bigrams and words in two sliced tables of the shared folder; m or n says which rows they are of.
+
+    A block of texts is looked up slice by slice, so a task holds one slice at a time,
+    however large the model is.
+    """
+
+    pairs: str
+    words: str
+    kept: tuple[frozenset[int], frozenset[int]]
+    slices: int
+    kind: str
+    totals: tuple[float, ...]
+
+    def search(self, which: int, keys: np.ndarray, own: np.ndarray, columns: list[str]) -> np.ndarray:
+        """The columns of the keys in the slices own; 0 where a key is not in the table. A slice is one file, sorted by key."""
+        out = np.zeros((len(columns), len(keys)))
+        fs, path = file_system((self.pairs, self.words)[which])
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(self.slices + 1, dtype=np.uint64))
+        for k in self.kept[which]:
+            rows = order[bounds[k] : bounds[k + 1]]
+            if not len(rows):
+                continue
+            t = pq.read_table(f"{path}/slice={k}", filesystem=fs, partitioning=None, columns=["key", *columns], use_threads=False)
+            there = t.column("key").to_numpy()
+            at = np.searchsorted(there, keys[rows])
+            at[at == len(there)] = 0
+            hit = there[at] == keys[rows]
+            for c, name in enumerate(columns):
+                out[c, rows[hit]] = t.column(name).to_numpy()[at[hit]]
+        return out
+
+    def ratios(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The log-likelihood ratio of each word w after v: of the bigram, of the word where that was never seen, or 0."""
+        keys, first, back = np.unique(pair(v, w), return_index=True, return_inverse=True)
+        v, w = v[first], w[first]
+        n0, n1 = self.search(0, keys, slice_of(v, w, self.slices), [f"{self.kind}0", f"{self.kind}1"])
+        names = np.unique(np.concatenate([v, w]))
+        of = self.search(1, names.view(np.int64), names & np.uint64(self.slices - 1), [f"{self.kind}_{c}" for c in WORD])
+        r0, r1, r = of[:3, np.searchsorted(names, w)]
+        x0, x1, l0, l1, l_ = of[3:, np.searchsorted(names, v)]
+        c0, c1, c, kinds, k0, k1 = self.totals
+        shared = (r + 0.5) / (c + 0.5 * kinds)
+        own_mass = min(c0, c1)
+
+        def tilt(t: np.ndarray, all_t: float, kinds_: float) -> np.ndarray:
+            """A class's continuation probability over the shared one."""
+            return ((np.maximum(t - DISCOUNT, 0) / shared) + DISCOUNT * kinds_ + own_mass) / (all_t + own_mass)
+
+        g0, g1 = tilt(r0, c0, k0), tilt(r1, c1, k1)
+        joint = (np.maximum(n0 + n1 - DISCOUNT, 0) + DISCOUNT * l_ * shared) / np.maximum(x0 + x1, 1)
+
+        def upper(n: np.ndarray, all_n: np.ndarray, t: np.ndarray, g: np.ndarray) -> np.ndarray:
+            return (np.maximum(n - DISCOUNT, 0) + (DISCOUNT * t + SHARED_MASS) * joint * g) / (all_n + SHARED_MASS)
+
+        seen = n0 + n1 > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.log(upper(n1, x1, l1, g1) / upper(n0, x0, l0, g0))
+        return np.where(seen, own, np.where(r > 0, np.log(g1 / g0), 0.0))[back]
+
+    def features(self, many: list[np.ndarray]) -> list[tuple[float, ...]]:
+        """Of each text: length-normalised ratio of the text and of its best window, windows that lean to toxic and words (logarithms)."""
+        out: list[tuple[float, ...]] = []
+        at = 0
+        while at < len(many):
+            end, size = at, 0
+            while end < len(many) and (end == at or size + len(many[end]) <= BLOCK_WORDS):
+                size += len(many[end])
+                end += 1
+            some = many[at:end]
+            w = np.concatenate(some)
+            r = np.zeros(0)
+            if len(w):
+                v = np.concatenate([[START], w[:-1]])
+                begins = np.cumsum([0, *map(len, some[:-1])])
+                v[begins[begins < len(w)]] = START
+                r = self.ratios(v, w)
+            for x in np.split(r, np.cumsum(list(map(len, some)))[:-1]):
+                if not len(x):
+                    out.append(NONE)
+                    continue
+                total = np.concatenate([[0.0], np.cumsum(x)])
+                width = min(WINDOW, len(x))
+                windows = (total[width:] - total[:-width]) / width
+                out.append((float(x.mean()), float(windows.max()), float(np.log1p((windows > LEANS).sum())), float(np.log1p(len(x)))))
+            at = end
+        return out
+
+
+def learn(marked: DataFrame, slices: int) -> tuple[Model | None, Model | None]:
+    """The models of the rows that are not late and of all rows. Everything counted is stored; six totals of each come to the driver."""
+    spark = marked.sparkSession
+    paths = shared_path(spark, "bigrams"), shared_path(spark, "words")
+    sliced = counts(marked, slices).withColumn("key", F.expr(PAIR)).select("key", "v", *COUNTS, "slice")
+    sliced.sortWithinPartitions("slice", "key").write.partitionBy("slice").parquet(paths[0])
+    pairs = spark.read.schema(sliced.schema).parquet(paths[0]).withColumn("w", F.expr(RIGHT))
+    right, left = [], []
+    for k in ("m", "n"):
+        seen = [F.expr(f"int({x} > 0)") for x in (f"{k}0", f"{k}1", f"{k}0 + {k}1")]
+        right += [F.sum(x).alias(f"{k}_{name}") for x, name in zip(seen, WORD[:3], strict=True)]
+        left += [F.sum(x).alias(f"{k}_{name}") for x, name in zip([F.col(f"{k}0"), F.col(f"{k}1"), *seen], WORD[3:], strict=True)]
+    words = pairs.groupBy(F.col("w").alias("key")).agg(*right).join(pairs.groupBy(F.col("v").alias("key")).agg(*left), "key", "full").na.fill(0)
+    words = words.withColumn("slice", F.expr(f"int(key & {slices - 1})"))
+    words.repartition("slice").sortWithinPartitions("slice", "key").write.partitionBy("slice").parquet(paths[1])
+    words = spark.read.schema(words.schema).parquet(paths[1])
+    kept = tuple(frozenset(int(f.base_name[6:]) for f in fs.get_file_info(FileSelector(p)) if f.base_name.startswith("slice=")) for fs, p in map(file_system, paths))
+    models = []
+    for k in ("m", "n"):
+        total = words.agg(*[F.sum(f"{k}_{c}") for c in WORD[:3]], *[F.sum(F.expr(f"int({k}_{c} > 0)")) for c in ("r", "r0", "r1")]).first()
+        models.append(Model(*paths, kept, slices, k, tuple(float(x) for x in total)) if total[0] and total[1] else None)
+    return models[0], models[1]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -192,16 +251,12 @@ def curve_inputs(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = 1 << max(0, -(-size // SLICE_TEXT) - 1).bit_length()
     # only labelled texts are shuffled; the join is the same at every size
-    ours = known.where(remainder("doc_id").isin(0, 1))
-    counted = touched(docs.where(remainder("doc_id").isin(0, 1)), ours.select("doc_id"))
-    marked = counted.join(ours.hint("merge"), "doc_id")
-    pairs = counts(marked).persist()
-    try:
-        model = learn(pairs)
-    finally:
-        pairs.unpersist()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    ours = known.where(remainder("doc_id") != 2).withColumn("late", F.expr("int(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 3)"))
+    counted = touched(docs.where(remainder("doc_id") != 2), ours.select("doc_id"))
+    early, model = learn(counted.join(ours.hint("merge"), "doc_id"), slices)
     # at most CALIBRATION_ROWS labelled rows, by id hash
     ids = known.where(remainder("doc_id") == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
@@ -209,12 +264,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for b in batches:
-            rows = [NONE if sent.value is None else sent.value.features(hashed(t.as_py(), hashes)) for t in b.column(0)]
+            if not b.num_rows:
+                continue
+            rows = [NONE] * b.num_rows if early is None else early.features([hashed(t.as_py(), hashes) for t in b.column(0)])
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.float64()) for x in zip(*rows, strict=True)], b.column(1)], names=["a", "b", "c", "d", "toxic"])
 
     got = some.mapInArrow(measure, "a double, b double, c double, d double, toxic int").limit(2 * CALIBRATION_ROWS).toPandas().sort_values(["a", "b", "c", "d", "toxic"])
     x, y = got[["a", "b", "c", "d"]].to_numpy(float), got["toxic"].to_numpy(float)
-    if model is None or len(set(y)) < 2:
+    if early is None or len(set(y)) < 2:
         share = known.where(remainder("doc_id") != 2).agg(F.avg("toxic")).first()[0] or 0.0
         share = float(np.clip(share, 1e-6, 1 - 1e-6))
         return None, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0, 0])
@@ -224,13 +281,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]
 def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns in keep) with held_out, ratio, score and predicted."""
     model, curve = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast((model, curve))
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         hashes = word_hashes()
-        model, curve = sent.value
         column = b.column(b.schema.get_field_index("text"))
-        rows = [NONE if model is None else model.features(hashed(t.as_py(), hashes)) for t in column]
+        rows = [NONE] * b.num_rows if model is None else model.features([hashed(t.as_py(), hashes) for t in column])
         x = np.array(rows, float).reshape(-1, 4)
         s = 1 / (1 + np.exp(-np.clip(curve[0] + curve_inputs(x) @ curve[1:], -40, 40)))
         held = [zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else False for i in b.column(b.schema.get_field_index("doc_id")).to_pylist()]

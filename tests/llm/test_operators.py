@@ -257,6 +257,47 @@ def edited(text, seed, times):
     return " ".join(w)
 
 
+def test_toxicity_model_keeps_all_that_was_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE_TEXT", 2_000)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 300)
+    docs = [f"only{k} once{k} {prose(k, 40)}" for k in range(80)]
+    rows = [(t, int(k % 3 == 0), int(k % 4 == 1)) for k, t in enumerate(docs)]
+    early, model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int, late int"), 8)
+    hashes = toxicity.word_hashes()
+    for m, used in ((early, [r for r in rows if not r[2]]), (model, rows)):
+        n, into, out = defaultdict(lambda: [0, 0]), defaultdict(set), defaultdict(lambda: [0, 0])
+        for t, toxic, _ in used:
+            w = t.split()
+            for v, x in zip(["^", *w], w, strict=False):
+                n[v, x][toxic] += 1
+                into[x].add(v)
+                out[v][toxic] += 1
+        D, S = toxicity.DISCOUNT, toxicity.SHARED_MASS
+        c0, c1, c = (sum(1 for x in n.values() if f(x)) for f in (lambda x: x[0], lambda x: x[1], any))
+        kinds = len(into)
+        k = [len({x for (_, x), z in n.items() if z[b]}) for b in (0, 1)]
+
+        def expected(v, x):
+            if x not in into:
+                return 0.0
+            shared = (len(into[x]) + 0.5) / (c + 0.5 * kinds)
+            g = [(max(sum(1 for y in into[x] if n[y, x][b]) - D, 0) / shared + D * k[b] + min(c0, c1)) / ((c0, c1)[b] + min(c0, c1)) for b in (0, 1)]
+            if (v, x) not in n or not sum(n[v, x]):
+                return np.log(g[1] / g[0])
+            after = [z for (y, _), z in n.items() if y == v and sum(z)]
+            joint = (sum(n[v, x]) - D + D * len(after) * shared) / sum(out[v])
+            q = [(max(n[v, x][b] - D, 0) + (D * sum(1 for z in after if z[b]) + S) * joint * g[b]) / (out[v][b] + S) for b in (0, 1)]
+            return np.log(q[1] / q[0])
+
+        texts = ["only0 once0", "only5 once5", "once7 only7 nowhere", "", docs[9]]
+        got = m.features([toxicity.hashed(t, hashes) for t in texts])
+        for t, g in zip(texts, got, strict=True):
+            w = t.split()
+            assert abs(g[0] - (np.mean([expected(*x) for x in zip(["^", *w], w, strict=False)]) if w else 0)) < 1e-9
+        # a pair that was seen once has its own ratio
+        assert abs(got[0][0]) > 0.1
+
+
 def test_near_duplicates_match_brute_force(spark, edges, monkeypatch):
     base = [prose(k, 200) for k in range(12)]
     texts = [*EDGES, *base, *[edited(base[k % 12], k, k % 11) for k in range(150)]]
