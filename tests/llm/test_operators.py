@@ -187,6 +187,33 @@ def test_packing_covers_every_token_once(spark, edges):
     assert packing.pack(edges).select("doc_id").distinct().count() == len(EDGES)
 
 
+def test_packing_keeps_near_copies_in_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CENTRES", 1)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    docs = [prose(k // 2, 150) + (" nearly" if k % 2 else "") for k in range(300)]
+    shard = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(frame(spark, docs)).collect()}
+    assert len(set(shard.values())) >= 15
+    assert sum(shard[k] == shard[k + 1] for k in range(0, 300, 2)) >= 120
+    # equal texts are spread, in shards of about SHARD_DOCS
+    same = Counter(r.sequence_id >> 32 for r in packing.pack(frame(spark, [prose(1, 20)] * 200)).select("doc_id", "sequence_id").distinct().collect())
+    assert len(same) == 10
+
+
+@pytest.mark.parametrize("n", [4_000, 16_000])
+def test_packing_recall_of_near_copies_does_not_fall_with_size(n, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 200)
+    r = np.random.default_rng(n)
+    base = r.normal(size=(n // 2, packing.DIMS))
+    v = np.repeat(base / np.linalg.norm(base, axis=1, keepdims=True), 2, axis=0) + r.normal(size=(n, packing.DIMS)) * 0.005
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    shards = packing.Shards(v[:8].copy(), v[r.choice(n, packing.SHARD_SAMPLE * n // 200, replace=False)], n)
+    own, _ = shards.place(v, list(range(n)))
+    asked = np.arange(0, n, 100)
+    near = v[asked] @ v.T
+    near[np.arange(len(asked)), asked] = -1
+    assert (own[asked] == own[near.argmax(axis=1)]).mean() >= 0.8
+
+
 def test_walk_visits_all_and_follows_neighbours():
     v = np.random.default_rng(2).normal(size=(300, packing.DIMS)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
