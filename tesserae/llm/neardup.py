@@ -11,11 +11,12 @@ decontaminate.words().
    of the corpus, which random shards with all queries sent to each would do.
 2. First pass: shards of more than SHARD texts are split by id, and the text of the
    smallest id is sent to each part. Each text proposes its nearest earlier neighbour
-   and the smallest id within RADIUS bits (at similarity 0.8 the expected distance is 19
-   bits, with a deviation of 4). Proposals are verified on the whole texts and united.
+   and the smallest id within RADIUS bits (at similarity 0.8 the expected distance is 39
+   bits, with a deviation of 6; more where there are few shingles). Proposals are verified on the whole texts and united.
 3. Second pass, for wholeness: in shards whose texts are in more than one component,
    those outside the component of the smallest id are queries, sent to every part. All
-   pairs within RADIUS between components are compared there on their whole sets of
+   pairs within RADIUS (at any distance where a text has at most FEW shingles) between
+   components are found by a scan, not by a graph, and compared there on their whole sets of
    shingles, but for those whose sizes already rule a similarity of 0.8 out; only links
    leave a task.
    Nothing is capped: links left out by the first pass only are those within a component.
@@ -39,11 +40,13 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import stored
 from .decontaminate import words
-from .graph import Shard, components
+from .graph import Shard, components, exact
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 3
 RADIUS = 62
+#: Texts of so few shingles have SimHashes too coarse to rule anything out.
+FEW = 64
 SHARD = 512
 SIGNATURE = ["size", "s1", "s2", "s3", "s4"]
 BLOOM_BITS = 1 << 24
@@ -188,24 +191,24 @@ def remaining(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data, shard = None, [], None
+        now, data, codes = None, [], None
         out: list[tuple[int, int]] = []
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 key, part, query, rep, size, *code, root, main, raw, keys = row
                 if (key, part) != now:
-                    now, data, shard = (key, part), [], None
+                    now, data, codes = (key, part), [], None
                 if not query:
                     data.append(row)
                     continue
                 if not data:
                     continue
-                if shard is None:
-                    shard = Shard(np.array([r[5:9] for r in data], np.int64).view(np.uint64), RADIUS)
+                if codes is None:
+                    codes = np.array([r[5:9] for r in data], np.int64).view(np.uint64)
                     sets = [np.frombuffer(r[11], np.uint64) for r in data]
                     shared = [frozenset(np.frombuffer(r[12], np.int64).tolist()) for r in data]
                 mine, own, linked = np.frombuffer(raw, np.uint64), set(np.frombuffer(keys, np.int64).tolist()), {root}
-                for _, j in shard.within(np.array(code, np.int64).view(np.uint64)):
+                for _, j in exact(codes, np.array(code, np.int64).view(np.uint64), RADIUS if size > FEW else 256):
                     other, there, to = data[j][3], data[j][9], data[j][4]
                     # two queries meet twice: the later one looks
                     if there in linked or there != main and other > rep or not alike(size, to) or min(own & shared[j]) != key:

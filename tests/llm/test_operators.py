@@ -337,6 +337,21 @@ def test_near_duplicates_match_brute_force(spark, edges, monkeypatch):
     assert left.columns == edges.columns and left.count() == len(set(brute_classes(EDGES).values()))
 
 
+def test_near_duplicates_of_few_shingles_are_found_at_any_distance(spark):
+    hashes, docs = neardup.Hashes(), []
+    for k in range(2_000):
+        long = prose(k, 9)
+        short = long.rsplit(" ", 1)[0]
+        s, t = (neardup.shingles(decontaminate.words(x), hashes) for x in (short, long))
+        code = [np.frombuffer(neardup.simhash(x), np.uint64) for x in (s, t)]
+        if graph.distances(*code) > neardup.RADIUS and set(neardup.bands(s)) & set(neardup.bands(t)):
+            assert neardup.jaccard(s, t) == 0.8
+            docs += [short, long]
+    assert docs
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, docs)).collect()}
+    assert all(got[k] == got[k + 1] == k for k in range(0, len(docs), 2))
+
+
 def test_long_chains_are_one_class(spark):
     w = prose(77, 200).split()
     texts = []
