@@ -1,27 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
 Two models, toxic and ordinary, are counted over all labelled training rows by distributed
-sums. Each discounts its bigram counts; the discounted mass follows the bigrams of both
-classes together, tilted by the class's continuation counts, which are smoothed by
-continuation counts that both classes share. So a rare expression gets nearly the same
-probability from both. The log-likelihood ratio of a text is divided by its number of
-words; as an insult in a long text would vanish in that average, the best ratio of WINDOW
-words, divided likewise, and the number of windows that lean to toxic are used as well. A
-logistic curve on these numbers, fitted on training rows that the counts have not seen
-(at most CALIBRATION_ROWS), gives the score.
+sums. With n_c counts of class c, D and E discounts and M and K pseudo-counts,
+
+    p_c(w | v) = (max(n_c(v w) - D, 0) + (sum of min(n_c(v .), D) + M) * u_c(w)) / (n_c(v .) + M)
+    u_c(w) = (max(r_c(w) - E, 0) + (sum of min(r_c, E) + K) * s(w)) / (sum of r_c + K)
+
+where r_c(w) are the different words before w in class c, and s(w) the like over both
+classes, with half a count for each word and for the unknown one. So both are distributions
+over the words, and a rare expression, whose few counts are discounted away, gets nearly the
+same probability from both: that of the shared backoff counts.
+
+The log-likelihood ratio of a text is divided by its number of words; as an insult in a long
+text would vanish in that average, the best ratios of one, two and three words and the
+numbers of words that lean to toxic are used as well. A logistic curve on these numbers,
+fitted on training rows that the counts have not seen (at most CALIBRATION_ROWS), gives the
+score. Words that no training row has are left out of both likelihoods.
 
 Rows whose crc32(doc_id as text) % 4 is 2 are held out and used for nothing; remainders 0
 and 1 are counted and 3 calibrates. Once the curve is fitted, 3 is counted as well.
 
-Every word and bigram that was counted, once or often, is in the model; pairs never seen
-back off to the word. The model is stored in the shared folder in slices by hash, as many
-as the texts are large, and a block of texts is looked up in one slice after another. So
-memory is bounded by a block and a slice, but each block reads the stored model once.
+Every word and bigram that was counted, once or often, is in the model. It is stored in the
+shared folder in slices by hash, as many as the texts are large; each slice is added up by
+one task from the packed counts of blocks of texts. A block of texts is looked up in one
+slice after another, so memory is bounded by a block and a slice, but each block of
+BLOCK_WORDS words reads the stored model once.
 
-Edge cases: null and empty texts and texts of unknown words have a ratio of 0 and get the
-score of that. Labels that are null or not 0/1 are left out; of several labels of an id
-the highest counts. Without labels of both kinds the score is the known share of toxic
-rows, 0 without any.
+Edge cases: null and empty texts have ratios of 0 and get the score of that. Labels that are
+null or not 0/1 are left out; of several labels of an id the highest counts. Without labels
+of both kinds the score is the known share of toxic rows, 0 without any.
 """
 
 from __future__ import annotations
@@ -33,86 +40,176 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns, file_system, shared_path
-from .neardup import Hashes, touched, word_hashes
-
-#: Words of a window, and the length-normalised ratio from which it leans to toxic.
-WINDOW, LEANS = 3, 0.8
-#: Pseudo-count of the shared bigram distribution in each context of each class.
-SHARED_MASS = 4.0
-DISCOUNT = 0.75
+from .neardup import touched
+from .wordhash import hashes
+
+#: Discounts of bigrams and of continuations.
+DISCOUNT, CONTINUATION = 3, 3
+#: Pseudo-counts of a context's backoff, and of the shared counts as a share of the smaller class's continuations.
+BACKOFF_MASS, SHARED_SHARE = 20.0, 0.3
+#: Words of the longest window, and ratios from which a word leans to toxic.
+WINDOW, LEANS = 3, (0.5, 1.0, 1.5, 2.0)
 #: Text of a slice of the model, words that are counted before they are sent and words that are looked up together.
-SLICE_TEXT, COUNTED_WORDS, BLOCK_WORDS = 16_000_000, 1_500_000, 1_000_000
+SLICE_TEXT, COUNTED_WORDS, BLOCK_WORDS = 64_000_000, 1_500_000, 1_500_000
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 BREAKS = bytes((c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 or c == 39 else 32) for c in range(256))
+START = np.uint64(1)
+#: Counts of a bigram: rows that are not late by class, all rows by class.
+COUNTS = ["m0", "m1", "n0", "n1"]
+#: Of a word: different words before it by class and in all; its occurrences as a context and what is discounted of them, by class.
+WORD = ["r0", "r1", "r", "x0", "x1", "d0", "d1"]
+FACTS = [f"{k}_{c}" for k in "mn" for c in WORD]
+FEATURES = 1 + WINDOW + len(LEANS) + 1
+NONE = (0.0,) * FEATURES
 
 
-def hashed(text: str | None, hashes: Hashes) -> np.ndarray:
-    w = text.encode().translate(BREAKS).split() if text else []
-    return np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+def hashed(text: str | None) -> np.ndarray:
+    return hashes(text.encode().translate(BREAKS)) if text else np.zeros(0, np.uint64)
 
 
 def remainder(column) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
 
 
-def counts(marked: DataFrame, slices: int) -> DataFrame:
-    """Occurrences of each (left, right) word pair by class, over all rows of marked (text, toxic, late), a slice in one partition.
+def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of a pair of word hashes."""
+    return v ^ (w << np.uint64(1) | w >> np.uint64(63))
 
-    m0 and m1 are those of rows that are not late, n0 and n1 those of all rows.
-    """
+
+def slice_of(v: np.ndarray, slices: int) -> np.ndarray:
+    return (v >> np.uint64(7)) & np.uint64(slices - 1)
+
+
+def added(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, sorted, and the sums of their columns of n."""
+    order = np.lexsort((w, v))
+    v, w, n = v[order], w[order], n[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+    return v[first], w[first], np.add.reduceat(n, first, axis=1, dtype=np.uint32)
+
+
+def packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs and their counts: runs of v, and places of w in the list of its values."""
+    begins = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    names, place = np.unique(w, return_inverse=True)
+    runs = np.diff(np.append(begins, len(v))).astype("<u4")
+    parts = [np.array([len(v), len(begins), len(names)], "<u4"), v[begins], names, *(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T) for x in (runs, place.astype("<u4"), *n.astype("<u4")))]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    size, n_runs, n_names = np.frombuffer(raw, "<u4", 3).tolist()
+    at = 12 + 8 * (n_runs + n_names)
+
+    def numbers(count: int) -> np.ndarray:
+        nonlocal at
+        x = np.frombuffer(raw, np.uint8, 4 * count, at).reshape(4, count)
+        at += 4 * count
+        return np.ascontiguousarray(x.T).view("<u4").ravel()
+
+    v, names = np.frombuffer(raw, np.uint64, n_runs, 12), np.frombuffer(raw, np.uint64, n_names, 12 + 8 * n_runs)
+    return np.repeat(v, numbers(n_runs)), names[numbers(size)], np.stack([numbers(size) for _ in range(4)])
+
+
+def counts(marked: DataFrame, slices: int) -> DataFrame:
+    """Packed occurrences of each (left, right) word pair of marked (text, toxic, late), by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        held: list[np.ndarray] = []
+        kinds: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            held, kinds, size = [], [], 0
-            for k, (text, toxic, late) in enumerate(zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                w = hashed(text.as_py(), hashes)
+            for text, toxic, late in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = hashed(text.as_py())
                 if len(w):
-                    held.append(np.stack([np.concatenate([[START], w[:-1]]), w], axis=1))
+                    held.append(w)
                     kinds.append(np.full(len(w), 2 * late + toxic, np.int8))
                     size += len(w)
-                if held and (size >= COUNTED_WORDS or k == b.num_rows - 1):
-                    yield table(np.concatenate(held), np.concatenate(kinds))
+                if size >= COUNTED_WORDS:
+                    yield sent(held, np.concatenate(kinds))
                     held, kinds, size = [], [], 0
+        if held:
+            yield sent(held, np.concatenate(kinds))
 
-    def table(pairs: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        p, kinds = pairs[order], kinds[order]
-        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)]))
-        x = [np.add.reduceat(kinds == k, first, dtype=np.int64) for k in range(4)]
-        p = p[first]
-        own = slice_of(p[:, 0], p[:, 1], slices).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(np.ascontiguousarray(p[:, k]).view(np.int64)) for k in range(2)], *[pa.array(n) for n in (x[0], x[1], x[0] + x[2], x[1] + x[3])]], names=["slice", "v", "w", *COUNTS])
-
-    sent = marked.select("text", "toxic", "late").mapInArrow(run, "slice int, v long, w long, m0 long, m1 long, n0 long, n1 long")
-    return sent.repartition("slice").groupBy("slice", "v", "w").agg(*[F.sum(c).alias(c) for c in COUNTS])
-
+    def sent(held: list[np.ndarray], kinds: np.ndarray) -> pa.RecordBatch:
+        w, v = np.concatenate(held), before(held)
+        v, w, n = added(v, w, np.stack([kinds == k for k in range(4)]).view(np.uint8))
+        n = np.stack([n[0], n[1], n[0] + n[2], n[1] + n[3]])
+        own = slice_of(v, slices)
+        used = np.unique(own)
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed(v[at], w[at], n[:, at]) for at in (own == k for k in used)], pa.binary())], names=["slice", "pairs"])
 
-START = np.uint64(1)
-NONE = (0.0, 0.0, 0.0, 0.0)
-COUNTS = ["m0", "m1", "n0", "n1"]
-#: Of a word: pairs it ends by class and in all, its occurrences as a context and the pairs it begins.
-WORD = ["r0", "r1", "r", "x0", "x1", "l0", "l1", "l"]
+    return marked.select("text", "toxic", "late").mapInArrow(run, "slice int, pairs binary")
 
 
-def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The key of a pair of word hashes, as PAIR makes it; signed, as Spark sorts it."""
-    return (v ^ (w << np.uint64(1) | w >> np.uint64(63))).view(np.int64)
+def before(many: list[np.ndarray]) -> np.ndarray:
+    """The word before each word of texts, START for a first one."""
+    w = np.concatenate(many)
+    if not len(w):
+        return w
+    v = np.concatenate([[START], w[:-1]])
+    begins = np.cumsum([0, *map(len, many[:-1])])
+    v[begins[begins < len(w)]] = START
+    return v
 
 
-PAIR = "v ^ (shiftleft(w, 1) | shiftrightunsigned(w, 63))"
-#: w from the pair's key and v.
-RIGHT = "shiftrightunsigned(key ^ v, 1) | shiftleft(key ^ v, 63)"
+def summed(sent: DataFrame, folder: str) -> DataFrame:
+    """Writes each slice's pairs, sorted by key, to a file of the folder; returns what they say about words, summed by word."""
 
+    def words(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        names = np.unique(np.concatenate([v, w]))
+        left, right = np.searchsorted(names, v), np.searchsorted(names, w)
+        per = lambda at, x: np.bincount(at, weights=x, minlength=len(names)).astype(np.int64)
+        out = []
+        for k in (0, 2):
+            seen = [n[k] > 0, n[k + 1] > 0]
+            out += [per(right, x) for x in (*seen, seen[0] | seen[1])]
+            out += [per(left, n[k + c]) for c in (0, 1)] + [per(left, np.minimum(n[k + c], DISCOUNT)) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (names.view(np.int64), *out)], names=["key", *FACTS])
 
-def slice_of(v: np.ndarray, w: np.ndarray, slices: int) -> np.ndarray:
-    return ((v >> np.uint64(7)) ^ w) & np.uint64(slices - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != now and held:
+                    yield written(now, *joined(held))
+                    held, size = [], 0
+                now = k
+                held.append(unpacked(raw.as_py()))
+                size += len(held[-1][0])
+                if size > 3_000_000 and len(held) > 1:  # blocks repeat pairs: add up before more are read
+                    held = [joined(held)]
+                    size = len(held[0][0])
+        if held:
+            yield written(now, *joined(held))
+
+    def joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return added(*[np.concatenate(x, axis=-1) for x in zip(*held, strict=True)])
+
+    def written(k: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        key = pair(v, w).view(np.int64)
+        order = np.argsort(key)
+        fs, base = file_system(folder)
+        fs.create_dir(base, recursive=True)
+        temporary = f"{base}/.{k}-{TaskContext.get().taskAttemptId()}"
+        table = pa.table([pa.array(key[order]), *[pa.array(x[order]) for x in n]], names=["key", *COUNTS])
+        pq.write_table(table, temporary, filesystem=fs, compression="zstd", use_dictionary=COUNTS, column_encoding={"key": "DELTA_BINARY_PACKED"})
+        fs.move(temporary, f"{base}/slice={k}")  # a task that runs again replaces the file by an equal one
+        return words(v, w, n)
+
+    sorted_ = sent.repartition("slice").sortWithinPartitions("slice")
+    found = sorted_.mapInArrow(run, ", ".join(f"{c} long" for c in ["key", *FACTS]))
+    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in FACTS])
 
 
 @dataclass
@@ -132,9 +229,9 @@ class Model:
 
     def search(self, which: int, keys: np.ndarray, own: np.ndarray, columns: list[str]) -> np.ndarray:
         """The columns of the keys in the slices own; 0 where a key is not in the table. A slice is one file, sorted by key."""
-        out = np.zeros((len(columns), len(keys)))
+        out = np.zeros((len(columns), len(keys)), np.float32)
         fs, path = file_system((self.pairs, self.words)[which])
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.uint16) if self.slices <= 1 << 16 else own, kind="stable").astype(np.int32)
         bounds = np.searchsorted(own[order], np.arange(self.slices + 1, dtype=np.uint64))
         for k in self.kept[which]:
             rows = order[bounds[k] : bounds[k + 1]]
@@ -150,35 +247,30 @@ class Model:
         return out
 
     def ratios(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The log-likelihood ratio of each word w after v: of the bigram, of the word where that was never seen, or 0."""
-        keys, first, back = np.unique(pair(v, w), return_index=True, return_inverse=True)
-        v, w = v[first], w[first]
-        n0, n1 = self.search(0, keys, slice_of(v, w, self.slices), [f"{self.kind}0", f"{self.kind}1"])
+        """log p_1(w | v) / p_0(w | v) of each word w after v, 0 for unknown words."""
+        keys, first, back = np.unique(pair(v, w).view(np.int64), return_index=True, return_inverse=True)
+        v, w, back = v[first], w[first], back.astype(np.int32)
+        n = self.search(0, keys, slice_of(v, self.slices), [f"{self.kind}{c}" for c in (0, 1)])
         names = np.unique(np.concatenate([v, w]))
         of = self.search(1, names.view(np.int64), names & np.uint64(self.slices - 1), [f"{self.kind}_{c}" for c in WORD])
-        r0, r1, r = of[:3, np.searchsorted(names, w)]
-        x0, x1, l0, l1, l_ = of[3:, np.searchsorted(names, v)]
-        c0, c1, c, kinds, k0, k1 = self.totals
-        shared = (r + 0.5) / (c + 0.5 * kinds)
-        own_mass = min(c0, c1)
-
-        def tilt(t: np.ndarray, all_t: float, kinds_: float) -> np.ndarray:
-            """A class's continuation probability over the shared one."""
-            return ((np.maximum(t - DISCOUNT, 0) / shared) + DISCOUNT * kinds_ + own_mass) / (all_t + own_mass)
-
-        g0, g1 = tilt(r0, c0, k0), tilt(r1, c1, k1)
-        joint = (np.maximum(n0 + n1 - DISCOUNT, 0) + DISCOUNT * l_ * shared) / np.maximum(x0 + x1, 1)
-
-        def upper(n: np.ndarray, all_n: np.ndarray, t: np.ndarray, g: np.ndarray) -> np.ndarray:
-            return (np.maximum(n - DISCOUNT, 0) + (DISCOUNT * t + SHARED_MASS) * joint * g) / (all_n + SHARED_MASS)
-
-        seen = n0 + n1 > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log(upper(n1, x1, l1, g1) / upper(n0, x0, l0, g0))
-        return np.where(seen, own, np.where(r > 0, np.log(g1 / g0), 0.0))[back]
+        left, right = np.searchsorted(names, v).astype(np.int32), np.searchsorted(names, w).astype(np.int32)
+        known = of[2] > 0
+        logs = []
+        for c in (0, 1):
+            u, x, lost = self.unigram(of, c), of[3 + c], of[5 + c]
+            above = np.maximum(n[c] - DISCOUNT, 0) + ((lost + BACKOFF_MASS).astype(float)[left] * u[right])
+            logs.append(np.log(above) - np.log(x + BACKOFF_MASS)[left])
+        return np.where(known[right], logs[1] - logs[0], 0.0).astype(np.float32)[back]
+
+    def unigram(self, of: np.ndarray, c: int) -> np.ndarray:
+        """u_c of words with these WORD facts."""
+        all_r, kinds = self.totals[2], self.totals[3]
+        shared = (of[2] + 0.5) / (all_r + 0.5 * (kinds + 1))
+        mass = SHARED_SHARE * min(self.totals[:2])
+        return (np.maximum(of[c] - CONTINUATION, 0) + (self.totals[4 + c] + mass) * shared) / (self.totals[c] + mass)
 
     def features(self, many: list[np.ndarray]) -> list[tuple[float, ...]]:
-        """Of each text: length-normalised ratio of the text and of its best window, windows that lean to toxic and words (logarithms)."""
+        """Of each text: length-normalised ratio of the text, best ratios of up to WINDOW words, words that lean to toxic and words (logarithms)."""
         out: list[tuple[float, ...]] = []
         at = 0
         while at < len(many):
@@ -188,49 +280,55 @@ class Model:
                 end += 1
             some = many[at:end]
             w = np.concatenate(some)
-            r = np.zeros(0)
-            if len(w):
-                v = np.concatenate([[START], w[:-1]])
-                begins = np.cumsum([0, *map(len, some[:-1])])
-                v[begins[begins < len(w)]] = START
-                r = self.ratios(v, w)
+            r = self.ratios(before(some), w) if len(w) else np.zeros(0)
             for x in np.split(r, np.cumsum(list(map(len, some)))[:-1]):
                 if not len(x):
                     out.append(NONE)
                     continue
-                total = np.concatenate([[0.0], np.cumsum(x)])
-                width = min(WINDOW, len(x))
-                windows = (total[width:] - total[:-width]) / width
-                out.append((float(x.mean()), float(windows.max()), float(np.log1p((windows > LEANS).sum())), float(np.log1p(len(x)))))
+                total = np.concatenate([[0.0], np.cumsum(x, dtype=float)])
+                best = []
+                for size in range(1, WINDOW + 1):
+                    width = min(size, len(x))
+                    best.append(float(((total[width:] - total[:-width]) / width).max()))
+                out.append((float(total[-1] / len(x)), *best, *(float(np.log1p((x > t).sum())) for t in LEANS), float(np.log1p(len(x)))))
             at = end
         return out
 
 
+def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[list[np.ndarray]]:
+    """The hashed words of the texts of a column, about BLOCK_WORDS at a time."""
+    held, size = [], 0
+    for t in column:
+        held.append(hashed(t.as_py()))
+        size += len(held[-1])
+        if size >= BLOCK_WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def learn(marked: DataFrame, slices: int) -> tuple[Model | None, Model | None]:
     """The models of the rows that are not late and of all rows. Everything counted is stored; six totals of each come to the driver."""
     spark = marked.sparkSession
     paths = shared_path(spark, "bigrams"), shared_path(spark, "words")
-    sliced = counts(marked, slices).withColumn("key", F.expr(PAIR)).select("key", "v", *COUNTS, "slice")
-    sliced.sortWithinPartitions("slice", "key").write.partitionBy("slice").parquet(paths[0])
-    pairs = spark.read.schema(sliced.schema).parquet(paths[0]).withColumn("w", F.expr(RIGHT))
-    right, left = [], []
-    for k in ("m", "n"):
-        seen = [F.expr(f"int({x} > 0)") for x in (f"{k}0", f"{k}1", f"{k}0 + {k}1")]
-        right += [F.sum(x).alias(f"{k}_{name}") for x, name in zip(seen, WORD[:3], strict=True)]
-        left += [F.sum(x).alias(f"{k}_{name}") for x, name in zip([F.col(f"{k}0"), F.col(f"{k}1"), *seen], WORD[3:], strict=True)]
-    words = pairs.groupBy(F.col("w").alias("key")).agg(*right).join(pairs.groupBy(F.col("v").alias("key")).agg(*left), "key", "full").na.fill(0)
-    words = words.withColumn("slice", F.expr(f"int(key & {slices - 1})"))
+    words = summed(counts(marked, slices), paths[0]).withColumn("slice", F.expr(f"int(key & {slices - 1})"))
     words.repartition("slice").sortWithinPartitions("slice", "key").write.partitionBy("slice").parquet(paths[1])
     words = spark.read.schema(words.schema).parquet(paths[1])
-    kept = tuple(frozenset(int(f.base_name[6:]) for f in fs.get_file_info(FileSelector(p)) if f.base_name.startswith("slice=")) for fs, p in map(file_system, paths))
+    kept = tuple(frozenset(int(f.base_name[6:]) for f in found if f.base_name.startswith("slice=")) for found in map(listed, paths))
     models = []
     for k in ("m", "n"):
-        total = words.agg(*[F.sum(f"{k}_{c}") for c in WORD[:3]], *[F.sum(F.expr(f"int({k}_{c} > 0)")) for c in ("r", "r0", "r1")]).first()
+        total = words.agg(*[F.sum(f"{k}_{c}") for c in WORD[:3]], F.sum(F.expr(f"int({k}_r > 0)")), *[F.sum(F.least(F.col(f"{k}_{c}"), F.lit(CONTINUATION))) for c in WORD[:2]]).first()
         models.append(Model(*paths, kept, slices, k, tuple(float(x) for x in total)) if total[0] and total[1] else None)
     return models[0], models[1]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def listed(folder: str) -> list:
+    fs, path = file_system(folder)
+    return fs.get_file_info(FileSelector(path, allow_not_found=True))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method; the columns of x are scaled first."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
@@ -244,11 +342,6 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.concatenate([[b[0] - (b[1:] * mean / scale).sum()], b[1:] / scale])
 
 
-def curve_inputs(x: np.ndarray) -> np.ndarray:
-    """The features and a bend in two of them."""
-    return np.concatenate([x, np.maximum(x[:, 1:2] - LEANS, 0), np.maximum(x[:, 2:3] - 1, 0)], axis=1)
-
-
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -257,25 +350,26 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]
     ours = known.where(remainder("doc_id") != 2).withColumn("late", F.expr("int(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 3)"))
     counted = touched(docs.where(remainder("doc_id") != 2), ours.select("doc_id"))
     early, model = learn(counted.join(ours.hint("merge"), "doc_id"), slices)
-    # at most CALIBRATION_ROWS labelled rows, by id hash
+    # at most CALIBRATION_ROWS labelled rows, by id hash; of several texts of an id the one of the smallest hash
     ids = known.where(remainder("doc_id") == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    there = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    some = there.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
+    names = [f"f{k}" for k in range(FEATURES)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [NONE] * b.num_rows if early is None else early.features([hashed(t.as_py(), hashes) for t in b.column(0)])
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.float64()) for x in zip(*rows, strict=True)], b.column(1)], names=["a", "b", "c", "d", "toxic"])
+            rows = [NONE] * b.num_rows if early is None else [x for some in blocks(b.column(0)) for x in early.features(some)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.float64()) for x in zip(*rows, strict=True)], b.column(1)], names=[*names, "toxic"])
 
-    got = some.mapInArrow(measure, "a double, b double, c double, d double, toxic int").limit(2 * CALIBRATION_ROWS).toPandas().sort_values(["a", "b", "c", "d", "toxic"])
-    x, y = got[["a", "b", "c", "d"]].to_numpy(float), got["toxic"].to_numpy(float)
+    got = some.mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", toxic int").toPandas().sort_values([*names, "toxic"])
+    x, y = got[names].to_numpy(float), got["toxic"].to_numpy(float)
     if early is None or len(set(y)) < 2:
         share = known.where(remainder("doc_id") != 2).agg(F.avg("toxic")).first()[0] or 0.0
         share = float(np.clip(share, 1e-6, 1 - 1e-6))
-        return None, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0, 0])
-    return model, fit_curve(curve_inputs(x), y)
+        return None, np.array([np.log(share / (1 - share)), *NONE])
+    return model, fit_curve(x, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -283,11 +377,10 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     model, curve = train(docs, labels)
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        hashes = word_hashes()
         column = b.column(b.schema.get_field_index("text"))
-        rows = [NONE] * b.num_rows if model is None else model.features([hashed(t.as_py(), hashes) for t in column])
-        x = np.array(rows, float).reshape(-1, 4)
-        s = 1 / (1 + np.exp(-np.clip(curve[0] + curve_inputs(x) @ curve[1:], -40, 40)))
+        rows = [NONE] * b.num_rows if model is None else [x for some in blocks(column) for x in model.features(some)]
+        x = np.array(rows, float).reshape(-1, FEATURES)
+        s = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -40, 40)))
         held = [zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else False for i in b.column(b.schema.get_field_index("doc_id")).to_pylist()]
         return [pa.array(held), pa.array(x[:, 0]), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
 
