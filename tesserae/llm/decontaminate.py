@@ -1,17 +1,22 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is document-partitioned: each row covers a block of whole training texts and
-holds, for every term of the test set, the sorted positions of its occurrences in that
-block. Building and searching need no shuffle. A search intersects offset-adjusted
-posting lists, beginning with the terms that are rarest in the block, so that most
-phrases end at an empty list. Phrases and proximity matches are exact.
-
-Test phrases travel to the executors in slices of at most SLICE_BYTES, one search of the
-stored index for each slice, so a large test set doesn't grow a broadcast.
+The index is document-partitioned and stored: each row covers a block of whole training
+texts and holds, for every term, the sorted positions of its occurrences in that block.
+Building and searching need no shuffle of texts, and one index serves any test set.
+
+The test set's windows of words are stored in files of about SLICE_BYTES. A search takes a
+block of the index and goes through these files one after another, so memory is bounded by a
+block and a file, and all that is found in a document meets in one row. Posting lists are
+intersected from the rarest term of the block on, with offsets for phrases and within a
+distance for proximity, so that most windows end at an empty list. Both kinds of match are
+exact: a phrase is a window word by word; a proximity match is a stretch of at most the
+window's length and SLACK more words of one document that holds all words of the window, as
+often as the window does, in any order. Each phrase is one as well.
 
 Edge cases: null and word-less texts have no positions; a null item has no phrase, an
 item shorter than the window is one phrase of its own length; repeated items each count
-under their own id, repeated ids count once; empty tables give no hits.
+under their own id, repeated ids count once, null item ids are left out; each row of the
+documents gives a row, repeated and null ids included; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -19,104 +24,110 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import file_system, stored
 
 #: ASCII other than letters and digits separates words; A-Z becomes a-z; all else belongs to words.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32) for c in range(256))
 BLOCK_TOKENS = 1_000_000
-SLICE_BYTES = 4_000_000
-VOCABULARY_BYTES = 32_000_000
-INDEX = "docs binary, lengths binary, terms array<binary>, counts binary, postings binary"
+SLICE_BYTES = 8_000_000
+SLACK = 2
+INDEX = "docs array<bigint>, lengths binary, terms binary, counts binary, postings binary"
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, name: str = "postings") -> DataFrame:
-    """Stores the positions of the vocabulary's terms: a row for each block of documents.
+class Numbers(dict):
+    """Numbers new words in order."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def build_index(docs: DataFrame, name: str = "postings") -> DataFrame:
+    """Stores the positions of all terms: a row for each block of documents.
 
     docs and lengths: ids and numbers of words of the block's documents, in order.
     Positions count over the block, with a gap of one after each document.
-    The vocabulary is that of the test set; terms outside it can't take part in a match.
-    Without one, all terms are indexed.
     """
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(None if vocabulary is None else {w: k for k, w in enumerate(sorted(vocabulary))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = known.value or {}
-        names = list(number)
-        every = known.value is None
-
-        def term(w: bytes) -> int:
-            if (k := number.get(w)) is None:
-                k = number[w] = len(names)
-                names.append(w)
-            return k
-
-        def block(ids: list[int], sizes: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-            at = np.concatenate([[0], np.cumsum(np.array(sizes) + 1)[:-1]]).astype(np.int64)
+        number, ids, sizes, found, total = Numbers(), [], [], [], 0
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def block() -> pa.RecordBatch:
+            lengths = np.array(sizes, np.int64)
             terms = np.concatenate(found)
-            lengths = np.array([len(x) for x in found])
-            # found holds a term or -1 for each word; drop the others, keep block positions
-            where = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(at, lengths)
-            keep = terms >= 0
-            terms, where = terms[keep], where[keep].astype(np.int32)
+            where = np.arange(len(terms)) + np.repeat(np.arange(len(sizes)), lengths)
             order = np.argsort(terms, kind="stable")
-            used, counts = np.unique(terms, return_counts=True)
-            row = [np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), [names[k] for k in used], counts.astype(np.int32).tobytes(), where[order].tobytes()]
-            kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+            steps = np.diff(where[order].astype("<i4"), prepend=np.int32(0))
+            row = [ids, lengths.astype("<i4").tobytes(), pack(b" ".join(number)), np.bincount(terms, minlength=len(number)).astype("<i4").tobytes(), pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())]
+            kinds = [pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-        ids: list[int] = []
-        sizes: list[int] = []
-        found: list[np.ndarray] = []
-        total = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = words(t.as_py())
                 ids.append(i)
                 sizes.append(len(w))
-                found.append(np.array([term(x) for x in w] if every else [number.get(x, -1) for x in w], dtype=np.int32))
-                total += len(w)
+                found.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+                total += len(w) + 1
                 if total >= BLOCK_TOKENS:
-                    yield block(ids, sizes, found)
-                    ids, sizes, found, total = [], [], [], 0
-                    if every:
-                        number.clear()
-                        names.clear()
+                    yield block()
+                    number, ids, sizes, found, total = Numbers(), [], [], [], 0
         if ids:
-            yield block(ids, sizes, found)
+            yield block()
 
-    return stored(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, INDEX), name)
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX), name)
 
 
 class Block:
     """One row of the index, opened for searching."""
 
-    def __init__(self, docs: bytes, lengths: bytes, terms: list[bytes], counts: bytes, postings: bytes):
-        self.docs = np.frombuffer(docs, np.int64)
-        self.lengths = np.frombuffer(lengths, np.int32)
+    def __init__(self, docs: list[int | None], lengths: bytes, terms: bytes, counts: bytes, postings: bytes):
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.docs = docs
+        self.lengths = np.frombuffer(lengths, "<i4")
         self.starts = np.concatenate([[0], np.cumsum(self.lengths.astype(np.int64) + 1)[:-1]])
-        ends = np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)
-        where = np.frombuffer(postings, np.int32)
-        self.lists = {t: where[a:b] for t, a, b in zip(terms, [0, *ends[:-1].tolist()], ends.tolist(), strict=False)}
+        self.counts = np.frombuffer(counts, "<i4")
+        self.ends = np.cumsum(self.counts, dtype=np.int64)
+        steps = np.frombuffer(unpack(postings), np.uint8).reshape(4, -1)
+        self.where = np.cumsum(np.ascontiguousarray(steps.T).view("<i4").ravel(), dtype=np.int32)
+        self.number = {t: k for k, t in enumerate(unpack(terms).split(b" "))} if len(self.counts) else {}
+
+    def list(self, k: int) -> np.ndarray:
+        return self.where[self.ends[k] - self.counts[k] : self.ends[k]]
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def close(self, terms: list[int], span: int) -> np.ndarray:
+        """Places of the rarest term that have each other term fewer than span words away; all matches hold one of them."""
+        lists = sorted((self.list(k) for k in set(terms)), key=len)
+        at = lists[0]
+        for x in lists[1:]:
+            if not len(at):
+                break
+            to = np.searchsorted(x, at)
+            after, before = x[np.minimum(to, len(x) - 1)] - at, at - x[np.maximum(to - 1, 0)]
+            at = at[((after >= 0) & (after < span)) | ((before >= 0) & (before < span))]
+        return at
 
-    def phrase(self, terms: list[bytes]) -> np.ndarray:
+    def phrase(self, terms: list[int]) -> np.ndarray:
         """Block positions at which the terms occur one after another."""
-        lists = []
-        for k, t in enumerate(terms):
-            if (x := self.lists.get(t)) is None:
-                return EMPTY
-            lists.append((len(x), k, x))
-        lists.sort(key=lambda x: x[:2])
+        lists = sorted(((len(x), k, x) for k, x in ((k, self.list(t)) for k, t in enumerate(terms))), key=lambda x: x[:2])
         at = lists[0][2] - lists[0][1]
         for _, k, x in lists[1:]:
             if not len(at):
@@ -126,67 +137,125 @@ class Block:
             at = at[x[to] == at + k]
         return at
 
-    def near(self, terms: list[bytes], span: int) -> np.ndarray:
-        """Starts of the shortest stretches, of at most span words in one document, that hold all terms in any order."""
-        need = defaultdict(int)
+    def near(self, terms: list[int], span: int, at: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """The shortest stretches (first, last + 1) of at most span words in one document that hold all terms in any order."""
+        need: dict[int, int] = defaultdict(int)
         for t in terms:
             need[t] += 1
-        if any(t not in self.lists for t in need):
-            return EMPTY
-        rarest = min(need, key=lambda t: len(self.lists[t]))
         out = set()
-        for p in self.lists[rarest].tolist():
-            d = int(np.searchsorted(self.starts, p, side="right")) - 1
-            low, high = int(self.starts[d]), int(self.starts[d] + self.lengths[d])
-            for a in range(max(low, p - span + 1), p + 1):
-                b = min(high, a + span)
-                if all(np.searchsorted(x := self.lists[t], b) - np.searchsorted(x, a) >= n for t, n in need.items()):
-                    out.add(a)
-        return np.array(sorted(out), np.int32)
+        for p in (self.close(terms, span) if at is None else at).tolist():
+            d = int(self.document(np.array([p]))[0])
+            low, high = max(int(self.starts[d]), p - span + 1), min(int(self.starts[d] + self.lengths[d]), p + span)
+            inside = sorted((int(x), t) for t in need for x in self.list(t)[slice(*np.searchsorted(self.list(t), (low, high)))])
+            have: dict[int, int] = defaultdict(int)
+            first = missing = 0
+            missing = len(terms)
+            for x, t in inside:
+                missing -= have[t] < need[t]
+                have[t] += 1
+                while have[inside[first][1]] > need[inside[first][1]]:
+                    have[inside[first][1]] -= 1
+                    first += 1
+                if not missing and x + 1 - inside[first][0] <= span:
+                    out.add((inside[first][0], x + 1))
+        # a stretch that holds another one is not the shortest
+        return [s for s in sorted(out) if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in out)]
+
+
+@dataclass
+class Slice:
+    """Windows of the test set: words and items of each, and the windows as rows of numbers of words (-1 behind their end)."""
+
+    names: list[bytes]
+    rows: np.ndarray
+    items: list[list[str]]
+
+
+def windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """phrase (its words, with spaces between) and items of each different window of the test set, stored in files of about SLICE_BYTES."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = set()
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = words(t.as_py())
+                out.update((b" ".join(w[k : k + size]), i) for k in range(max(1, len(w) - size + 1) if w else 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.string()), strict=True)], names=["phrase", "item"])
 
-EMPTY = np.zeros(0, np.int32)
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "phrase binary, item string")
+    found = stored(items.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    total = found.agg(F.sum(F.octet_length("phrase") + F.expr("aggregate(items, 0L, (t, i) -> t + octet_length(i))"))).first()[0] or 0
+    return stored(found.repartition(max(1, -(-total // SLICE_BYTES))), "phrases")
 
 
-def windows(items: list[tuple[int, list[bytes]]], size: int) -> dict[tuple[bytes, ...], list[int]]:
-    """Each distinct phrase and the items that hold it."""
-    out: dict[tuple[bytes, ...], dict[int, None]] = {}
-    for i, w in items:
-        for k in range(max(1, len(w) - size + 1) if w else 0):
-            out.setdefault(tuple(w[k : k + size]), {})[i] = None
-    return {p: list(x) for p, x in out.items()}
+def opened(fs, path: str) -> Slice:
+    t = pq.read_table(path, filesystem=fs)
+    split = [p.split(b" ") for p in t.column("phrase").to_pylist()]
+    number = Numbers()
+    longest = max(map(len, split), default=1)
+    rows = np.full((len(split), longest), -1, np.int32)
+    for k, p in enumerate(split):
+        rows[k, : len(p)] = list(map(number.__getitem__, p))
+    return Slice(list(number), rows, t.column("items").to_pylist())
 
 
-HITS = "doc_id long, n_words long, spans binary, items array<string>"
+SPANS = "array<struct<start:int,end:int>>"
+FOUND = f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {SPANS}, items array<string>, n_near long, near {SPANS}, near_items array<string>"
 
 
-def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], all_docs: bool) -> DataFrame:
-    """HITS of one slice of phrases: merged word spans as int32 pairs, and the items. all_docs: with documents that have none."""
-    sent = index.sparkSession.sparkContext.broadcast(list(phrases.items()))
+def search(index: DataFrame, phrases: DataFrame, slack: int = SLACK) -> DataFrame:
+    """FOUND for each document of the index: merged word spans of the phrases and of the proximity matches, with their items."""
+    folder = phrases.stored_at
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), spans, pa.list_(pa.string()), pa.int64(), spans, pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(folder)
+        files = sorted(f.path for f in fs.get_file_info(FileSelector(base)) if f.path.endswith(".parquet"))
+        kept: tuple[str, Slice | None] = ("", None)
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 block = Block(*row)
-                have = block.lists.keys()
-                spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                items: dict[int, set[str]] = defaultdict(set)
-                for terms, owners in sent.value:
-                    if not have >= set(terms):
-                        continue
-                    at = block.phrase(list(terms))
-                    for p, d in zip(at.tolist(), (np.searchsorted(block.starts, at, side="right") - 1).tolist(), strict=True):
-                        first = p - int(block.starts[d])
-                        spans[d].append((first, first + len(terms)))
-                        items[d].update(owners)
-                which = range(len(block.docs)) if all_docs else sorted(spans)
-                merged = [np.array(merge(spans[d]) if d in spans else [], np.int32).tobytes() for d in which]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(block.docs[d]) for d in which], pa.int64()), pa.array([int(block.lengths[d]) for d in which], pa.int64()), pa.array(merged, pa.binary()), pa.array([sorted(items[d]) if d in items else [] for d in which], pa.list_(pa.string()))],
-                    names=[x.split()[0] for x in HITS.split(", ")],
-                )
-
-    return index.mapInArrow(run, HITS)
+                hits, items, near, near_items = defaultdict(list), defaultdict(set), defaultdict(list), defaultdict(set)
+                for f in files:
+                    if kept[0] != f:
+                        kept = f, opened(fs, f)
+                    look(block, kept[1], hits, items, near, near_items)
+                yield rows(block, hits, items, near, near_items)
+
+    def look(block: Block, part: Slice, hits: dict, items: dict, near: dict, near_items: dict) -> None:
+        # places of the slice's words in the block's list; the last is that of no word, which takes part in all
+        there = np.array([*(block.number.get(w, -1) for w in part.names), -2], np.int32)
+        terms = there[part.rows]
+        for k in np.flatnonzero((terms != -1).all(axis=1)).tolist():
+            own = [t for t in terms[k].tolist() if t != -2]
+            at = block.close(own, len(own) + slack)
+            if not len(at):
+                continue
+            for p in (found := block.phrase(own)).tolist():
+                d = int(block.document(np.array([p]))[0])
+                hits[d].append((p - int(block.starts[d]), p - int(block.starts[d]) + len(own)))
+                items[d].update(part.items[k])
+            some = [(int(p), int(p) + len(own)) for p in found] if len(own) == 1 else block.near(own, len(own) + slack, at)
+            for a, e in some:
+                d = int(block.document(np.array([a]))[0])
+                near[d].append((a - int(block.starts[d]), e - int(block.starts[d])))
+                near_items[d].update(part.items[k])
+
+    def rows(block: Block, hits: dict, items: dict, near: dict, near_items: dict) -> pa.RecordBatch:
+        out = []
+        for d, (i, n) in enumerate(zip(block.docs, block.lengths.tolist(), strict=True)):
+            own, own_near = merge(hits.get(d, [])), merge(near.get(d, []))
+            hit, names = sum(e - a for a, e in own), sorted(items.get(d, ()))
+            out.append((i, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, structs(own), names, sum(e - a for a, e in own_near), structs(own_near), sorted(near_items.get(d, ()))))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    return index.mapInArrow(run, FOUND)
+
+
+def structs(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": e} for a, e in spans]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -199,57 +268,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def slices(items: Iterator[tuple[int, str | None]], size: int, most: int = SLICE_BYTES) -> Iterator[dict]:
-    """Phrases of consecutive items, of about most bytes a slice. An item's phrases are cut over slices if they exceed that."""
-    out: dict[tuple[bytes, ...], list[str]] = {}
-    total = 0
-    for i, text in items:
-        for p in windows([(i, words(text))], size):
-            out.setdefault(p, []).append(str(i))
-            total += sum(map(len, p)) + 40 * len(p)
-            if total > most:
-                yield out
-                out, total = {}, 0
-    yield out
-
-
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """A row for each document: HITS summed over all slices of the test set."""
-    items = lambda: ((r[0], r[1]) for r in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator())
-    vocabulary: set[bytes] | None = set()
-    for _, t in items():
-        vocabulary.update(words(t))
-        if sum(map(len, vocabulary)) + 80 * len(vocabulary) > VOCABULARY_BYTES:
-            vocabulary = None  # too much to broadcast: index every term
-            break
-    index = build_index(docs, vocabulary)
-    found, many = None, False
-    for part in slices(items(), size):
-        x = search(index, part, all_docs=found is None)
-        found, many = (x, False) if found is None else (found.unionByName(x), True)
-    if many:
-        found = found.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        return digest(found, lists=True)
-    return digest(found, lists=False)
-
-
-def digest(found: DataFrame, lists: bool) -> DataFrame:
-    """Per document: the contract's figures, with merged spans and items."""
-    out = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>, items array<string>"
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, n, spans, items in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                own = np.frombuffer(b"".join(spans) if lists else spans, np.int32).reshape(-1, 2).tolist()
-                own = merge([(a, e) for a, e in own])
-                hit = sum(e - a for a, e in own)
-                rows.append((i, n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0, [{"start": a, "end": e} for a, e in own], items))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), kind, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
-
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(run, out)
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, slack: int = SLACK) -> DataFrame:
+    """FOUND for each row of docs."""
+    return search(build_index(docs), windows(benchmark, size), slack)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
