@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..geo import codec, planar, shapes
+from ..geo import codec, columns, planar, shapes
 from ..geo.codec import Geometry, GeometryError, read_wkb, simple, write_wkb
 from ..relation import ORD, PlanError, col, data, kind, need, new_name, operation, refuse, with_order
 from .columns import numbered
@@ -73,28 +74,30 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return {T.BinaryType(): pa.binary(), T.DoubleType(): pa.float64(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}[t]
 
 
-def each(f: Callable, out: str, *columns: Column) -> Column:
-    """f of the geometries in the columns, null if one of them is."""
+def each(f: Callable, out: str, *inputs: Column, fast: Callable | None = None) -> Column:
+    """f of the geometries in the columns, null if one of them is. fast: the same of a whole batch, None where it can't."""
     spark_type = T._parse_datatype_string(out)
     kind_ = arrow_type(spark_type)
 
     def rows(*arrays: pa.Array) -> pa.Array:
         return pa.array([None if any(x is None for x in xs) else f(*map(read_wkb, xs)) for xs in zip(*[a.to_pylist() for a in arrays], strict=True)], kind_)
 
-    if len(columns) == 1:
+    if len(inputs) == 1:
 
         def one(a: pa.Array) -> pa.Array:
+            if fast is not None and (c := columns.decode(a)) is not None and (made := fast(c)) is not None:
+                return made
             return rows(a)
 
-        return F.arrow_udf(one, spark_type)(columns[0])
+        return F.arrow_udf(one, spark_type)(inputs[0])
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
         return rows(a, b)
 
-    return F.arrow_udf(two, spark_type)(*columns)
+    return F.arrow_udf(two, spark_type)(*inputs)
 
 
-def replaced(df: DataFrame, f: Callable[[Geometry], Geometry | None], code: str | None = None) -> DataFrame:
+def replaced(df: DataFrame, f: Callable[[Geometry], Geometry | None], code: str | None = None, fast: Callable | None = None) -> DataFrame:
     """df with each geometry g replaced by f(g)."""
     g = geometry(df)
 
@@ -102,11 +105,11 @@ def replaced(df: DataFrame, f: Callable[[Geometry], Geometry | None], code: str
         y = f(x)
         return None if y is None else write_wkb(y)
 
-    return with_geometry(df.withColumn(g, each(run, "binary", col(g))), g, code or crs(df))
+    return with_geometry(df.withColumn(g, each(run, "binary", col(g), fast=fast)), g, code or crs(df))
 
 
-def measured(df: DataFrame, name: str, f: Callable, out: str) -> DataFrame:
-    return df.withColumn(new_name(name), each(f, out, col(geometry(df))))
+def measured(df: DataFrame, name: str, f: Callable, out: str, fast: Callable | None = None) -> DataFrame:
+    return df.withColumn(new_name(name), each(f, out, col(geometry(df)), fast=fast))
 
 
 def other(hexed: str) -> Geometry:
@@ -142,17 +145,27 @@ def need_line(g: Geometry) -> list:
 
 @operation("geo.centroid")
 def centroid(df: DataFrame) -> DataFrame:
-    return replaced(planar_only(df), filled(lambda g: ("Point", planar.centroid(g))))
+    return replaced(planar_only(df), filled(lambda g: ("Point", planar.centroid(g))), fast=columns.centroid)
 
 
 @operation("geo.convex_hull")
 def convex_hull(df: DataFrame) -> DataFrame:
-    return replaced(planar_only(df), filled(lambda g: ("Polygon", [planar.hull(codec.coordinates(g))])))
+    def one(raw: bytes) -> bytes:
+        return write_wkb(("Polygon", [planar.hull(codec.coordinates(read_wkb(raw)))]))
+
+    def hulls(c: columns.Columns) -> pa.Array:
+        out, left = columns.convex_hull(c)
+        if not left.any():
+            return out
+        rows = [c.buf[c.offsets[k] : c.offsets[k + 1]].tobytes() if left[k] else None for k in range(c.rows)]
+        return pa.array([x if r is None else one(r) for x, r in zip(out.to_pylist(), rows, strict=True)], pa.binary())
+
+    return replaced(planar_only(df), filled(lambda g: ("Polygon", [planar.hull(codec.coordinates(g))])), fast=hulls)
 
 
 @operation("geo.envelope")
 def envelope(df: DataFrame) -> DataFrame:
-    return replaced(planar_only(df), planar.envelope)
+    return replaced(planar_only(df), planar.envelope, fast=columns.envelope)
 
 
 @operation("geo.boundary")
@@ -171,7 +184,8 @@ def buffer(df: DataFrame, distance: float, cap: str = "round") -> DataFrame:
 def simplify(df: DataFrame, tolerance: float, policy: str = "douglas_peucker") -> DataFrame:
     if tolerance < 0:
         raise PlanError("the tolerance is not negative")
-    return replaced(planar_only(df), lambda g: shapes.simplify(g, tolerance, policy))
+    fast = (lambda c: columns.simplified(c, tolerance)) if policy == "douglas_peucker" else None
+    return replaced(planar_only(df), lambda g: shapes.simplify(g, tolerance, policy), fast=fast)
 
 
 @operation("geo.point_on_surface")
@@ -198,7 +212,7 @@ def reproject(df: DataFrame, target_crs: str) -> DataFrame:
 def affine(df: DataFrame, a: float, b: float, xoff: float, d: float, e: float, yoff: float) -> DataFrame:
     if not all(map(math.isfinite, (a, b, xoff, d, e, yoff))):
         raise PlanError("the coefficients are finite")
-    return replaced(planar_only(df), lambda g: codec.mapped(g, lambda x, y: codec.finite((a * x + b * y + xoff, d * x + e * y + yoff))))
+    return replaced(planar_only(df), lambda g: codec.mapped(g, lambda x, y: codec.finite((a * x + b * y + xoff, d * x + e * y + yoff))), fast=lambda g: columns.moved(g, lambda x, y: (a * x + b * y + xoff, d * x + e * y + yoff)))
 
 
 @operation("geo.affine_transform")
@@ -221,7 +235,8 @@ def scale(df: DataFrame, x_factor: float, y_factor: float, x_origin: float = 0.0
 @operation("geo.rotate")
 def rotate(df: DataFrame, degrees: float, x_origin: float = 0.0, y_origin: float = 0.0) -> DataFrame:
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    return replaced(planar_only(df), lambda g: codec.mapped(g, lambda x, y: (x_origin + c * (x - x_origin) - s * (y - y_origin), y_origin + s * (x - x_origin) + c * (y - y_origin))))
+    turned = lambda x, y: (x_origin + c * (x - x_origin) - s * (y - y_origin), y_origin + s * (x - x_origin) + c * (y - y_origin))
+    return replaced(planar_only(df), lambda g: codec.mapped(g, turned), fast=lambda g: columns.moved(g, turned))
 
 
 @operation("geo.concave_hull")
@@ -238,7 +253,7 @@ def densify(df: DataFrame, max_segment_length: float) -> DataFrame:
 
 @operation("geo.snap_to_grid")
 def snap_to_grid(df: DataFrame, grid_size: float) -> DataFrame:
-    return replaced(planar_only(df), lambda g: shapes.snapped_to_grid(g, grid_size))
+    return replaced(planar_only(df), lambda g: shapes.snapped_to_grid(g, grid_size), fast=(lambda g: columns.snapped_to_grid(g, grid_size)) if grid_size > 0 else None)
 
 
 @operation("geo.line_substring")
@@ -266,12 +281,12 @@ def snap(df: DataFrame, reference_wkb: str, tolerance: float) -> DataFrame:
 
 @operation("geo.area")
 def area(df: DataFrame, output_column: str = "area") -> DataFrame:
-    return measured(planar_only(df), output_column, planar.area, "double")
+    return measured(planar_only(df), output_column, planar.area, "double", fast=columns.area)
 
 
 @operation("geo.length")
 def length(df: DataFrame, output_column: str = "length") -> DataFrame:
-    return measured(planar_only(df), output_column, lambda g: float(planar.length(g)), "double")
+    return measured(planar_only(df), output_column, lambda g: float(planar.length(g)), "double", fast=columns.length)
 
 
 @operation("geo.perimeter")
@@ -281,7 +296,7 @@ def perimeter(df: DataFrame, output_column: str = "perimeter") -> DataFrame:
 
 @operation("geo.vertex_count")
 def vertex_count(df: DataFrame, output_column: str = "vertex_count") -> DataFrame:
-    return measured(df, output_column, lambda g: len(codec.coordinates(g)), "long")
+    return measured(df, output_column, lambda g: len(codec.coordinates(g)), "long", fast=columns.vertex_count)
 
 
 @operation("geo.to_wkt")
@@ -308,7 +323,7 @@ def box(g: Geometry) -> dict | None:
 @operation("geo.bounds_extractor")
 def bounds_extractor(df: DataFrame) -> DataFrame:
     g = geometry(planar_only(df))
-    return spread(each(box, BOX, col(g)), df, CORNERS, [f"{g}_{c}" for c in CORNERS])
+    return spread(each(box, BOX, col(g), fast=columns.box), df, CORNERS, [f"{g}_{c}" for c in CORNERS])
 
 
 ACCESSORS = {"geometry_type": "string", "num_geometries": "long", "num_interior_rings": "long", "start_point": "binary", "end_point": "binary", "is_closed": "boolean"}
@@ -911,7 +926,8 @@ def from_coords(df: DataFrame, x_column: str = "x", y_column: str = "y", geometr
         exact |= F.abs(col(c)) > 2**53 if isinstance(kind(df, c), T.LongType) else F.isnan(col(c).cast("double")) | (F.abs(col(c).cast("double")) == float("inf"))
 
     def make(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if a is None or b is None else write_wkb(("Point", (a, b))) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
+        null = np.asarray(x.is_null()) | np.asarray(y.is_null())
+        return columns.points(*[a.fill_null(0.0).to_numpy(zero_copy_only=False) for a in (x, y)], null)
 
     points = F.arrow_udf(make, T.BinaryType())(refuse(exact, "geometry.non_finite_coordinate", col(x_column).cast("double")), col(y_column).cast("double"))
     return with_geometry(df.withColumn(new_name(geometry_column), points), geometry_column, crs)

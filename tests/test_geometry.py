@@ -1,11 +1,14 @@
 """Geometry on literals: encodings, relations, overlays and the operations' errors."""
 
 import math
+import random
+import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.geo import codec, planar, shapes
+from tesserae.geo import codec, columns, planar, shapes
 from tesserae.operators import apply
 from tesserae.operators.geo import with_geometry
 from tesserae.relation import PlanError, with_order
@@ -110,3 +113,48 @@ def test_clusters_and_parts(spark):
     hexes = apply("geo.generate_grid", spark.range(1), extent={"minx": 0, "miny": 0, "maxx": 20, "maxy": 20}, cell_size=2, shape="hex")
     areas = apply("geo.area", hexes).agg(F.min("area"), F.max("area")).first()
     assert areas[0] == pytest.approx(areas[1]) == pytest.approx(6 * math.sqrt(3))
+
+
+def shapes_of_all_kinds(seed, n):
+    r = random.Random(seed)
+    at = lambda: (round(r.uniform(-9, 9), r.randrange(4)), round(r.uniform(-9, 9), r.randrange(4)))
+    line = lambda least=2: [at() for _ in range(r.randrange(least, 9))]
+    ring = lambda: (lambda ps: [*ps, ps[0]])(line(3))
+    rings = lambda: [ring() for _ in range(r.randrange(1, 4))]
+    some = lambda f: [f() for _ in range(r.randrange(1, 4))]
+    make = [lambda: ("Point", at()), lambda: ("LineString", line()), lambda: ("Polygon", rings()), lambda: ("MultiPoint", some(at)), lambda: ("MultiLineString", some(line)), lambda: ("MultiPolygon", some(rings)), lambda: ("Polygon", [[(1.0, 1.0), (2.0, 1.0), (1.0, 1.0), (1.0, 1.0)]]), lambda: ("LineString", [(2.0, 3.0), (2.0, 3.0)])]
+    return [r.choice(make)() if r.random() < 0.9 else None for _ in range(n)]
+
+
+def test_batches_agree_with_rows():
+    for seed in range(30):
+        gs = shapes_of_all_kinds(seed, 40)
+        c = columns.decode(pa.array([b"pad", *[g and codec.write_wkb(g) for g in gs]], pa.binary())[1:])
+        rows = lambda f: [None if g is None else f(g) for g in gs]
+        close = lambda got, want: all((a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9)) for a, b in zip(got, want, strict=True))
+        read = lambda a: [x and codec.read_wkb(x) for x in a.to_pylist()]
+        assert columns.vertex_count(c).to_pylist() == rows(lambda g: len(codec.coordinates(g)))
+        assert close(columns.area(c).to_pylist(), rows(planar.area)) and close(columns.length(c).to_pylist(), rows(planar.length))
+        assert [x and tuple(x.values()) for x in columns.box(c).to_pylist()] == rows(planar.bounds)
+        assert close([g and g[1] for g in read(columns.centroid(c))], rows(planar.centroid))
+        turn = lambda x, y: (2 * x - y, x + 3)
+        assert read(columns.moved(c, turn)) == rows(lambda g: codec.mapped(g, turn))
+        for tolerance in (0.0, 1.0, 50.0):
+            assert read(columns.simplified(c, tolerance)) == rows(lambda g: shapes.simplify(g, tolerance))
+        out, left = columns.convex_hull(c)
+        assert [g for g, k in zip(read(out), left, strict=True) if not k] == [g and ("Polygon", [planar.hull(codec.coordinates(g))]) for g, k in zip(gs, left, strict=True) if not k]
+        tall = [g for g in gs if g is not None and len(set(x for x, _ in codec.coordinates(g))) > 1 and len(set(y for _, y in codec.coordinates(g))) > 1]
+        assert read(columns.envelope(columns.decode(pa.array([codec.write_wkb(g) for g in tall], pa.binary())))) == [planar.envelope(g) for g in tall]
+
+
+def test_unusual_batches_are_left_to_rows():
+    good = codec.write_wkb(("LineString", [(0.0, 0.0), (1.0, 1.0)]))
+    big = b"\x00" + struct.pack(">Idd", 1, 1.0, 2.0)
+    for bad in (good[:-1], good + b"x", b"", big, codec.write_wkb(("GeometryCollection", [("Point", (0.0, 0.0))])), codec.write_wkb(("Point", (math.inf, 0.0))), struct.pack("<BII", 1, 2, 1 << 31), struct.pack("<BII", 1, 6, 1) + good):
+        assert columns.decode(pa.array([good, bad], pa.binary())) is None
+    c = columns.decode(pa.array([codec.write_wkb(("Point", None)), codec.write_wkb(("MultiPolygon", [])), None], pa.binary()))
+    assert columns.vertex_count(c).to_pylist() == [0, 0, None] and columns.area(c).to_pylist() == [0, 0, None] and columns.box(c).to_pylist() == [None] * 3
+    with pytest.raises(codec.GeometryError):
+        columns.centroid(c)
+    none = columns.decode(pa.array([None], pa.binary()))
+    assert columns.centroid(none).to_pylist() == columns.convex_hull(none)[0].to_pylist() == columns.simplified(none, 1).to_pylist() == [None]
