@@ -406,3 +406,38 @@ def convex_hull(c: Columns) -> tuple[pa.Array, np.ndarray]:
         at = (head + 13 + 16 * before)[:, None] + 16 * np.arange(stack.shape[1])
         scatter(out, at[used], x[k], y[k])
     return binary(out, offsets, c.null | left), left
+
+
+def located(p: Columns, g: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the point of each row lies inside, and whether it lies on the boundary, of the polygons of that row."""
+    k = g.steps()
+    row = g.row[g.ring[k]]
+    at = np.zeros(p.rows, np.int64)
+    at[p.coordinate_rows()] = np.arange(len(p.x))
+    px, py = p.x[at[row]], p.y[at[row]]
+    ax, ay, bx, by = g.x[k], g.y[k], g.x[k + 1], g.y[k + 1]
+    turn = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    on = (turn == 0) & (np.minimum(ax, bx) <= px) & (px <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= py) & (py <= np.maximum(ay, by))
+    over = ((ay <= py) & (py < by) & (turn > 0)) | ((by <= py) & (py < ay) & (turn < 0))
+    touched = np.bincount(row, weights=on, minlength=g.rows) > 0
+    return (np.bincount(row, weights=over, minlength=g.rows) % 2 == 1) & ~touched, touched
+
+
+#: Relations of a point to a polygon by whether it is inside and on the boundary; others never hold.
+OF_POINT = {"intersects": lambda i, b: i | b, "disjoint": lambda i, b: ~(i | b), "within": lambda i, b: i, "covered_by": lambda i, b: i | b, "touches": lambda i, b: b}
+OF_POLYGON = {"intersects": lambda i, b: i | b, "disjoint": lambda i, b: ~(i | b), "contains": lambda i, b: i, "contains_properly": lambda i, b: i, "covers": lambda i, b: i | b, "touches": lambda i, b: b}
+
+
+def related(name: str, a: Columns, b: Columns) -> pa.Array | None:
+    """A relation of points to polygons, or of polygons to points; None for other kinds."""
+    null = a.null | b.null
+    kinds = [np.unique(c.kind[~null]).tolist() for c in (a, b)]
+    flipped = kinds[0] != [1]
+    p, g = (b, a) if flipped else (a, b)
+    points_, polygons = kinds[::-1] if flipped else kinds
+    some = ~null
+    if points_ != [1] or not set(polygons) <= {3, 6} or (np.bincount(p.coordinate_rows(), minlength=p.rows)[some] != 1).any() or (np.bincount(g.coordinate_rows(), minlength=g.rows)[some] == 0).any() or not len(p.x):
+        return None
+    inside, on = located(p, g)
+    f = (OF_POLYGON if flipped else OF_POINT).get(name)
+    return masked(f(inside, on) if f else np.zeros(len(null), bool), null)

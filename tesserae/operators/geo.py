@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..geo import codec, columns, planar, shapes
 from ..geo.codec import Geometry, GeometryError, read_wkb, simple, write_wkb
-from ..relation import ORD, PlanError, col, data, kind, need, new_name, operation, refuse, with_order
+from ..relation import ORD, PlanError, col, data, kind, need, new_name, durable, operation, refuse, steady, with_order
 from .columns import numbered
 
 PREDICATES = ["intersects", "disjoint", "contains", "within", "equals_topo", "covers", "covered_by", "contains_properly", "touches", "crosses", "overlaps"]
@@ -92,6 +93,8 @@ def each(f: Callable, out: str, *inputs: Column, fast: Callable | None = None) -
         return F.arrow_udf(one, spark_type)(inputs[0])
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        if fast is not None and (c := columns.decode(a)) is not None and (d := columns.decode(b)) is not None and (made := fast(c, d)) is not None:
+            return made
         return rows(a, b)
 
     return F.arrow_udf(two, spark_type)(*inputs)
@@ -424,7 +427,13 @@ def _predicate(name: str) -> None:
     @operation(f"geo.predicate_{name}")
     def run(df: DataFrame, other_wkb: str, output_column: str = name) -> DataFrame:
         h = other(other_wkb)
-        return measured(planar_only(df), output_column, lambda g: planar.predicate(name, g, h), "boolean")
+        raw = bytes.fromhex(other_wkb)
+
+        def fast(c: columns.Columns) -> pa.Array | None:
+            d = columns.decode(pa.array([raw], pa.binary()).take(pa.array(np.zeros(c.rows, np.int64)))) if set(c.kind[~c.null].tolist()) == {1} else None
+            return None if d is None else columns.related(name, c, d)
+
+        return measured(planar_only(df), output_column, lambda g: planar.predicate(name, g, h), "boolean", fast=fast)
 
 
 for _name in PREDICATES:
@@ -434,63 +443,106 @@ for _name in PREDICATES:
 # --- two tables --------------------------------------------------------------------------
 
 
-def boxed(df: DataFrame, p: str) -> DataFrame:
-    """Position, geometry and box of the rows that have one."""
-    g = geometry(df)
-    out = numbered(with_order(df), "__n", 0).select(F.col("__n").alias(p + "n"), col(g).alias(p + "g"), each(box, BOX, col(g)).alias(p + "b"))
+def placed(df: DataFrame) -> DataFrame:
+    """df with __n, the position of each row, which is the same however often the frame is computed."""
+    return numbered(steady(df), "__n", 0)
+
+
+def boxed(rows: DataFrame, g: str, p: str) -> DataFrame:
+    """Position, geometry and box of the placed() rows that have one."""
+    out = rows.select(F.col("__n").alias(p + "n"), col(g).alias(p + "g"), each(box, BOX, col(g), fast=columns.box).alias(p + "b"))
     return out.where(F.col(p + "b").isNotNull())
 
 
-def celled(df: DataFrame, p: str, size: float, grow: float = 0.0) -> DataFrame:
-    lo = lambda c: F.floor((F.col(p + "b")[c] - grow) / size).cast("long")
-    hi = lambda c: F.floor((F.col(p + "b")[c] + grow) / size).cast("long")
-    return df.withColumn("cx", F.explode(F.sequence(lo("minx"), hi("maxx")))).withColumn("cy", F.explode(F.sequence(lo("miny"), hi("maxy"))))
+def extent(p: str, grow: float = 0.0) -> Column:
+    b = F.col(p + "b")
+    return F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"]) + 2 * grow
 
 
-def cell_size(*frames: tuple[DataFrame, str]) -> float:
-    """About the mean extent of the larger boxes; for points a share of the table's extent by its density."""
-    best = 0.0
-    for df, p in frames:
-        b = p + "b"
-        w, x0, x1, y0, y1, n = df.agg(F.avg(F.greatest(F.col(b)["maxx"] - F.col(b)["minx"], F.col(b)["maxy"] - F.col(b)["miny"])), F.min(F.col(b)["minx"]), F.max(F.col(b)["maxx"]), F.min(F.col(b)["miny"]), F.max(F.col(b)["maxy"]), F.count(F.lit(1))).first()
-        if n:
-            best = max(best, w, max(x1 - x0, y1 - y0) / max(1.0, math.sqrt(n)))
-    return best or 1.0
+def exponent(size: Column) -> Column:
+    """The least power of two that is not below a size."""
+    return F.when(size > 0, F.ceil(F.log2(size))).otherwise(-1074).cast("int")
+
+
+@dataclass
+class Grid:
+    """Cells of several sizes, all powers of two: least is the exponent of the smallest ones, levels those of larger boxes.
 
+    A box belongs to the level of its own size, where it meets few cells, and is looked up on
+    the larger levels that there are; so one huge box doesn't put all small ones together.
+    """
 
-def pairs(l: DataFrame, r: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
-    """Rows whose boxes, widened by grow, meet: each pair once, in the cell of the lower left corner of what they share."""
-    both = celled(l, "l", size, grow).join(celled(r, "r", size), ["cx", "cy"])
-    low = lambda c: F.greatest(F.col("lb")[c] - grow, F.col("rb")[c])
-    high = lambda c: F.least(F.col("lb")[c] + grow, F.col("rb")[c])
+    least: int
+    levels: list[int]
+
+
+def grid(*frames: tuple[DataFrame, str]) -> Grid:
+    """From the middle extents of the boxes or, for points, the density of the bulk of the table."""
+    sizes, levels = [], set()
+    for df, p in frames:
+        b = F.col(p + "b")
+        ends = lambda c: F.percentile_approx(b[c], F.array(F.lit(0.05), F.lit(0.95)), 1000)  # noqa: B023, E731
+        # at most one level for each exponent of a double
+        n, w, x, y, own = df.agg(F.count(F.lit(1)), F.percentile_approx(extent(p), 0.5, 1000), ends("minx"), ends("miny"), F.collect_set(exponent(extent(p)))).first()
+        if n:
+            sizes.append(max(w, max(x[1] - x[0], y[1] - y[0]) / max(1.0, math.sqrt(n))))
+            levels.update(own)
+    least = math.ceil(math.log2(min([s for s in sizes if s > 0], default=1.0)))
+    return Grid(least, sorted({max(k, least) for k in levels}))
+
+
+def celled(df: DataFrame, p: str, on: Grid, grow: float = 0.0) -> DataFrame:
+    least = max(on.least, math.ceil(math.log2(2 * grow))) if grow > 0 else on.least
+    levels = sorted({max(k, least) + more for k in on.levels for more in ((0, 1) if grow > 0 else (0,))} | {least})
+    out = df.withColumn(p + "v", F.greatest(exponent(extent(p, grow)), F.lit(least)))
+    listed = F.array(*[F.lit(k) for k in levels])
+    out = out.withColumn("level", F.explode(F.array_union(F.array(p + "v"), F.filter(listed, lambda k: k > F.col(p + "v")))))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    lo = lambda c: F.floor((F.col(p + "b")[c] - grow) / side).cast("long")
+    hi = lambda c: F.floor((F.col(p + "b")[c] + grow) / side).cast("long")
+    return out.withColumn("cx", F.explode(F.sequence(lo("minx"), hi("maxx")))).withColumn("cy", F.explode(F.sequence(lo("miny"), hi("maxy"))))
+
+
+def pairs(l: DataFrame, r: DataFrame, on: Grid, grow: float = 0.0) -> DataFrame:
+    """Rows whose boxes, widened by grow / 2 each, meet: each pair once, on the level of the larger box, in the cell of the lower left corner of what they share."""
+    both = celled(l, "l", on, grow / 2).join(celled(r, "r", on, grow / 2), ["level", "cx", "cy"]).where(F.col("level") == F.greatest("lv", "rv"))
+    low = lambda c: F.greatest(F.col("lb")[c] - grow / 2, F.col("rb")[c] - grow / 2)
+    high = lambda c: F.least(F.col("lb")[c] + grow / 2, F.col("rb")[c] + grow / 2)
     meet = (low("minx") <= high("maxx")) & (low("miny") <= high("maxy"))
-    own = (F.floor(low("minx") / size) == F.col("cx")) & (F.floor(low("miny") / size) == F.col("cy"))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    own = (F.floor(low("minx") / side) == F.col("cx")) & (F.floor(low("miny") / side) == F.col("cy"))
     return both.where(meet & own).select("ln", "lg", "rn", "rg", "lb", "rb")
 
 
-def joined(left: DataFrame, right: DataFrame, predicate: str) -> DataFrame:
+def sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The left rows with their positions, and both sides boxed."""
     same(left, right)
-    l, r = boxed(planar_only(left), "l"), boxed(right, "r")
-    p = pairs(l, r, cell_size((l, "l"), (r, "r")))
-    return p.where(each(lambda g, h: planar.predicate(predicate, g, h), "boolean", F.col("lg"), F.col("rg"))).select("ln", "rn")
+    rows = placed(planar_only(left))
+    return rows, boxed(rows, geometry(left), "l"), boxed(placed(right), geometry(right), "r")
+
+
+def joined(left: DataFrame, right: DataFrame, predicate: str) -> tuple[DataFrame, DataFrame]:
+    """The left rows with their positions, and the positions of both sides of each hit."""
+    rows, l, r = sides(left, right)
+    p = pairs(l, r, grid((l, "l"), (r, "r")))
+    holds = each(lambda g, h: planar.predicate(predicate, g, h), "boolean", F.col("lg"), F.col("rg"), fast=lambda c, d: columns.related(predicate, c, d))
+    return rows, p.where(holds).select("ln", "rn")
 
 
 @operation("geo.sjoin", "BB")
 def sjoin(left: DataFrame, right: DataFrame, predicate: str = "intersects") -> DataFrame:
     if predicate not in ("intersects", "contains", "within", "crosses", "overlaps", "touches"):
         raise PlanError(f"there is no predicate {predicate!r}")
-    hits = joined(left, right, predicate)
-    rows = numbered(with_order(left), "__n", 0)
+    rows, hits = joined(left, right, predicate)
     return rows.join(hits, F.col("__n") == F.col("ln")).select(*[col(c) for c in data(left)], F.col("rn").alias("__right_index"))
 
 
 @operation("geo.nearest", "BB")
 def nearest(left: DataFrame, right: DataFrame, max_distance: float | None = None) -> DataFrame:
     """All right geometries at the least distance. The search radius doubles for rows that have found none; a row is done when its best lies within the radius."""
-    same(left, right)
-    l, r = boxed(planar_only(left), "l"), boxed(right, "r")
-    size = cell_size((r, "r"))
-    l = l.select("ln", "lg", "lb")
+    rows, l, r = sides(left, right)
+    on = grid((l, "l"), (r, "r"))
+    size = 2.0**on.least
     found, todo, radius = None, l, size if max_distance is None else min(size, max_distance)
     b = l.agg(F.min(F.col("lb")["minx"]), F.max(F.col("lb")["maxx"]), F.min(F.col("lb")["miny"]), F.max(F.col("lb")["maxy"])).first()
     c = r.agg(F.min(F.col("rb")["minx"]), F.max(F.col("rb")["maxx"]), F.min(F.col("rb")["miny"]), F.max(F.col("rb")["maxy"])).first()
@@ -499,7 +551,7 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float | None = None
         far = min(far, max_distance)
     while far:
         radius = min(radius, far)
-        p = pairs(todo, r, max(size, radius), radius)
+        p = pairs(todo, r, on, radius)
         near = p.withColumn("distance", each(planar.distance, "double", F.col("lg"), F.col("rg"))).where(F.col("distance") <= radius).select("ln", "rn", "distance")
         best = near.groupBy("ln").agg(F.min("distance").alias("__best"))
         hit = near.join(best, "ln").where("distance = __best").select("ln", "rn", "distance")
@@ -508,7 +560,6 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float | None = None
             break
         todo = todo.join(best, "ln", "left_anti")
         radius *= 4
-    rows = numbered(with_order(left), "__n", 0)
     if found is None:
         found = left.sparkSession.createDataFrame([], "ln long, rn long, distance double")
     return rows.join(found, F.col("__n") == F.col("ln")).select(*[col(c) for c in data(left)], F.col("rn").alias("__right_index"), "distance")
@@ -516,15 +567,15 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float | None = None
 
 @operation("geo.within", "BB")
 def within(left: DataFrame, right: DataFrame, output_column: str = "within") -> DataFrame:
-    hits = joined(left, right, "within").select("ln").distinct().withColumn("__hit", F.lit(True))
-    rows = numbered(with_order(left), "__n", 0).join(hits, F.col("__n") == F.col("ln"), "left")
+    rows, hits = joined(left, right, "within")
+    rows = rows.join(hits.select("ln").distinct().withColumn("__hit", F.lit(True)), F.col("__n") == F.col("ln"), "left")
     return rows.select(*[col(c) for c in data(left)], F.when(col(geometry(left)).isNotNull(), F.coalesce("__hit", F.lit(False))).alias(new_name(output_column)))
 
 
 @operation("geo.count_points_in_polygons", "BB")
 def count_points_in_polygons(left: DataFrame, right: DataFrame, output_column: str = "point_count") -> DataFrame:
-    hits = joined(left, right, "contains").groupBy("ln").agg(F.count(F.lit(1)).alias("__count"))
-    rows = numbered(with_order(left), "__n", 0).join(hits, F.col("__n") == F.col("ln"), "left")
+    rows, hits = joined(left, right, "contains")
+    rows = rows.join(hits.groupBy("ln").agg(F.count(F.lit(1)).alias("__count")), F.col("__n") == F.col("ln"), "left")
     return rows.select(*[col(c) for c in data(left)], F.coalesce("__count", F.lit(0)).cast("long").alias(new_name(output_column)))
 
 
@@ -532,8 +583,8 @@ def aligned(left: DataFrame, right: DataFrame, f: Callable) -> DataFrame:
     """Row n of the left with row n of the right."""
     same(left, right)
     g, h = geometry(planar_only(left)), geometry(right)
-    l = numbered(with_order(left), "__n", 0)
-    r = numbered(with_order(right), "__m", 0).select("__m", col(h).alias("__h"))
+    l = placed(left)
+    r = placed(right).select(F.col("__n").alias("__m"), col(h).alias("__h"))
     both = l.join(r, F.col("__n") == F.col("__m"))
     out = each(lambda a, b: write_wkb(f(a, b)), "binary", col(g), F.col("__h"))
     return with_geometry(both.withColumn(g, out).select(*[col(c) for c in left.columns]), g, crs(left))
@@ -552,10 +603,9 @@ for _name in planar.MODES:
 @operation("geo.clip", "BB")
 def clip(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left row cut by the union of the right geometries that it meets; rows without one become null."""
-    same(left, right)
-    g = geometry(planar_only(left))
-    l, r = boxed(left, "l"), boxed(right, "r")
-    masks = pairs(l, r, cell_size((l, "l"), (r, "r"))).groupBy("ln").agg(F.first("lg").alias("lg"), F.collect_list("rg").alias("rgs"))
+    g = geometry(left)
+    rows, l, r = sides(left, right)
+    masks = pairs(l, r, grid((l, "l"), (r, "r"))).groupBy("ln").agg(F.first("lg").alias("lg"), F.collect_list("rg").alias("rgs"))
 
     def cut(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -565,7 +615,7 @@ def clip(left: DataFrame, right: DataFrame) -> DataFrame:
         return pa.array(out, pa.binary())
 
     cuts = masks.select("ln", F.arrow_udf(cut, T.BinaryType())("lg", "rgs").alias("__cut"))
-    rows = numbered(with_order(left), "__n", 0).join(cuts, F.col("__n") == F.col("ln"), "left")
+    rows = rows.join(cuts, F.col("__n") == F.col("ln"), "left")
     return with_geometry(rows.withColumn(g, F.col("__cut")).select(*[col(c) for c in left.columns]), g, crs(left))
 
 
@@ -574,10 +624,9 @@ def overlay(left: DataFrame, right: DataFrame, mode: str = "intersection") -> Da
     """Layers cut by each other: shared parts of each pair, and, as the mode asks, what is left of each side."""
     if mode not in ("intersection", "union", "identity", "symmetric_difference"):
         raise PlanError(f"there is no mode {mode!r}")
-    same(left, right)
-    code = crs(planar_only(left))
-    l, r = boxed(left, "l"), boxed(right, "r")
-    p = pairs(l, r, cell_size((l, "l"), (r, "r")))
+    code = crs(left)
+    _, l, r = sides(left, right)
+    p = pairs(l, r, grid((l, "l"), (r, "r")))
     parts = []
     if mode != "symmetric_difference":
         shared = each(lambda a, b: write_wkb(planar.combine("intersection", a, b)) if planar.combine("intersection", a, b)[1] else None, "binary", F.col("lg"), F.col("rg"))
@@ -726,7 +775,7 @@ def voronoi(df: DataFrame, max_points: int = 100_000) -> DataFrame:
 def clean_topology(df: DataFrame, snap_tolerance: float, remove_overlaps: bool = True, fill_gaps: bool = True) -> DataFrame:
     """Gaps up to the tolerance are closed and earlier rows cut later ones; only rows that come near each other meet."""
     g, code = geometry(planar_only(df)), crs(df)
-    rows = numbered(with_order(df), "__n", 0)
+    rows = placed(df)
 
     def closed(x: Geometry) -> Geometry:
         if fill_gaps and snap_tolerance > 0 and planar.dimension(x) == 2:
@@ -736,9 +785,9 @@ def clean_topology(df: DataFrame, snap_tolerance: float, remove_overlaps: bool =
     shaped = rows.withColumn(g, each(lambda x: write_wkb(closed(x)), "binary", col(g)))
     if not remove_overlaps:
         return with_geometry(shaped.select(*[col(c) for c in df.columns]), g, code)
-    side = lambda p: shaped.select(F.col("__n").alias(p + "n"), col(g).alias(p + "g"), each(box, BOX, col(g)).alias(p + "b")).where(F.col(p + "b").isNotNull())
+    side = lambda p: shaped.select(F.col("__n").alias(p + "n"), col(g).alias(p + "g"), each(box, BOX, col(g), fast=columns.box).alias(p + "b")).where(F.col(p + "b").isNotNull())
     l, r = side("l"), side("r")
-    earlier = pairs(l, r, cell_size((l, "l"))).where("rn < ln").groupBy("ln").agg(F.collect_list("rg").alias("__others"))
+    earlier = pairs(l, r, grid((l, "l"))).where("rn < ln").groupBy("ln").agg(F.collect_list("rg").alias("__others"))
 
     def cut(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -752,16 +801,15 @@ def clean_topology(df: DataFrame, snap_tolerance: float, remove_overlaps: bool =
 
 
 def rooted(edges: DataFrame) -> DataFrame:
-    """(node, root) by hooking to the smallest neighbour and halving paths; rounds are checkpointed where a folder is set."""
+    """(node, root) by hooking to the smallest neighbour and halving paths; each round is written to the shared folder."""
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
-    keep = lambda d: d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.persist()
-    both = keep(both)
+    both = durable(both)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
         hooked = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
         jump = labels.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        nxt = keep(hooked.join(jump, F.col("new") == F.col("n2")).select("node", F.col("root").alias("old"), F.col("r2").alias("root")))
+        nxt = durable(hooked.join(jump, F.col("new") == F.col("n2")).select("node", F.col("root").alias("old"), F.col("r2").alias("root")))
         if nxt.where("old <> root").isEmpty():
             return nxt.select("node", "root")
         labels = nxt.select("node", "root")
@@ -771,7 +819,7 @@ def rooted(edges: DataFrame) -> DataFrame:
 def cluster_dbscan(df: DataFrame, eps: float, min_points: int, output_column: str = "cluster_id") -> DataFrame:
     """Neighbours meet in grid cells; clusters are the components of core points, numbered by their first row."""
     g = geometry(planar_only(df))
-    rows = numbered(with_order(df), "__n", 0)
+    rows = placed(df)
     spots = rows.where(col(g).isNotNull()).select("__n", each(lambda x: dict(zip("xy", point(x), strict=True)), "struct<x: double, y: double>", col(g)).alias("p")).select("__n", "p.x", "p.y")
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
     a = spots.select(F.col("__n").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
@@ -790,9 +838,9 @@ def cluster_dbscan(df: DataFrame, eps: float, min_points: int, output_column: st
 
 
 def neighbours(df: DataFrame) -> DataFrame:
-    side = boxed(df, "l")
+    side = boxed(placed(df), geometry(df), "l")
     other_ = side.select(F.col("ln").alias("rn"), F.col("lg").alias("rg"), F.col("lb").alias("rb"))
-    return pairs(side, other_, cell_size((side, "l"))).where("ln < rn")
+    return pairs(side, other_, grid((side, "l"))).where("ln < rn")
 
 
 @operation("geo.coverage_validate", "B")

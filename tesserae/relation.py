@@ -7,6 +7,8 @@ keep their identity and make a new one where they don't.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,12 +36,46 @@ def with_order(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn(ORD, F.monotonically_increasing_id())
 
 
-def ranges(df: DataFrame, most: int = 1024) -> Column:
+def durable(df: DataFrame) -> DataFrame:
+    """df, checkpointed to the folder that driver and executors share; in one process without such a folder, to one of our own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local["):
+                raise PlanError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="tesserae-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
+#: Plans of these nodes give rows in the same partitions and order whenever they are computed.
+STABLE = re.compile(r"Project|Filter|LogicalRelation|Relation|LocalRelation|Range|SubqueryAlias|LogicalRDD|ArrowEvalPython|BatchEvalPython|CollectMetrics")
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """with_order(df) such that a row keeps its position however often the frame is computed.
+
+    Behind a shuffle, positions depend on the order in which blocks arrive; without an order
+    column such a frame is written to the shared folder once.
+    """
+    if ORD in df.columns:
+        return df
+    nodes, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        nodes.append(node.nodeName())
+        below = node.children()
+        todo += [below.apply(k) for k in range(below.size())]
+    return with_order(df) if all(STABLE.match(n) for n in nodes) else durable(with_order(df))
+
+
+def ranges(df: DataFrame) -> Column:
     """The number of the range of ORD that a row is in: about as many ranges as shuffle partitions, by quantiles.
 
     The edges form a balanced tree of comparisons, so a row costs the logarithm of their number.
     """
-    parts = max(2, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = df.approxQuantile(ORD, [k / parts for k in range(1, parts)], 0.001) or []
     edges = sorted({int(x) for x in found})
 

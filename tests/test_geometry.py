@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.geo import codec, columns, planar, shapes
 from tesserae.operators import apply
-from tesserae.operators.geo import with_geometry
+from tesserae.operators.geo import PREDICATES, with_geometry
 from tesserae.relation import PlanError, with_order
 
 
@@ -158,3 +158,28 @@ def test_unusual_batches_are_left_to_rows():
         columns.centroid(c)
     none = columns.decode(pa.array([None], pa.binary()))
     assert columns.centroid(none).to_pylist() == columns.convex_hull(none)[0].to_pylist() == columns.simplified(none, 1).to_pylist() == [None]
+
+
+def test_points_and_polygons_by_batches():
+    r = random.Random(2)
+    polygons = [square(0, 0, 4), ("Polygon", [square(0, 0, 6)[1][0], square(1, 1, 2)[1][0]]), ("MultiPolygon", [square(0, 0, 2)[1], square(3, 3, 2)[1]]), ("Polygon", [[(0, 0), (5, 1), (2, 5), (0, 0)]])]
+    rows = [(("Point", (float(r.randrange(-1, 8)), float(r.randrange(-1, 8)))), r.choice(polygons)) for _ in range(400)] + [(("Point", (2.5, 0.5)), polygons[3])]
+    a, b = (columns.decode(pa.array([codec.write_wkb(x[k]) for x in rows], pa.binary())) for k in (0, 1))
+    for name in PREDICATES:
+        assert columns.related(name, a, b).to_pylist() == [planar.predicate(name, p, g) for p, g in rows]
+        assert columns.related(name, b, a).to_pylist() == [planar.predicate(name, g, p) for p, g in rows]
+
+
+def test_spatial_joins_with_one_huge_box_behind_a_shuffle(spark):
+    r = random.Random(6)
+    small = [(k, round(r.uniform(0, 50), 3), round(r.uniform(0, 50), 3), 0.4) for k in range(300)] + [(300, -50_000.0, -50_000.0, 100_000.0), (301, 20.0, 20.0, 9.0)]
+    text = "concat('POLYGON((', x, ' ', y, ',', x + s, ' ', y, ',', x + s, ' ', y + s, ',', x, ' ', y + s, ',', x, ' ', y, '))')"
+    rows = spark.createDataFrame(small, "id long, x double, y double, s double")
+    shuffled = rows.repartition(3, "id").groupBy("id", "x", "y", "s").count().drop("count")
+    boxes = apply("geo.from_wkt", shuffled.withColumn("wkt", F.expr(text)), wkt_column="wkt")
+    named = apply("geo.from_wkt", rows.withColumn("wkt", F.expr(text)), wkt_column="wkt")
+    got = apply("geo.sjoin", boxes, named)
+    names = [x[0] for x in small]  # rows of the right side stand in this order
+    pairs = {(x.id, names[x["__right_index"]]) for x in got.select("id", "__right_index").collect()}
+    meets = lambda a, b: a[1] <= b[1] + b[3] and b[1] <= a[1] + a[3] and a[2] <= b[2] + b[3] and b[2] <= a[2] + a[3]
+    assert pairs == {(a[0], b[0]) for a in small for b in small if meets(a, b)}
