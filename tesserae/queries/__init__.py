@@ -25,4 +25,4 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from . import geometries, plans, tables  # noqa: E402, F401
+from . import geometries, plans, scalars, tables  # noqa: E402, F401

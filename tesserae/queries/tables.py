@@ -77,7 +77,10 @@ simple("table.stable_fingerprint", "customer", "c_custkey; c_name; c_mktsegment"
 simple("table.mask_data", "customer", "c_custkey; c_name", {"maskings": [{"column": "c_name", "type": "cf"}]}, "SELECT c_custkey, substr(c_name, 1, 3) || repeat('*', length(c_name) - 6) || right(c_name, 3) AS c_name FROM customer")
 
 
-@query("table_hmac_sha256")
+PADS = [bytes((b"demo".ljust(64, b"\0")[k]) ^ x for k in range(64)).hex() for x in (0x5C, 0x36)]
+
+
+@query("table_hmac_sha256", f"SELECT c_custkey, c_name, sha256(unhex('{PADS[0]}') || unhex(sha256(unhex('{PADS[1]}') || encode(c_name)))) AS hmac FROM customer")
 def hmac_sha256(spark: SparkSession, folder: str) -> DataFrame:
     os.environ.setdefault("TESSERAE_DEMO_KEY", "demo")
     return apply("table.hmac_sha256", read(spark, folder, "customer").select("c_custkey", "c_name"), columns=["c_name"], key_env="TESSERAE_DEMO_KEY")
@@ -117,7 +120,7 @@ for _f in ("sum", "mean", "min", "max", "stddev"):
     simple("table.rolling_window", "events", "event_id; user_id; value", {"column": "value", "function": _f, "group_by": "user_id", "window": 4, "min_periods": 2, "output_column": "r"}, f"SELECT event_id, user_id, value, CASE WHEN count(value) OVER w >= 2 THEN {_a}(value) OVER w END AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", "event_id", f"_{_f}")
 simple("table.melt", "lineitem", "l_orderkey; l_linenumber; l_quantity; l_discount; l_tax", {"id_columns": ["l_orderkey", "l_linenumber"]}, "SELECT l_orderkey, l_linenumber, 'l_quantity' AS variable, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem")
 simple("table.transpose", "region", "r_regionkey; r_name", {"type_policy": "string"}, "SELECT 'r_regionkey' AS \"column\", '0' AS col_0, '1' AS col_1, '2' AS col_2, '3' AS col_3, '4' AS col_4 UNION ALL SELECT 'r_name', max(r_name) FILTER (r_regionkey = 0), max(r_name) FILTER (r_regionkey = 1), max(r_name) FILTER (r_regionkey = 2), max(r_name) FILTER (r_regionkey = 3), max(r_name) FILTER (r_regionkey = 4) FROM region", "r_regionkey")
-simple("table.explode", "embeddings", "vec_id; slice(embedding, 1, 5) as e", {"column": "e"}, "SELECT vec_id, unnest(embedding[1:5]) AS e FROM embeddings")
+simple("table.explode", "embeddings", "vec_id; embedding as e", {"column": "e"}, "SELECT vec_id, unnest(embedding) AS e FROM embeddings")
 simple("table.unnest", "customer", "c_custkey; named_struct('a', c_name, 'b', c_acctbal) as s", {"column": "s", "prefix": "s_"}, "SELECT c_custkey, c_name AS s_a, c_acctbal AS s_b FROM customer")
 simple("table.flatten_json", "events", "event_id; props", {"column": "props", "prefix": "p_", "output_columns": ["p_k"]}, "SELECT event_id, props, json_extract_string(props, '$.k') AS p_k FROM events")
 simple("table.assert_schema", "nation", "n_nationkey; n_name", {"fields": [{"name": "n_name", "type": "string"}], "allow_extra": True}, "SELECT n_nationkey, n_name FROM nation")
@@ -169,7 +172,7 @@ for _d, _sql in {
     two("table.asof_join", A, B, {"left_on": "at", "right_on": "at", "left_by": ["user_id"], "right_by": ["user_id"], "direction": _d}, f"WITH a AS (SELECT event_id, user_id, event_id AS at FROM events), b AS (SELECT event_id AS other, user_id, event_id * 2 + 1 AS at, value FROM events) SELECT a.event_id, a.user_id, a.at, b.other, b.value FROM a ASOF LEFT JOIN b ON {_j}", f"_{_d}", "event_id", "other")
 two("table.asof_join", A, B, {"left_on": "at", "right_on": "at", "left_by": ["user_id"], "right_by": ["user_id"], "direction": "nearest", "tolerance": 500}, "WITH a AS (SELECT event_id, user_id, event_id AS at FROM events), b AS (SELECT event_id AS other, user_id, event_id * 2 + 1 AS at, value FROM events), p AS (SELECT a.*, b.other, b.value, b.at AS bat FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.at >= b.at), n AS (SELECT a.event_id, b.other, b.value, b.at AS bat FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.at <= b.at), x AS (SELECT p.event_id, p.user_id, p.at, CASE WHEN p.at - p.bat <= 500 THEN p.bat END AS pb, p.other AS po, p.value AS pv, CASE WHEN n.bat - p.at <= 500 THEN n.bat END AS nb, n.other AS n_o, n.value AS nv FROM p JOIN n USING (event_id)) SELECT event_id, user_id, x.at, CASE WHEN pb IS NOT NULL AND (nb IS NULL OR x.at - pb <= nb - x.at) THEN po WHEN nb IS NOT NULL THEN n_o END AS other, CASE WHEN pb IS NOT NULL AND (nb IS NULL OR x.at - pb <= nb - x.at) THEN pv WHEN nb IS NOT NULL THEN nv END AS value FROM x", "_nearest", "event_id", "other")
 N1, N2 = ("nation", "n_nationkey; n_name as name"), ("nation", "n_nationkey as other; concat(n_name, 'A') as name")
-for _m, _sql in {"levenshtein": "1.0 - levenshtein(lower(a.n_name), lower(b.name)) / greatest(length(a.n_name), length(b.name))", "jaro_winkler": None}.items():
+for _m, _sql in {"levenshtein": "1.0 - levenshtein(lower(a.n_name), lower(b.name)) / greatest(length(a.n_name), length(b.name))", "jaro_winkler": "jaro_winkler_similarity(lower(a.n_name), lower(b.name))"}.items():
     two("table.fuzzy_join", N1, N2, {"left_key": "name", "right_key": "name", "metric": _m, "threshold": 0.7, "score_column": "score"}, f"SELECT n_nationkey, n_name AS name, other, b.name AS \"name_R\", {_sql} AS score FROM nation a JOIN (SELECT n_nationkey AS other, n_name || 'A' AS name FROM nation) b ON left(lower(n_name), 2) = left(lower(b.name), 2) WHERE {_sql} >= 0.7" if _sql else None, f"_{_m}", "n_nationkey")  # type: ignore[arg-type]
 S1, S2 = ("customer", "c_nationkey; c_mktsegment"), ("customer", "(c_nationkey + 13) % 30 as c_nationkey; c_mktsegment")
 Q1, Q2 = "SELECT c_nationkey, c_mktsegment FROM customer", "SELECT CAST((c_nationkey + 13) % 30 AS INTEGER) AS c_nationkey, c_mktsegment FROM customer"
