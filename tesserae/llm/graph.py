@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spend, stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if before is not None:
+            spend(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -38,12 +40,20 @@ def distances(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 class SmallWorld:
-    """A navigable small-world graph over the rows of codes (uint64 words), built by insertion."""
+    """A navigable small-world graph over the rows of codes (uint64 words), built by insertion.
+
+    Of at most links + 1 rows each is linked to each, which is what insertion comes to.
+    """
 
     def __init__(self, codes: np.ndarray, links: int = 12, beam: int = 24):
         self.codes = codes
-        self.near: list[list[int]] = [[] for _ in codes]
-        for i in range(1, len(codes)):
+        n = len(codes)
+        self.complete = n <= links + 1
+        if self.complete:
+            self.near = [[j for j in range(n) if j != i] for i in range(n)]
+            return
+        self.near = [[] for _ in range(n)]
+        for i in range(1, n):
             for _, j in self.search(codes[i], beam, i)[:links]:
                 self.near[i].append(j)
                 self.near[j].append(i)
@@ -75,12 +85,13 @@ class SmallWorld:
                         heapq.heappop(best)
         return sorted((-d, -i) for d, i in best)
 
-    def within(self, code: np.ndarray, radius: int, beam: int = 32) -> list[tuple[int, int]]:
-        """Everything found within the radius; the beam doubles until it reaches beyond it."""
+    def within(self, code: np.ndarray, radius: int, beam: int = 32, enough=None) -> list[tuple[int, int]]:
+        """What is found within the radius; the beam doubles until it reaches beyond it, or until enough(found)."""
         while True:
             found = self.search(code, beam)
-            if len(found) < beam or found[-1][0] > radius:
-                return [x for x in found if x[0] <= radius]
+            near = [x for x in found if x[0] <= radius]
+            if len(near) < beam or (enough is not None and enough(near)):
+                return near
             beam *= 2
 
 
@@ -91,32 +102,27 @@ def exact(codes: np.ndarray, code: np.ndarray, radius: int) -> list[tuple[int, i
 
 
 class Shard:
-    """Answers radius queries: by a scan while it is small, else by a graph whose recall is audited.
+    """Answers radius queries by a small-world graph whose recall is audited against exact search.
 
     audit: so many queries are compared with the exact search; if fewer than least of
     their neighbours are found, the beam is widened, and after three times the shard is
     scanned. recall has what the last audit measured.
     """
 
-    SCAN = 96
-
     def __init__(self, codes: np.ndarray, radius: int, audit: int = 16, least: float = 0.98):
         self.codes, self.radius, self.beam, self.recall = codes, radius, 32, 1.0
-        self.graph = SmallWorld(codes) if len(codes) > self.SCAN else None
-        while self.graph is not None:
+        self.graph: SmallWorld | None = SmallWorld(codes)
+        while self.graph is not None and not self.graph.complete:
             rows = np.linspace(0, len(codes) - 1, audit).astype(int)
             want = [{j for _, j in exact(codes, codes[i], radius)} for i in rows]
             got = [{j for _, j in self.graph.within(codes[i], radius, self.beam)} for i in rows]
-            self.recall = sum(len(g & w) for g, w in zip(got, want, strict=True)) / max(1, sum(map(len, want)))
+            self.recall = float(np.mean([len(g & w) / len(w) if w else 1.0 for g, w in zip(got, want, strict=True)]))
             if self.recall >= least:
                 return
             self.beam *= 4
             if self.beam > 2048:
                 self.graph = None
 
-    def within(self, code: np.ndarray) -> list[tuple[int, int]]:
-        return exact(self.codes, code, self.radius) if self.graph is None else self.graph.within(code, self.radius, self.beam)
-
-    def nearest(self, code: np.ndarray) -> list[tuple[int, int]]:
-        """Neighbours within the radius, not more of them than the beam holds."""
-        return exact(self.codes, code, self.radius) if self.graph is None else [x for x in self.graph.search(code, self.beam) if x[0] <= self.radius]
+    def within(self, code: np.ndarray, enough=None) -> list[tuple[int, int]]:
+        """(distance, row) within the radius, nearest first; all of them, or of the first beams until enough(found)."""
+        return exact(self.codes, code, self.radius) if self.graph is None else self.graph.within(code, self.radius, self.beam, enough)

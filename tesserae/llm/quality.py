@@ -8,7 +8,8 @@ applying it needs no Python beyond the statistics themselves.
 Edge cases: a null text has no words and fails the base rule; so does an empty one.
 Repeated rows are judged alike. Labels that are null or disagree for an id: the lower
 quality counts, nulls are left out. Without labels of both kinds the list is empty and
-everything that passes the base rule is kept. Extra columns are carried along.
+everything that passes the base rule is kept. judge() replaces columns of the names that
+it makes and carries others along; accepted() carries all along.
 """
 
 from __future__ import annotations
@@ -206,7 +207,9 @@ def training(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> l
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # bounded by sample_rows, so this side may be broadcast
     marked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = with_statistics(marked, keep=["_quality"]).where(~base_failed()).select("_quality", *[feature(f).alias(f) for f in FEATURES]).limit(20 * sample_rows).toPandas()
+    # of several texts of an id the one of the smallest hash, so that the sample doesn't depend on the plan
+    marked = marked.groupBy("doc_id", "_quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = with_statistics(marked, keep=["_quality"]).where(~base_failed()).select("_quality", *[feature(f).alias(f) for f in FEATURES]).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return learn({f: rows[f].to_numpy() for f in FEATURES}, rows["_quality"].to_numpy() == 0)
 
@@ -218,6 +221,15 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, sam
     return out.withColumn("rule", F.when(F.col("base_failed"), 0).otherwise(decision(rules)).cast("int")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
+    """The rows of docs that are kept, with all their columns, whatever these are called."""
+    mark = next("_in" * k + "_" for k in range(1, len(docs.columns) + 2) if not any(c.startswith("_in" * k + "_") for c in docs.columns))
+    taken = [c for c in docs.columns if c in {*COUNTS, "base_failed", "rule", "kept"}]
+    renamed = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(mark + c if c in taken else c) for c in docs.columns])
+    out = judge(renamed, labels, sample_rows=sample_rows).where("kept")
+    return out.select(*[F.col("`" + (mark + c if c in taken else c).replace("`", "``") + "`").alias(c) for c in docs.columns])
+
+
 def describe(rules: list[Rule]) -> Iterator[str]:
     for rule in rules:
         yield " AND ".join(f"{t.feature} {'>' if t.above else '<='} {t.threshold:.6g}" for t in rule)

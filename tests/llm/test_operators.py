@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tesserae.llm")
-from tesserae.llm import bpe, decontaminate, graph, licences, neardup, packing, pii, quality, tokenstore, toxicity, urls, wordpiece  # noqa: E402
+from tesserae.llm import bpe, decontaminate, graph, licences, neardup, packing, pii, quality, tokenstore, toxicity, urls, wordhash, wordpiece  # noqa: E402
 
 DOCS = "doc_id long, text string"
 WORDS = [a + b for a in "ba ce di fo gu ha je ki".split() for b in "lo mi nu pa re so".split()]
@@ -70,6 +70,13 @@ def test_quality_rules_are_learned_and_ordered(spark, edges):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_quality_filter_keeps_columns_of_its_own_names(spark):
+    docs = frame(spark, [prose(1, 80), "short", prose(2, 80)]).withColumns({"n_words": F.lit(-5), "rule": F.lit("mine"), "kept": F.lit("k"), "_in_rule": F.lit(1)})
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    out = quality.accepted(docs, labels)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {(-5, "mine", "k", 1)} and out.count() == 2
+
+
 def test_decision_list_grows_conjunctions():
     r = np.random.default_rng(3)
     data = {f: r.random(3000) for f in quality.FEATURES}
@@ -90,7 +97,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     cards = [f"4{k:014d}" for k in range(40)]
     cards = [c + next(str(d) for d in range(10) if luhn(c + str(d))) for c in cards]
     texts = [f"pay {c} or {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} on 2021-03-0{k % 9 + 1}, ask jo.{k}@mail.example.com" for k, c in enumerate(cards)]
-    rows = pii.pseudonymised(frame(spark, texts)).orderBy("doc_id").collect()
+    rows = pii.pseudonymised(frame(spark, texts), "k1").orderBy("doc_id").collect()
     seen = set()
     for c, t, r in zip(cards, texts, rows):
         m = re.fullmatch(r"pay (\d{16}) or (\d{4} \d{4} \d{4} \d{4}) on (\d{4}-\d\d-\d\d), ask ([a-z]{2}\.\d+)@mail\.example\.com", r.text)
@@ -101,10 +108,10 @@ def test_pseudonyms_keep_format_and_links(spark):
 
 def test_pseudonyms_leave_what_is_not_valid(spark):
     kept = [None, "", "nothing", "4111111111111112", "300.1.1.1", "2021-02-30", "version 1.2.3.4.5", "1234567", "000-12-1234", "x" * 60_000]
-    out = [r.text for r in pii.pseudonymised(frame(spark, kept)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymised(frame(spark, kept), "k1").orderBy("doc_id").collect()]
     assert out == kept
-    assert pii.pseudonymised(frame(spark, kept).limit(0)).count() == 0
-    iban = pii.pseudonymised(frame(spark, ["GB82 WEST 1234 5698 7654 32 and 10.0.0.255"])).first().text
+    assert pii.pseudonymised(frame(spark, kept).limit(0), "k1").count() == 0
+    iban = pii.pseudonymised(frame(spark, ["GB82 WEST 1234 5698 7654 32 and 10.0.0.255"]), "k1").first().text
     m = re.fullmatch(r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and (\d+)\.(\d+)\.(\d+)\.(\d+)", iban)
     plain = m[1].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and all(int(x) < 256 for x in m.groups()[1:])
@@ -113,12 +120,71 @@ def test_pseudonyms_leave_what_is_not_valid(spark):
 
 def test_dates_are_permuted_within_their_format(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1950, 2020) for m in range(1, 13) for d in (1, 15, 28)]
-    out = [r.text for r in pii.pseudonymised(frame(spark, days)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymised(frame(spark, days), "k1").orderBy("doc_id").collect()]
     assert len(set(out)) == len(days) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", x) for x in out)
-    slashed = pii.pseudonymised(frame(spark, [f"{d[8:]}/{d[5:7]}/{d[:4]}" for d in days])).orderBy("doc_id").collect()
+    slashed = pii.pseudonymised(frame(spark, [f"{d[8:]}/{d[5:7]}/{d[:4]}" for d in days]), "k1").orderBy("doc_id").collect()
     assert [f"{r.text[6:]}-{r.text[3:5]}-{r.text[:2]}" for r in slashed] == out
 
 
+def brute_feistel(key, value, kind):
+    """The network by its definition."""
+
+    def shifted(half, other, number):
+        out = ""
+        for p, c in enumerate(half, 1):
+            n = int(hashlib.sha256(f"{key}|{kind}|{number}|{p}|{other}".encode()).hexdigest()[:12], 16)
+            low, size = (48, 10) if "0" <= c <= "9" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (ord(c), 1)
+            out += chr(low + (ord(c) - low + n) % size)
+        return out
+
+    if len(value) == 1:
+        return shifted(value, "", "alone")
+    h = len(value) // 2
+    for k in range(pii.ROUNDS):
+        left, right = value[:h], value[h:]
+        value = shifted(left, right, k) + right if k % 2 == 0 else left + shifted(right, left, k)
+    return value
+
+
+def test_pseudonyms_match_a_feistel_network_in_python(spark):
+    r = random.Random(8)
+    ssns = [f"{r.randrange(1, 900):03d}{r.randrange(1, 100):02d}{r.randrange(1, 10000):04d}" for _ in range(120)]
+    ssns = [s for s in ssns if s[:3] != "666"]
+    given = lambda s: not re.match("000|666|9", s) and s[3:5] != "00" and s[5:] != "0000"
+    texts, want = [], []
+    for k, s in enumerate(ssns):
+        u = brute_feistel("k2", s, "ssn")
+        while not given(u):
+            u = brute_feistel("k2", u, "ssn")
+        name, phone = r.choice(["x", "jo", "Mary.Ann7", "a-b_c"]), f"555-{r.randrange(1000):03d}-{r.randrange(10000):04d}"
+        q = brute_feistel("k2", phone.replace("-", ""), "phone")
+        texts.append(f"no {s[:3]}-{s[3:5]}-{s[5:]}, {name}@mail.example.com, call ({phone[:3]}) {phone[4:]} now")
+        want.append(f"no {u[:3]}-{u[3:5]}-{u[5:]}, {brute_feistel('k2', name, 'mail')}@mail.example.com, call ({q[:3]}) {q[3:6]}-{q[6:]} now")
+    rows = pii.pseudonymised(frame(spark, texts), "k2").orderBy("doc_id").collect()
+    assert [x.text for x in rows] == want
+    cut = lambda rows: [x.text[3:14] for x in rows]
+    assert len(set(cut(rows))) == len(set(ssns)) and all(given(x.replace("-", "")) for x in cut(rows))
+    assert [x.text for x in pii.pseudonymised(frame(spark, texts), "k3").orderBy("doc_id").collect()] != want
+
+
+def test_pseudonyms_take_the_groups_that_are_valid(spark):
+    card = "4111111111111111"
+    texts = [card, card + " 123", "12 " + card, "7 4111 1111 1111 1111 99 code", "GB82 WEST 1234 5698 7654 32 EUR", card + "9", "x1@a.example"]
+    out = [r.text for r in pii.pseudonymised(frame(spark, texts), "k1").orderBy("doc_id").collect()]
+    new = out[0]
+    grouped = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    assert luhn(new) and new != card
+    assert out[1:4] == [new + " 123", "12 " + new, f"7 {grouped} 99 code"]
+    assert out[4] != texts[4] and out[4].endswith(" EUR") and out[5] == texts[5]
+
+
+def test_pseudonyms_keep_columns_of_their_own_names(spark):
+    docs = frame(spark, ["call 555-123-4567", None]).withColumns({"_items0": F.lit("i"), "_items": F.lit("j"), "_new0": F.lit(3), "_between": F.lit(4), "n_items": F.lit(-5), "`": F.lit(6)})
+    out = pii.pseudonymised(docs, "k1")
+    assert out.columns == docs.columns
+    assert {tuple(r)[2:] for r in out.collect()} == {("i", "j", 3, 4, -5, 6)}
+
+
 def brute_contamination(docs, items, size=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -145,19 +211,34 @@ def test_decontamination_matches_brute_force(spark, edges, monkeypatch):
     pick = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
     assert sorted(tuple(r) for r in decontaminate.find(docs, bench).select(pick).collect()) == want
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 900)
-    monkeypatch.setattr(decontaminate.slices, "__defaults__", (900,))
-    monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", 10)
     assert sorted(tuple(r) for r in decontaminate.find(docs, bench).select(pick).collect()) == want
+    again = spark.createDataFrame([(1, items[0][1]), (1, items[1][1]), (1, items[0][1]), (None, items[2][1])], DOCS)
+    assert [(r.doc_id, r.n_hit, r.items) for r in decontaminate.find(again, bench).orderBy("doc_id", "items").collect()] == [(None, 14, ["2"]), (1, 14, ["0", "23"]), (1, 14, ["0", "23"]), (1, 14, ["1"])]
     assert decontaminate.find(docs.limit(0), bench).count() == 0
     assert decontaminate.find(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.clean(edges, bench).count() == sum(not x[2] for x in want[: len(EDGES)])
 
 
 def test_proximity_matches(spark):
-    index = decontaminate.build_index(frame(spark, ["a x b y c", "c a b", "a z z z z z z b c"]))
-    blocks = [decontaminate.Block(*row) for row in index.collect()]
-    found = sorted((int(b.docs[np.searchsorted(b.starts, p, side="right") - 1]), int(p - b.starts[np.searchsorted(b.starts, p, side="right") - 1])) for b in blocks for p in b.near([b"a", b"b", b"c"], 5))
-    assert (0, 0) in found and (1, 0) in found and not any(d == 2 for d, _ in found)
+    def brute(w, phrases, slack):
+        hit = set()
+        for p in phrases:
+            need, most = Counter(p), len(p) + slack
+            for a in range(len(w)):
+                e = next((e for e in range(a + 1, min(len(w), a + most) + 1) if not need - Counter(w[a:e])), None)
+                if e and need - Counter(w[a + 1 : e]):
+                    hit |= set(range(a, e))
+        return len(hit)
+
+    r = random.Random(4)
+    texts = ["a x b y c", "c a b", "a z z z z z z b c", "a a b c a", "", None, *[" ".join(r.choice("abcdef") for _ in range(r.randrange(60))) for _ in range(60)]]
+    items = ["a b c", "c c d e", "f"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.find(frame(spark, texts), bench, slack=2).collect()
+    assert {x.doc_id: x.n_near for x in got} == {k: brute((t or "").split(), [i.split() for i in items], 2) for k, t in enumerate(texts)}
+    first = {x.doc_id: x for x in got}
+    assert first[0].near_items == ["0"] and first[0].items == [] and first[2].near_items == []
+    assert all(set(x["items"]) <= set(x.near_items) for x in got)
 
 
 def test_packing_covers_every_token_once(spark, edges):
@@ -290,7 +371,6 @@ def test_toxicity_model_keeps_all_that_was_counted(spark, monkeypatch):
     docs = [f"only{k} once{k} {prose(k, 40)}" for k in range(80)]
     rows = [(t, int(k % 3 == 0), int(k % 4 == 1)) for k, t in enumerate(docs)]
     early, model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int, late int"), 8)
-    hashes = toxicity.word_hashes()
     for m, used in ((early, [r for r in rows if not r[2]]), (model, rows)):
         n, into, out = defaultdict(lambda: [0, 0]), defaultdict(set), defaultdict(lambda: [0, 0])
         for t, toxic, _ in used:
@@ -299,30 +379,29 @@ def test_toxicity_model_keeps_all_that_was_counted(spark, monkeypatch):
                 n[v, x][toxic] += 1
                 into[x].add(v)
                 out[v][toxic] += 1
-        D, S = toxicity.DISCOUNT, toxicity.SHARED_MASS
-        c0, c1, c = (sum(1 for x in n.values() if f(x)) for f in (lambda x: x[0], lambda x: x[1], any))
-        kinds = len(into)
-        k = [len({x for (_, x), z in n.items() if z[b]}) for b in (0, 1)]
+        D, E, M = toxicity.DISCOUNT, toxicity.CONTINUATION, toxicity.BACKOFF_MASS
+        words = [*into, None]  # None is the unknown word
+        r = [{x: sum(1 for y in into[x] if n[y, x][b]) for x in into} for b in (0, 1)]
+        K = toxicity.SHARED_SHARE * min(sum(x.values()) for x in r)
+        every = sum(map(len, into.values()))
+        shared = {x: (len(into.get(x, ())) + 0.5) / (every + 0.5 * len(words)) for x in words}
+        u = [{x: (max(r[b].get(x, 0) - E, 0) + (sum(min(y, E) for y in r[b].values()) + K) * shared[x]) / (sum(r[b].values()) + K) for x in words} for b in (0, 1)]
+
+        def p(b, v, x):
+            lost = sum(min(z[b], D) for (y, _), z in n.items() if y == v)
+            return (max(n.get((v, x), (0, 0))[b] - D, 0) + (lost + M) * u[b][x]) / (out.get(v, (0, 0))[b] + M)
+
+        for v in ("^", "only1", "never", WORDS[0] + WORDS[1]):
+            assert all(abs(sum(p(b, v, x) for x in words) - 1) < 1e-9 for b in (0, 1))
 
         def expected(v, x):
-            if x not in into:
-                return 0.0
-            shared = (len(into[x]) + 0.5) / (c + 0.5 * kinds)
-            g = [(max(sum(1 for y in into[x] if n[y, x][b]) - D, 0) / shared + D * k[b] + min(c0, c1)) / ((c0, c1)[b] + min(c0, c1)) for b in (0, 1)]
-            if (v, x) not in n or not sum(n[v, x]):
-                return np.log(g[1] / g[0])
-            after = [z for (y, _), z in n.items() if y == v and sum(z)]
-            joint = (sum(n[v, x]) - D + D * len(after) * shared) / sum(out[v])
-            q = [(max(n[v, x][b] - D, 0) + (D * sum(1 for z in after if z[b]) + S) * joint * g[b]) / (out[v][b] + S) for b in (0, 1)]
-            return np.log(q[1] / q[0])
+            return np.log(p(1, v, x) / p(0, v, x)) if x in into else 0.0
 
         texts = ["only0 once0", "only5 once5", "once7 only7 nowhere", "", docs[9]]
-        got = m.features([toxicity.hashed(t, hashes) for t in texts])
+        got = m.features([toxicity.hashed(t) for t in texts])
         for t, g in zip(texts, got, strict=True):
             w = t.split()
-            assert abs(g[0] - (np.mean([expected(*x) for x in zip(["^", *w], w, strict=False)]) if w else 0)) < 1e-9
-        # a pair that was seen once has its own ratio
-        assert abs(got[0][0]) > 0.1
+            assert abs(g[0] - (np.mean([expected(*x) for x in zip(["^", *w], w, strict=False)]) if w else 0)) < 1e-5
 
 
 def test_near_duplicates_match_brute_force(spark, edges, monkeypatch):
@@ -330,19 +409,25 @@ def test_near_duplicates_match_brute_force(spark, edges, monkeypatch):
     texts = [*EDGES, *base, *[edited(base[k % 12], k, k % 11) for k in range(150)]]
     want = brute_classes(texts)
     assert {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()} == want
-    monkeypatch.setattr(neardup, "SHARD", 4)  # every group is cut into parts
-    assert {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()} == want
+    monkeypatch.setattr(neardup, "PART", 4)  # every group is cut into parts
+    monkeypatch.setattr(neardup, "PART_SHINGLES", 900)
+    got = neardup.classes(frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert all(0.9 <= r.recall <= 1 for r in got)
+    sizes = Counter(want.values())
+    distinct = {k: len({" ".join(map(bytes.decode, decontaminate.words(texts[j]))) for j in want if want[j] == k}) for k in sizes}
+    assert all((r.n_links > 0) == (distinct[r.class_id] > 1) for r in got)
     assert neardup.classes(frame(spark, texts).limit(0)).count() == 0
     left = neardup.deduplicated(edges)
     assert left.columns == edges.columns and left.count() == len(set(brute_classes(EDGES).values()))
 
 
 def test_near_duplicates_of_few_shingles_are_found_at_any_distance(spark):
-    hashes, docs = neardup.Hashes(), []
+    docs = []
     for k in range(2_000):
         long = prose(k, 9)
         short = long.rsplit(" ", 1)[0]
-        s, t = (neardup.shingles(decontaminate.words(x), hashes) for x in (short, long))
+        s, t = (neardup.shingles_of(x) for x in (short, long))
         code = [np.frombuffer(neardup.simhash(x), np.uint64) for x in (s, t)]
         if graph.distances(*code) > neardup.RADIUS and set(neardup.bands(s)) & set(neardup.bands(t)):
             assert neardup.jaccard(s, t) == 0.8
@@ -352,6 +437,50 @@ def test_near_duplicates_of_few_shingles_are_found_at_any_distance(spark):
     assert all(got[k] == got[k + 1] == k for k in range(0, len(docs), 2))
 
 
+def test_the_audit_finds_what_the_graph_misses(spark, monkeypatch):
+    base = [prose(k, 60) for k in range(6)]
+    texts = [edited(base[k % 6], k, k % 9) for k in range(120)]
+    want = brute_classes(texts)
+    monkeypatch.setattr(neardup, "RADIUS", -1)  # nothing is in reach of the search, and few shingles are looked at in any distance
+    got = neardup.classes(frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and {r.recall for r in got} == {0.0}
+
+
+def test_near_duplicates_take_rows_of_one_id_as_one_document(spark):
+    a, b, c = prose(500, 120), prose(501, 120), prose(502, 120)
+    rows = [(1, a), (1, b), (1, b), (2, edited(a, 1, 2)), (3, edited(b, 2, 2)), (4, c), (5, edited(c, 3, 2)), (5, b), (6, prose(503, 120)), (None, a)]
+    got = sorted((r.doc_id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)]
+
+
+def test_word_hashes_depend_on_words_only(monkeypatch):
+    texts = [b"", b" ", b"a", b"  a b  ab ba a ", bytes(range(33, 127)), b"x" * 900 + b" y", b"q w " * 400, b"w" * 2000]
+    words = {w for t in texts for w in t.split()}
+    alone = {w: wordhash.hashes(w) for w in words}
+    for chunk in (wordhash.CHUNK, 64):
+        monkeypatch.setattr(wordhash, "CHUNK", chunk)
+        wordhash.powers.cache_clear()
+        for t in texts:
+            got = wordhash.hashes(t)
+            assert len(got) == len(t.split())
+            assert all(g == alone[w][0] for g, w in zip(got, t.split(), strict=True) if len(w) <= chunk)
+    wordhash.powers.cache_clear()
+    assert len({int(x[0]) for x in alone.values()}) == len(words)
+
+
+def test_sketches_leave_no_similar_pair_out():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 5000):
+        for _ in range(200):
+            common, own = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), r.integers(0, 1 << 63, n, dtype=np.uint64)
+            k = int(n * 0.25)  # at 0.8, or just above
+            s, t = np.unique(np.concatenate([common, own[: k // 2]])), np.unique(np.concatenate([common, own[k // 2 : k]]))
+            a, b = (np.frombuffer(neardup.sketch(x), np.uint8) for x in (s, t))
+            assert neardup.jaccard(s, t) < 0.8 or neardup.likely(a, b[None], len(s), np.array([len(t)]))[0]
+        far = [np.unique(np.concatenate([common[: n // 3], r.integers(0, 1 << 63, n, dtype=np.uint64)])) for _ in range(20)]
+        assert n < 300 or not neardup.likely(a, np.array([np.frombuffer(neardup.sketch(x), np.uint8) for x in far]), len(s), np.array(list(map(len, far)))).any()
+
+
 def test_long_chains_are_one_class(spark):
     w = prose(77, 200).split()
     texts = []
@@ -388,10 +517,22 @@ def test_licences_survive_spelling_and_layout(spark, edges):
     texts = [mit, licences.MIT + " and more", "Text.\nThis work is LICENSED under the GNU General Public Licence, version 3!\nMore", None, "", "Released under the MIT License."]
     out = {(r.doc_id, r.unit, r.licence) for r in licences.scan(frame(spark, texts), licences.known(spark)).collect()}
     assert out == {(0, "text", "MIT"), (2, "line", "GPL-3.0"), (5, "text", "MIT")}
+    odd = ["  \t(c) me\n\nCopyright: us\n* " + licences.ISC.replace("license", "licence"), "copyright 2020\nLicensed  under CC-BY 4.0", "x copyright\n" + licences.ZLIB, "=" * 3000 + licences.BSD_3 + licences.BSD_DISCLAIMER, "Sub-Licence & Non-Infringement"]
+    extra = licences.known(spark).unionByName(spark.createDataFrame([("Own", "sublicense and noninfringement")], "licence string, text string"), allowMissingColumns=True)
+    got = {(r.doc_id, r.unit, r.licence) for r in licences.scan(frame(spark, odd), extra).collect()}
+    assert got == {(0, "text", "ISC"), (1, "text", "CC-BY-4.0"), (1, "line", "CC-BY-4.0"), (3, "text", "BSD-3-Clause"), (3, "line", "BSD-3-Clause"), (4, "text", "Own")} - {(3, "line", "BSD-3-Clause")}
     assert licences.scan(edges, licences.known(spark)).count() == 0
     assert licences.scan(edges, licences.known(spark).limit(0)).count() == 0
 
 
+def test_long_licences_are_known_by_their_digests(spark):
+    folder = Path("/usr/share/common-licenses")
+    there = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0") if (folder / n).exists()]
+    texts = ["Copyright (C) 2021 us\n" + (folder / n).read_text().upper() for n in there]
+    got = {r.doc_id: r.licence for r in licences.scan(frame(spark, texts or ["none"]), licences.known(spark)).where("unit = 'text'").collect()}
+    assert got == {k: n if n[-2] == "." else n + ".0" for k, n in enumerate(there)}
+
+
 def test_url_lists_are_joined_as_of(spark):
     entries = [("bad.com", "block", "2024-01-10"), ("bad.com", "allow", "2024-02-01"), ("ok.bad.com", "allow", "2024-01-15"), ("tie.com", "allow", "2024-01-01"), ("tie.com", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("com", None, "2024-01-01")]
     rows = [("http://bad.com/x", "2024-01-09"), ("http://www.BAD.com:80/x", "2024-01-10"), ("https://u@ok.bad.com", "2024-01-20"), ("https://ok.bad.com", "2024-01-12"), ("http://bad.com", "2024-02-01"), ("http://tie.com.", "2024-03-01"), (None, "2024-01-01"), ("nothing", "2024-01-01"), ("http://bad.com", None), ("http://notbad.com", "2024-01-12"), ("http://bad.com/x", "2024-01-11"), ("http://bad.com/x", "2024-01-11")]
@@ -434,8 +575,11 @@ def test_token_files_round_trip(spark, edges, tmp_path):
 def test_memo_encodes_as_the_library_does():
     small = bpe.Encoder(memo_limit=200)
     texts = [t or "" for t in EDGES] + [prose(k, 60) for k in range(40)] + ["a,b. c, d.. e.\nf g'll I'm 3, 4. x² ½, Ǆ. ́. a  b", "\x1c a", "tab\t b", "end "]
+    r = random.Random(1)
+    texts += ["".join(r.choice("ab Z\n .,'!?$1٣²½é́　\xa0\t_-日@") for _ in range(r.randrange(60))) for _ in range(3000)] + ["ab " * 90_000 + "ab", "y" * 300_000 + " y"]
     for _ in range(2):
         assert small.encode(texts) == small._plain(texts)
+    assert len(small.memo) <= 6000 and small.encode([]) == [] and small.encode([""]) == [b""]
 
 
 def test_automaton_counts_like_greedy_matching(spark, edges):

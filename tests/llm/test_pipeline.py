@@ -56,5 +56,5 @@ def test_names_of_the_queries():
 
 
 def test_pii_runs_without_python(spark, folder):
-    plan = pii.pseudonymised(spark.read.parquet(f"{folder[0]}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymised(spark.read.parquet(f"{folder[0]}/documents.parquet"), "k1")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
