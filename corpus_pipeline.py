@@ -16,7 +16,7 @@ from tesserae.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rule and the learned decision list."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal numbers, dates and addresses within their format."""
-    return pii.pseudonymised(docs).select(*docs.columns)
+    return pii.pseudonymised(docs, pii.session_key(spark), count=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
