@@ -9,6 +9,7 @@ caller goes through the rows, which also names what is wrong.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -441,3 +442,106 @@ def related(name: str, a: Columns, b: Columns) -> pa.Array | None:
     inside, on = located(p, g)
     f = (OF_POLYGON if flipped else OF_POINT).get(name)
     return masked(f(inside, on) if f else np.zeros(len(null), bool), null)
+
+
+def encode(kind: np.ndarray, row: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Points, lines and polygons (kinds 1 to 3) as well-known binary, from their rings in order of rows."""
+    rings = np.bincount(row, minlength=len(kind))
+    head = np.where(null, 0, np.where(kind == 1, 5, 9))
+    before = np.where(kind[row] == 3, 4, 0)
+    length = head + np.bincount(row, weights=before + 16 * size, minlength=len(kind)).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    out = np.zeros(int(offsets[-1]), np.uint8)
+    some = np.flatnonzero(~null)
+    at = offsets[:-1][some]
+    out[at] = 1
+    put_u4(out, at + 1, kind[some])
+    many = some[kind[some] == 3]
+    put_u4(out, offsets[many] + 5, rings[many])
+    # where each ring begins: behind the head of its row and the rings before it
+    taken = np.cumsum(before + 16 * size) - (before + 16 * size)
+    first = np.cumsum(rings) - rings
+    begin = offsets[:-1][row] + head[row] + taken - (taken[first[row]] if len(row) else taken)
+    for k, shift in ((3, 0), (2, -4)):
+        on = kind[row] == k
+        put_u4(out, begin[on] + shift, size[on])
+    ring = np.repeat(np.arange(len(row)), size)
+    step = np.arange(len(ring)) - (np.cumsum(size) - size)[ring]
+    scatter(out, (begin + before)[ring] + 16 * step, x, y)
+    return binary(out, offsets, null)
+
+
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+PAIR = rf"\s*{NUMBER}\s+{NUMBER}\s*"
+PLAIN = re.compile(rf"\s*(?:(POINT)\s*\({PAIR}\)|(LINESTRING)\s*\({PAIR}(?:,{PAIR})+\)|(POLYGON)\s*\(\s*\({PAIR}(?:,{PAIR})*\)(?:\s*,\s*\({PAIR}(?:,{PAIR})*\))*\s*\))\s*", re.IGNORECASE)
+TO_SPACES = str.maketrans("(),", "   ")
+
+
+def read_texts(texts: list[str | None], one) -> pa.Array:
+    """Well-known binary of texts; one() reads what is no plain point, line or polygon."""
+    kind = np.zeros(len(texts), np.int64)
+    rows, sizes, bodies = [], [], []
+    for k, t in enumerate(texts):
+        m = PLAIN.fullmatch(t) if t is not None else None
+        if m is None:
+            continue
+        kind[k] = m.lastindex
+        body = t[t.index("(") :]
+        bodies.append(body)
+        if m.lastindex < 3:
+            rows.append(k)
+            sizes.append(body.count(",") + 1)
+        else:
+            parts = body.split(")")[:-2]
+            rows += [k] * len(parts)
+            sizes += [p.count(",") + (j == 0) for j, p in enumerate(parts)]
+    row, size = np.array(rows, np.int64), np.array(sizes, np.int64)
+    numbers = np.array(" ".join(bodies).translate(TO_SPACES).split(), np.float64)
+    x, y = numbers[::2], numbers[1::2]
+    last = np.cumsum(size) - 1
+    bad = (kind[row] == 3) & ((size < 4) | (x[last - size + 1] != x[last]) | (y[last - size + 1] != y[last])) if len(row) else np.zeros(0, bool)
+    ring = np.repeat(np.arange(len(row)), size)
+    bad |= np.bincount(ring, weights=~(np.isfinite(x) & np.isfinite(y)), minlength=len(row)) > 0
+    if bad.any():
+        for k in np.unique(row[bad]).tolist():
+            one(texts[k])
+        raise GeometryError("the text is not a geometry")
+    made = encode(kind, row, size, x, y, kind == 0)
+    rest = [k for k in np.flatnonzero(kind == 0).tolist() if texts[k] is not None]
+    if not rest:
+        return made
+    out = made.to_pylist()
+    for k in rest:
+        out[k] = one(texts[k])
+    return pa.array(out, pa.binary())
+
+
+def write_texts(c: Columns, shown, names: list[str]) -> pa.Array:
+    """Well-known text of all rows; shown() writes a number and names are those of the kinds."""
+    values, at = np.unique(np.concatenate([c.x, c.y]), return_inverse=True)
+    texts = [shown(v) for v in values.tolist()]
+    n = len(c.x)
+    pairs = [f"{texts[a]} {texts[b]}" for a, b in zip(at[:n].tolist(), at[n:].tolist(), strict=True)]
+    ends = np.cumsum(c.size).tolist()
+    rings = ["(" + ",".join(pairs[e - s : e]) + ")" for e, s in zip(ends, c.size.tolist(), strict=True)]
+    count = np.bincount(c.row, minlength=c.rows)
+    stop = np.cumsum(count).tolist()
+    shells = (c.type == SHELL).tolist()
+    out: list[str | None] = []
+    for k, (code, e, m, null) in enumerate(zip(c.kind.tolist(), stop, count.tolist(), c.null.tolist(), strict=True)):
+        if null:
+            out.append(None)
+            continue
+        name, own = names[code - 1].upper(), rings[e - m : e]
+        if not own or own == ["()"]:
+            out.append(name + " EMPTY")
+        elif code <= 2:
+            out.append(name + own[0])
+        elif code in (3, 4, 5):
+            out.append(f"{name}({','.join(own)})")
+        else:
+            polygons: list[list[str]] = []
+            for r, first in zip(own, shells[e - m : e], strict=True):
+                polygons.append([r]) if first else polygons[-1].append(r)
+            out.append(f"{name}({','.join('(' + ','.join(p) + ')' for p in polygons)})")
+    return pa.array(out, pa.string())

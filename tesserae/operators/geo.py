@@ -304,7 +304,7 @@ def vertex_count(df: DataFrame, output_column: str = "vertex_count") -> DataFram
 
 @operation("geo.to_wkt")
 def to_wkt(df: DataFrame, output_column: str = "wkt") -> DataFrame:
-    return measured(df, output_column, codec.write_wkt, "string")
+    return measured(df, output_column, codec.write_wkt, "string", fast=lambda c: columns.write_texts(c, codec.shown, codec.KINDS))
 
 
 def spread(struct: Column, df: DataFrame, fields: list[str], names: list[str]) -> DataFrame:
@@ -958,7 +958,7 @@ def from_wkt(df: DataFrame, wkt_column: str, output_column: str = "geometry", on
     need(df, wkt_column)
 
     def parse(a: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else write_wkb(codec.read_wkt(t)) for t in a.to_pylist()], pa.binary())
+        return columns.read_texts(a.to_pylist(), lambda t: write_wkb(codec.read_wkt(t)))
 
     return with_geometry(df.withColumn(new_name(output_column), F.arrow_udf(parse, T.BinaryType())(col(wkt_column))), output_column, crs)
 

@@ -147,6 +147,24 @@ def test_batches_agree_with_rows():
         assert read(columns.envelope(columns.decode(pa.array([codec.write_wkb(g) for g in tall], pa.binary())))) == [planar.envelope(g) for g in tall]
 
 
+def test_texts_by_batches():
+    for seed in range(20):
+        gs = shapes_of_all_kinds(seed + 100, 40)
+        raw = [g and codec.write_wkb(g) for g in gs]
+        texts = [g and codec.write_wkt(g) for g in gs]
+        c = columns.decode(pa.array(raw, pa.binary()))
+        assert columns.write_texts(c, codec.shown, codec.KINDS).to_pylist() == texts
+        good = [t and t.replace(",", " , ").replace("POINT", "point ") for t in texts]
+        for some in (texts, good):
+            got = columns.read_texts(some, lambda t: codec.write_wkb(codec.read_wkt(t))).to_pylist()
+            assert got == [t and codec.write_wkb(codec.read_wkt(t)) for t in texts]
+    one = lambda t: codec.write_wkb(codec.read_wkt(t))
+    assert columns.read_texts([*TEXTS, None], one).to_pylist() == [*map(one, TEXTS), None] and columns.read_texts([], one).to_pylist() == []
+    for bad in ("POLYGON((0 0,1 1,0 0))", "POLYGON((0 0,1 0,1 1,0 1))", "LINESTRING(0 0)", "POINT(1e999 0)", "POINT(1 2) x", "POLYGON((0 0,1 0,1 1,0 0)"):
+        with pytest.raises(codec.GeometryError):
+            columns.read_texts(["POINT(1 2)", bad], one)
+
+
 def test_unusual_batches_are_left_to_rows():
     good = codec.write_wkb(("LineString", [(0.0, 0.0), (1.0, 1.0)]))
     big = b"\x00" + struct.pack(">Idd", 1, 1.0, 2.0)
