@@ -2,8 +2,8 @@
 
 Byte-level BPE never merges across a single space that stands between two other
 characters, so a text is the concatenation of its chunks' ids and each distinct
-chunk has to be encoded only once per worker.  The memo is emptied when it is full,
-which bounds memory without changing any id.
+chunk has to be encoded only once per worker.  The memo is kept in arrays and emptied
+when it is full, which bounds memory without changing any id.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from functools import cache
 
 import numpy as np
 
+from . import wordhash
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -22,10 +24,53 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Trailing marks; an apostrophe may belong to the letters that follow it.
+MARKS = ".,;:!?$%&#*()[]{}<>/|+=-\"@~^_`"
+
+
+class Memo:
+    """Ids of chunks by two hashes, in arrays: a large sorted part, and a small one that new chunks are merged into."""
+
+    def __init__(self, dtype: np.dtype):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.parts = [none, none]
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offset into flat of each key, -1 if it isn't there, and its number of ids, -1 for a chunk that has none of its own."""
+        at, size = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int32)
+        for keys, checks, offsets, sizes in self.parts:
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = (keys[k] == key) & (checks[k] == check)
+                at[hit], size[hit] = offsets[k[hit]], sizes[k[hit]]
+        return at, size
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[bytes | None]) -> None:
+        sizes = np.array([-1 if x is None else len(x) // self.flat.itemsize for x in ids], np.int32)
+        new = np.frombuffer(b"".join(x for x in ids if x is not None), self.flat.dtype)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        real = np.maximum(sizes, 0)
+        rows = key, check, self.used + np.cumsum(real) - real, sizes
+        self.used += len(new)
+        k = 1
+        if len(self.parts[1][0]) > 1 << 16:
+            rows, self.parts[1] = tuple(np.concatenate(x) for x in zip(rows, self.parts[1], strict=True)), tuple(x[:0] for x in rows)
+            k = 0
+        rows = tuple(np.concatenate(x) for x in zip(rows, self.parts[k], strict=True))
+        order = np.argsort(rows[0])
+        self.parts[k] = tuple(x[order] for x in rows)
+
+
 class Encoder:
     """Encodes whole texts; ids come back as little-endian uint16 or uint32 bytes."""
 
-    def __init__(self, path: str | None = None, memo_limit: int = 700_000):
+    def __init__(self, path: str | None = None, memo_limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
@@ -35,84 +80,102 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)  # tokens whose first byte is a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.tails = dict(zip(",.", self._plain([",", "."]), strict=True))
-        self.memo: dict[str, bytes | None] = {}
+        self.memo = Memo(self.dtype)
         self.memo_limit = memo_limit
-        self.recent: set[str] = set()
+        self.tails: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """A chunk with white space at either end gets None: its texts are encoded whole."""
-        good, ended = [], []
-        memo, tails = self.memo, self.tails
-        for c in chunks:
-            if not c or c[0].isspace() or c[-1].isspace():
-                memo[c] = None
-            elif c[-1] in tails and len(c) > 1 and c[-2].isalpha():
-                ended.append(c)  # a mark after a letter is a token of its own
-            else:
-                good.append(c)
-        good += {c[:-1] for c in ended}.difference(memo, good)
-        for at in range(0, len(good), 4096):
-            some = good[at : at + 4096]
+    def _learn(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks after a space. A chunk with white space at either end gets None: its texts are encoded whole."""
+        out: list[bytes | None] = [None] * len(chunks)
+        good: dict[str, list[tuple[int, str]]] = {}
+        for k, c in enumerate(chunks):
+            if c[0].isspace() or c[-1].isspace():
+                continue
+            core = c.rstrip(MARKS)
+            # marks after a letter are a token of their own
+            if len(core) == len(c) or not core or not core[-1].isalpha():
+                core = c
+            good.setdefault(core, []).append((k, c[len(core) :]))
+        cores = list(good)
+        for tail in {t for x in good.values() for _, t in x}.difference(self.tails):
+            (self.tails[tail],) = self._plain([tail])
+            if len(self.tails) > 10_000:
+                self.tails = {tail: self.tails[tail], "": b""}
+        for at in range(0, len(cores), 4096):
+            some = cores[at : at + 4096]
             (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(found.ids, dtype=self.dtype)
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):  # not expected; keeps the result right in any case
-                for c, x in zip(some, self._plain([" " + c for c in some]), strict=True):
-                    self.memo[c] = x
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(starts[1:] * width).tolist(), len(raw)]
-            for c, a, b in zip(some, (starts * width).tolist(), ends, strict=True):
-                self.memo[c] = raw[a:b]
-        for c in ended:
-            memo[c] = memo[c[:-1]] + tails[c[-1]]
+            if len(starts) == len(some):
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                ends = [*(starts[1:] * width).tolist(), len(raw)]
+                encoded = [raw[a:b] for a, b in zip((starts * width).tolist(), ends, strict=True)]
+            else:  # not expected; keeps the result right in any case
+                encoded = self._plain([" " + c for c in some])
+            for c, x in zip(some, encoded, strict=True):
+                for k, tail in good[c]:
+                    out[k] = x if not tail else x + (self.tails[tail] if tail in self.tails else self._plain([tail])[0])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes] = []
         at = 0
         while at < len(texts):
             size, to = 0, at
             while to < len(texts) and (to == at or size < 4_000_000):
                 size += len(texts[to])
                 to += 1
-            self._block(texts, at, to, out)
+            out += self._block(texts[at:to])
             at = to
-        return out  # type: ignore[return-value]
-
-    def _block(self, texts: list[str], at: int, to: int, out: list) -> None:
-        parts = [t.split(" ") for t in texts[at:to]]
-        heads = self._plain([p[0] for p in parts])
-        seen: set[str] = set()
-        for p in parts:
-            p0, p[0] = p[0], None
-            seen.update(p)
-            p[0] = p0
-        seen.discard(None)  # type: ignore[arg-type]
-        if len(self.memo) + len(seen) > self.memo_limit:  # keep what this block uses
-            self.memo = {c: self.memo[c] for c in seen if c in self.memo}
-        self._learn(list(seen.difference(self.memo)))
-        self.recent = seen
-        get, whole = self.memo.__getitem__, []
-        for k, (p, head) in enumerate(zip(parts, heads, strict=True)):
-            if len(p) == 1:
-                out[at + k] = head
-                continue
-            if not p[0] or p[0][-1].isspace():
-                whole.append(at + k)
-                continue
-            del p[0]
-            try:
-                out[at + k] = head + b"".join(map(get, p))
-            except TypeError:  # a chunk without ids of its own
-                whole.append(at + k)
-        if whole:
-            for k, x in zip(whole, self._plain([texts[k] for k in whole]), strict=True):
-                out[k] = x
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        # a byte that no text has stands between them
+        joined = b" \xff ".join(raw)
+        a = np.frombuffer(joined, np.uint8)
+        begins, ends = wordhash.runs(a)
+        lengths = np.array([len(x) for x in raw], np.int64)
+        first = np.concatenate([[0], np.cumsum(lengths[:-1] + 3)]) if len(raw) else lengths
+        low, high = np.searchsorted(begins, first), np.searchsorted(begins, first + lengths)
+        chunks = high - low
+        spaces = np.cumsum(np.concatenate([[0], a == wordhash.SPACE]), dtype=np.int64)
+        spaces = spaces[first + lengths] - spaces[first]
+        # single spaces between chunks, and none that is too long to be hashed
+        regular = (spaces == chunks - 1) & (lengths <= wordhash.CHUNK // 2)
+        rest = np.zeros(len(begins) + 1, np.int32)
+        np.add.at(rest, low[regular] + 1, 1)
+        np.add.at(rest, high[regular], -1)
+        rest = np.flatnonzero(np.cumsum(rest[:-1]))
+        key, check = wordhash.checked(a, begins[rest], ends[rest])
+        key, one, back = np.unique(key, return_index=True, return_inverse=True)
+        check = check[one]
+        at, size = self.memo.find(key, check)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.memo) + len(new) > self.memo_limit:
+                self.memo = Memo(self.dtype)
+                new = np.arange(len(key))
+            which = rest[one[new]]
+            self.memo.add(key[new], check[new], self._learn([joined[b:e].decode() for b, e in zip(begins[which].tolist(), ends[which].tolist(), strict=True)]))
+            at, size = self.memo.find(key, check)
+        at, size = at[back], size[back]
+        # texts with a chunk that has no ids of its own are encoded whole
+        bad = np.searchsorted(rest, low[regular]), np.searchsorted(rest, high[regular])
+        lost = np.concatenate([[0], np.cumsum(size < 0)])
+        regular[regular] = lost[bad[1]] == lost[bad[0]]
+        total = np.concatenate([[0], np.cumsum(np.maximum(size, 0), dtype=np.int64)])
+        real = np.maximum(size, 0)
+        places = np.repeat(at - total[:-1], real) + np.arange(total[-1])
+        ids = self.memo.flat[places].tobytes()
+        width = self.dtype.itemsize
+        cuts = [total[np.searchsorted(rest, x)] * width for x in (low, high)]
+        heads = self._plain([joined[begins[k] : ends[k]].decode() if ok else t for k, ok, t in zip(low.tolist(), regular.tolist(), texts, strict=True)])
+        return [h + ids[x:y] if ok else h for h, ok, x, y in zip(heads, regular.tolist(), cuts[0].tolist(), cuts[1].tolist(), strict=True)]
 
 
 @cache
@@ -122,10 +185,10 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 def release(path: str | None = None) -> None:
-    """Gives most of the memory of the worker's memo back, if it has one: only what the last block used stays."""
+    """Empties the worker's memo, if it has one."""
     if encoder.cache_info().currsize:
         e = encoder(path)
-        e.memo = {c: e.memo[c] for c in e.recent if c in e.memo}
+        e.memo = Memo(e.dtype)
 
 
 def forget() -> None:
