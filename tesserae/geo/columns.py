@@ -545,3 +545,138 @@ def write_texts(c: Columns, shown, names: list[str]) -> pa.Array:
                 polygons.append([r]) if first else polygons[-1].append(r)
             out.append(f"{name}({','.join('(' + ','.join(p) + ')' for p in polygons)})")
     return pa.array(out, pa.string())
+
+
+def one_point(c: Columns) -> np.ndarray | None:
+    """The coordinate of each row, -1 for null rows; None unless all other rows are points that are not empty."""
+    n = np.bincount(c.coordinate_rows(), minlength=c.rows)
+    if (c.kind[~c.null] != 1).any() or (n[~c.null] != 1).any():
+        return None
+    return np.where(c.null, -1, np.cumsum(n) - 1)
+
+
+def on_earth(*pairs: np.ndarray) -> bool:
+    return all((np.abs(x) <= 180).all() and (np.abs(y) <= 90).all() for x, y in zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def haversine(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, radius: float) -> np.ndarray:
+    x, y, u, v = map(np.radians, (x, y, u, v))
+    return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2)))
+
+
+def inverse(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, width: float, flat: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Metres and initial bearings between points on an ellipsoid (Vincenty), and which of them did not settle."""
+    pole = width * (1 - flat)
+    equal = (x == u) & (y == v)
+    x, y, u, v = map(np.radians, (x, y, u, v))
+    r1, r2 = np.arctan((1 - flat) * np.tan(y)), np.arctan((1 - flat) * np.tan(v))
+    s1, c1, s2, c2 = np.sin(r1), np.cos(r1), np.sin(r2), np.cos(r2)
+    turn = (u - x + np.pi) % (2 * np.pi) - np.pi
+    lam, open_ = turn.copy(), ~equal
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(200):
+            sl, cl = np.sin(lam), np.cos(lam)
+            ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+            equal |= ss == 0
+            cs = s1 * s2 + c1 * c2 * cl
+            sigma = np.arctan2(ss, cs)
+            sa = np.where(ss > 0, c1 * c2 * sl / ss, 0.0)
+            ca = 1 - sa * sa
+            cm = np.where(ca != 0, cs - 2 * s1 * s2 / ca, 0.0)
+            c = flat / 16 * ca * (4 + flat * (4 - 3 * ca))
+            new = turn + (1 - c) * flat * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+            settled = np.abs(new - lam) < 1e-13
+            lam = np.where(open_, new, lam)
+            open_ &= ~settled & ~equal
+            if not open_.any():
+                break
+        w = ca * (width**2 - pole**2) / pole**2
+        a = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+        b = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+        d = b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        bearing = np.degrees(np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))) % 360
+    return np.where(equal, 0.0, pole * a * (sigma - d)), np.where(equal, 0.0, bearing), open_
+
+
+def from_points(c: Columns, f) -> pa.Array | None:
+    """f(x, y) of the points of all rows; None where a row is no point or f gives None."""
+    at = one_point(c)
+    if at is None or not on_earth(c.x, c.y):
+        return None
+    made = f(c.x, c.y)
+    if made is None:
+        return None
+    return masked(made[at] if len(made) else np.zeros(c.rows), c.null)
+
+
+def geodesic_length(c: Columns, width: float, flat: float) -> pa.Array | None:
+    if not on_earth(c.x, c.y):
+        return None
+    k = c.steps()
+    d, _, left = inverse(c.x[k], c.y[k], c.x[k + 1], c.y[k + 1], width, flat)
+    return None if left.any() else masked(np.bincount(c.row[c.ring[k]], weights=d, minlength=c.rows), c.null)
+
+
+def along(c: Columns, ratio: float) -> pa.Array | None:
+    """The point at a share of each line's length."""
+    some = ~c.null
+    if (c.kind[some] != 2).any() or (np.bincount(c.coordinate_rows(), minlength=c.rows)[some] < 2).any():
+        return None
+    k = c.steps()
+    row = c.row[c.ring[k]]
+    d = np.hypot(c.x[k + 1] - c.x[k], c.y[k + 1] - c.y[k])
+    total = np.bincount(row, weights=d, minlength=c.rows)
+    end = np.cumsum(d)
+    end -= np.where(np.arange(len(row)) >= 0, (np.cumsum(total) - total)[row], 0.0)
+    rest = (total * ratio)[row] - (end - d)
+    hit = (rest <= d * (1 + 1e-12)) & (d > 0)
+    last = np.bincount(c.row, weights=c.size, minlength=c.rows).astype(np.int64)
+    last = np.cumsum(last) - 1
+    out = np.stack([c.x[last], c.y[last]]) if len(c.x) else np.zeros((2, c.rows))
+    on = np.flatnonzero(hit)
+    _, first = np.unique(row[on], return_index=True)
+    on = on[first]
+    t = np.clip(rest[on] / d[on], 0, 1)
+    out[0, row[on]] = c.x[k[on]] + t * (c.x[k[on] + 1] - c.x[k[on]])
+    out[1, row[on]] = c.y[k[on]] + t * (c.y[k[on] + 1] - c.y[k[on]])
+    return points(*out, c.null)
+
+
+def densified(c: Columns, step: float) -> pa.Array | None:
+    """Lines and polygons with points put in so that no segment is longer than step."""
+    if (c.kind[~c.null] > 3).any():
+        return None
+    k = c.steps()
+    n = np.ones(len(c.x), np.int64)
+    n[k] = np.maximum(1, np.ceil(np.hypot(c.x[k + 1] - c.x[k], c.y[k + 1] - c.y[k]) / step - 1e-12)).astype(np.int64)
+    at = np.repeat(np.arange(len(n)), n)
+    t = (np.arange(len(at)) - (np.cumsum(n) - n)[at]) / n[at]
+    to = np.minimum(at + 1, max(0, len(n) - 1))
+    x, y = (np.where(t > 0, v[at] + (v[to] - v[at]) * t, v[at]) for v in (c.x, c.y))
+    return encode(c.kind.astype(np.int64), c.row, np.bincount(c.ring, weights=n, minlength=len(c.row)).astype(np.int64), x, y, c.null)
+
+
+def distance_to_point(c: Columns, px: float, py: float) -> pa.Array | None:
+    """Of lines, points and polygons to one point; 0 for polygons that cover it."""
+    n = np.bincount(c.coordinate_rows(), minlength=c.rows)
+    if (n[~c.null] == 0).any():
+        return None
+    best = np.full(c.rows, np.inf)
+    own = c.coordinate_rows()
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+    if len(own):
+        best[own[first]] = np.minimum.reduceat(np.hypot(c.x - px, c.y - py), first)
+    k = c.steps()
+    if len(k):
+        dx, dy = c.x[k + 1] - c.x[k], c.y[k + 1] - c.y[k]
+        m = dx * dx + dy * dy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(m > 0, np.clip(((px - c.x[k]) * dx + (py - c.y[k]) * dy) / m, 0, 1), 0.0)
+        np.minimum.at(best, c.row[c.ring[k]], np.hypot(px - c.x[k] - t * dx, py - c.y[k] - t * dy))
+    areal = np.isin(c.kind, (3, 6))
+    if areal.any():
+        raw = np.zeros(c.rows, np.dtype([("o", "u1"), ("t", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+        raw["o"], raw["t"], raw["x"], raw["y"] = 1, 1, px, py
+        inside, on = located(decode(fixed(raw, np.zeros(c.rows, bool))), c)
+        best[areal & (inside | on)] = 0.0
+    return masked(best, c.null)

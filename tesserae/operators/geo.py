@@ -251,7 +251,7 @@ def concave_hull(df: DataFrame, concavity: float, length_threshold: float = 0.0)
 
 @operation("geo.densify")
 def densify(df: DataFrame, max_segment_length: float) -> DataFrame:
-    return replaced(planar_only(df), lambda g: shapes.densify(g, max_segment_length))
+    return replaced(planar_only(df), lambda g: shapes.densify(g, max_segment_length), fast=(lambda c: columns.densified(c, max_segment_length)) if max_segment_length > 0 else None)
 
 
 @operation("geo.snap_to_grid")
@@ -270,7 +270,7 @@ def line_substring(df: DataFrame, start_ratio: float, end_ratio: float) -> DataF
 def line_interpolate_point(df: DataFrame, ratio: float) -> DataFrame:
     if not 0 <= ratio <= 1:
         raise PlanError("the ratio lies from 0 to 1")
-    return replaced(planar_only(df), lambda g: ("Point", shapes.along(need_line(g), ratio)))
+    return replaced(planar_only(df), lambda g: ("Point", shapes.along(need_line(g), ratio)), fast=lambda c: columns.along(c, ratio))
 
 
 @operation("geo.snap")
@@ -370,7 +370,7 @@ def line_locate_point(df: DataFrame, point_wkb: str, output_column: str = "locat
 
 @operation("geo.geodesic_line_length")
 def geodesic_line_length(df: DataFrame, output_column: str = "geodesic_length") -> DataFrame:
-    return measured(degrees_only(df), output_column, lambda g: float(shapes.geodesic_length(g)), "double")
+    return measured(degrees_only(df), output_column, lambda g: float(shapes.geodesic_length(g)), "double", fast=lambda c: columns.geodesic_length(c, shapes.WIDTH, shapes.FLAT))
 
 
 @operation("geo.geodesic_area")
@@ -384,7 +384,7 @@ def geodesic_area(df: DataFrame, output_column: str = "geodesic_area") -> DataFr
 @operation("geo.distance")
 def distance(df: DataFrame, other_wkb: str, output_column: str = "distance") -> DataFrame:
     h = other(other_wkb)
-    return measured(planar_only(df), output_column, lambda g: planar.distance(g, h), "double")
+    return measured(planar_only(df), output_column, lambda g: planar.distance(g, h), "double", fast=(lambda c: columns.distance_to_point(c, *h[1])) if h[0] == "Point" and h[1] else None)
 
 
 @operation("geo.hausdorff_distance")
@@ -405,22 +405,34 @@ def point(g: Geometry):
     return g[1]
 
 
+def from_points(h: tuple | None, f: Callable) -> Callable | None:
+    """Of a batch of points, f(x, y); not where the other point is empty or out of range, which the rows tell."""
+    if h is None or not columns.on_earth(*map(np.array, h)):
+        return None
+    return lambda c: columns.from_points(c, f)
+
+
+def settled(x: np.ndarray, y: np.ndarray, h: tuple, which: int) -> np.ndarray | None:
+    made = columns.inverse(x, y, np.full(len(x), h[0]), np.full(len(x), h[1]), shapes.WIDTH, shapes.FLAT)
+    return None if made[2].any() else made[which]
+
+
 @operation("geo.haversine_distance")
 def haversine_distance(df: DataFrame, other_wkb: str, output_column: str = "haversine_distance") -> DataFrame:
     h = point(other(other_wkb))
-    return measured(degrees_only(df), output_column, lambda g: shapes.haversine(point(g), h) if point(g) else None, "double")
+    return measured(degrees_only(df), output_column, lambda g: shapes.haversine(point(g), h) if point(g) else None, "double", fast=from_points(h, lambda x, y: columns.haversine(x, y, *h, shapes.RADIUS)))
 
 
 @operation("geo.geodesic_distance")
 def geodesic_distance(df: DataFrame, other_wkb: str, output_column: str = "geodesic_distance") -> DataFrame:
     h = point(other(other_wkb))
-    return measured(degrees_only(df), output_column, lambda g: shapes.inverse(point(g), h)[0] if point(g) else None, "double")
+    return measured(degrees_only(df), output_column, lambda g: shapes.inverse(point(g), h)[0] if point(g) else None, "double", fast=from_points(h, lambda x, y: settled(x, y, h, 0)))
 
 
 @operation("geo.bearing")
 def bearing(df: DataFrame, other_wkb: str, output_column: str = "bearing") -> DataFrame:
     h = point(other(other_wkb))
-    return measured(degrees_only(df), output_column, lambda g: shapes.inverse(point(g), h)[1] if point(g) else None, "double")
+    return measured(degrees_only(df), output_column, lambda g: shapes.inverse(point(g), h)[1] if point(g) else None, "double", fast=from_points(h, lambda x, y: settled(x, y, h, 1)))
 
 
 def _predicate(name: str) -> None:

@@ -4,6 +4,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -143,10 +144,33 @@ def test_batches_agree_with_rows():
             assert read(columns.simplified(c, tolerance)) == rows(lambda g: shapes.simplify(g, tolerance))
         out, left = columns.convex_hull(c)
         assert [g for g, k in zip(read(out), left, strict=True) if not k] == [g and ("Polygon", [planar.hull(codec.coordinates(g))]) for g, k in zip(gs, left, strict=True) if not k]
+        simple = [g if g and g[0] in ("Point", "LineString", "Polygon") else None for g in gs]
+        lines = [g if g and g[0] == "LineString" else None for g in gs]
+        at = lambda some: columns.decode(pa.array([g and codec.write_wkb(g) for g in some], pa.binary()))
+        assert all((a is None) == (b is None) and (a is None or np.allclose(codec.coordinates(a), codec.coordinates(b), atol=1e-12)) for a, b in zip(read(columns.densified(at(simple), 1.5)), [g and shapes.densify(g, 1.5) for g in simple], strict=True))
+        for ratio in (0.0, 0.3, 1.0):
+            assert close([g and g[1] for g in read(columns.along(at(lines), ratio))], [g and shapes.along(g[1], ratio) for g in lines])
+        plain = [g if g and g[0] not in ("MultiPolygon", "Polygon") else None for g in gs] + [square(0, 0, 4), square(3, 3, 1)]
+        assert close(columns.distance_to_point(at(plain), 1.0, 2.0).to_pylist(), [g and planar.distance(g, ("Point", (1.0, 2.0))) for g in plain])
+        earth = lambda some: [-1 if v is None else v for v in some]
+        assert np.allclose(earth(columns.geodesic_length(c, shapes.WIDTH, shapes.FLAT).to_pylist()), earth(rows(shapes.geodesic_length)), atol=1e-4)
         tall = [g for g in gs if g is not None and len(set(x for x, _ in codec.coordinates(g))) > 1 and len(set(y for _, y in codec.coordinates(g))) > 1]
         assert read(columns.envelope(columns.decode(pa.array([codec.write_wkb(g) for g in tall], pa.binary())))) == [planar.envelope(g) for g in tall]
 
 
+def test_geodesics_by_batches():
+    r = random.Random(12)
+    p, q = ([(r.uniform(-180, 180), r.uniform(-90, 90)) for _ in range(300)] for _ in range(2))
+    p[:3], q[:3] = [(0.0, 0.0), (10.0, 90.0), (5.0, 5.0)], [(0.0, 0.0), (20.0, 90.0), (5.0, -5.0)]
+    x, y, u, v = (np.array([z[k] for z in some]) for some in (p, q) for k in (0, 1))
+    d, b, left = columns.inverse(x, y, u, v, shapes.WIDTH, shapes.FLAT)
+    want = [shapes.inverse(s, t) for s, t in zip(p, q, strict=True)]
+    assert left.mean() < 0.05
+    for k in np.flatnonzero(~left):
+        assert d[k] == pytest.approx(want[k][0], abs=1e-4) and (b[k] - want[k][1] + 180) % 360 - 180 == pytest.approx(0, abs=1e-6)
+    assert columns.haversine(x, y, u, v, shapes.RADIUS) == pytest.approx([shapes.haversine(s, t) for s, t in zip(p, q, strict=True)])
+
+
 def test_texts_by_batches():
     for seed in range(20):
         gs = shapes_of_all_kinds(seed + 100, 40)
