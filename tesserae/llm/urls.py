@@ -4,10 +4,10 @@ Dated entries (domain, action, since) become validity intervals: an entry holds
 next one of its domain. A capture is judged by the most specific suffix of its host that
 has an entry in force; without one it is allowed.
 
-The list is joined to the distinct hosts, and the hosts' intervals to the captures, so a
-host with a third of all captures only meets one row. The list is broadcast only if it
-has at most BROADCAST_ENTRIES rows, which is counted; else the joins shuffle, and Spark
-splits large partitions of captures.
+The list is joined to the distinct hosts, and the hosts' intervals, one row for each host,
+are written and joined to the captures; of a host with a third of all captures Spark splits
+the partition. The list is broadcast only if it has at most BROADCAST_ENTRIES rows, which is
+counted; else that join shuffles too.
 
 Edge cases: a null or host-less url, or a null fetch time, is undecided (action null,
 blocked false). Entries with a null domain, action or date are ignored. Of entries of one
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BROADCAST_ENTRIES = 20_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -49,7 +51,8 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     matched = levels.join(F.broadcast(held) if small else held, "domain")
     entry = F.struct((-F.size(F.split("domain", r"\."))).alias("level"), "since", "until", "domain", "action")
     # bounded by the entries of one host's suffixes
-    lists = matched.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    # written, so that the join's two sides are plain shuffles and Spark can split a host with a third of all captures
+    lists = stored(matched.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("_entries")), "lists")
     at = F.col(fetched)
     out = seen.join(lists, "host", "left").withColumn("_hit", F.try_element_at(F.filter("_entries", lambda e: (e["since"] <= at) & (e["until"].isNull() | (at < e["until"]))), F.lit(1)))
     action = F.when(F.col("host").isNotNull() & at.isNotNull(), F.coalesce("_hit.action", F.lit("allow")))
