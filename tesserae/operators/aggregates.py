@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..relation import ORD, PlanError, col, data, demand, is_number, kind, need, new_name, no_repeats, number, operation, to_text, with_order
+from ..relation import ORD, PlanError, col, data, demand, is_number, kind, need, new_name, no_repeats, number, operation, ranges, to_text, with_order
+from .columns import numbered
 
 
 def real(c: Column) -> Column:
@@ -187,10 +188,77 @@ def frame(df: DataFrame, group_by: str | None, order_column: str | None) -> tupl
     return df, by, order
 
 
+#: Rows of a stretch of the row order that one task takes in windows without groups; wider windows make longer ones.
+STRETCH = 1 << 20
+
+
+def stretched(df: DataFrame, back: int, ahead: int) -> tuple[DataFrame, Column, Column]:
+    """df cut into stretches of the row order for windows that reach so many rows back and ahead.
+
+    Rows near the ends are copied to the next or the previous stretch. Also: the stretch, and
+    whether a row is one of its own stretch.
+    """
+    size = max(STRETCH, back, ahead)
+    at = numbered(df, "__at", 0)
+    own, place = F.floor(F.col("__at") / size).cast("long"), F.col("__at") % size
+    to = F.array_compact(F.array(own, F.when(place >= size - back, own + 1) if back else F.lit(None).cast("long"), F.when(place < ahead, own - 1) if ahead else F.lit(None).cast("long")))
+    return at.withColumn("__stretch", F.explode(to)), F.col("__stretch"), F.col("__stretch") == own
+
+
+def carried(df: DataFrame, by: str, sums: dict[str, Column]) -> DataFrame:
+    """df by ranges of a column, with the sums of all earlier ranges and, as all_<name>, of all of them; a carried row for each range."""
+    bucket, _ = ranges(df, by)
+    marked = df.withColumn("__bucket", bucket)
+    each_ = marked.groupBy("__bucket").agg(*[c.alias(n) for n, c in sums.items()])
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = each_.select("__bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums], *[F.sum(n).over(Window.partitionBy()).alias("all_" + n) for n in sums])
+    # as many rows as ranges
+    return marked.join(F.broadcast(rows), "__bucket")
+
+
+def ungrouped(df: DataFrame, x: Column, function: str, offset: int, buckets: int | None) -> tuple[DataFrame, Column]:
+    """A window function over all rows in their order, without a task that sees them all."""
+    if function in ("lag", "lead", "pct_change"):
+        back, ahead = (0, max(0, offset)) if function == "lead" else (max(0, offset), 0)
+        if offset < 0:
+            back, ahead = (-offset, 0) if function == "lead" else (0, -offset)
+        out, stretch, own = stretched(df, back, ahead)
+        w = Window.partitionBy(stretch).orderBy(ORD)
+        other = (F.lead if function == "lead" else F.lag)(x, offset).over(w)
+        value = other if function != "pct_change" else F.when(other != 0, (x - other) / other)
+        return out.withColumn("__w", value).where(own), F.col("__w")
+    if function in ("cumsum", "running_mean", "cumcount", "ntile"):
+        out = carried(df, ORD, {"__rows": F.count(F.lit(1)), "__n": F.count(x), "__sum": F.sum(x)})
+        w = Window.partitionBy("__bucket").orderBy(ORD)
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        position = F.row_number().over(w) - 1 + F.col("__rows")
+        total = F.coalesce(F.sum(x).over(upto), F.lit(0.0)) + F.col("__sum")
+        every = F.col("all___rows")
+        table = {"cumsum": F.when(x.isNotNull(), total), "running_mean": F.when(x.isNotNull(), total / (F.count(x).over(upto) + F.col("__n"))), "cumcount": position, "ntile": F.floor(position * F.least(F.lit(buckets or 4), every) / every) + 1}
+        return out, table[function]
+    out = carried(df.withColumn("__x", x), "__x", {"__n": F.count("__x"), "__kinds": F.count_distinct("__x")})
+    valued = Window.partitionBy("__bucket", F.col("__x").isNull()).orderBy("__x")
+    low, n = F.rank().over(valued) + F.col("__n"), F.col("all___n")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("__bucket", "__x")) - 1
+    table = {"rank": low + ties / 2, "dense_rank": F.dense_rank().over(valued) + F.col("__kinds"), "percent_rank": F.when(n <= 1, 0.0).otherwise((low - 1) / (n - 1)), "cume_dist": (low + ties) / n}
+    return out, F.when(F.col("__x").isNotNull(), table[function])
+
+
+FUNCTIONS = {"rank", "dense_rank", "percent_rank", "cume_dist", "cumsum", "running_mean", "cumcount", "lag", "lead", "pct_change", "ntile"}
+
+
 @operation("table.window_function", "B")
 def window_function(df: DataFrame, column: str, function: str, group_by: str | None = None, order_column: str | None = None, offset: int = 1, buckets: int | None = None, output_column: str | None = None) -> DataFrame:
+    if function not in FUNCTIONS:
+        raise PlanError(f"there is no window function {function!r}")
+    names = df.columns
     df, by, order = frame(df, group_by, order_column)
     x = number(df, column)
+    name = new_name(output_column or f"{column}_{function}")
+    # a named order of other columns needs a sort of all rows, unless only the values count
+    if not group_by and (not order_column or function in ("rank", "dense_rank", "percent_rank", "cume_dist")):
+        out, value = ungrouped(df, x, function, offset, buckets)
+        return out.withColumn(name, value.cast("double")).select(*[col(c) for c in names if c != name], *([ORD] if ORD not in names else []), col(name))
     positional = Window.partitionBy(*by).orderBy(*order)
     upto = positional.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     valued = Window.partitionBy(*by, x.isNull()).orderBy(x)
@@ -215,21 +283,21 @@ def window_function(df: DataFrame, column: str, function: str, group_by: str | N
         "pct_change": lambda: F.when(previous != 0, (x - previous) / previous),
         "ntile": lambda: F.floor(position * F.least(F.lit(buckets or 4), F.count(F.lit(1)).over(everyone)) / F.count(F.lit(1)).over(everyone)) + 1,
     }
-    if function in ranked:
-        out = F.when(x.isNotNull(), ranked[function]())
-    elif function in placed:
-        out = placed[function]()
-    else:
-        raise PlanError(f"there is no window function {function!r}")
-    return df.withColumn(new_name(output_column or f"{column}_{function}"), out.cast("double"))
+    out = F.when(x.isNotNull(), ranked[function]()) if function in ranked else placed[function]()
+    return df.withColumn(name, out.cast("double"))
 
 
 @operation("table.rolling_window", "B")
 def rolling_window(df: DataFrame, column: str, function: str, window: int, output_column: str, group_by: str | None = None, order_column: str | None = None, min_periods: int = 1, ddof: int = 1) -> DataFrame:
     if window < 1:
         raise PlanError("the window holds at least one row")
+    names = df.columns
     df, by, order = frame(df, group_by, order_column)
     x = number(df, column)
+    whole = not group_by and not order_column
+    if whole:
+        df, stretch, own = stretched(df, window - 1, 0)
+        by = [stretch]
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - window, 0)
     n = F.count(x).over(w)
     table = {"sum": lambda: F.sum(x).over(w), "mean": lambda: F.avg(x).over(w), "min": lambda: F.min(real(x)).over(w), "max": lambda: F.max(real(x)).over(w)}
@@ -239,7 +307,10 @@ def rolling_window(df: DataFrame, column: str, function: str, window: int, outpu
         v = table[function]()
     else:
         raise PlanError(f"there is no rolling function {function!r}")
-    return df.withColumn(new_name(output_column), F.when(n >= min_periods, v))
+    out = df.withColumn(new_name(output_column), F.when(n >= min_periods, v))
+    if not whole:
+        return out
+    return out.where(own).select(*[col(c) for c in names if c != output_column], *([ORD] if ORD not in names else []), col(output_column))
 
 
 @operation("table.melt", "B")

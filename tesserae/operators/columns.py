@@ -76,7 +76,7 @@ def add_row_number(df: DataFrame, output_column: str = "row_number", start: int
 
 def numbered(df: DataFrame, name: str, start: int) -> DataFrame:
     """Global row numbers over a range exchange: ranges of ORD are counted, then numbered within."""
-    marked = df.withColumn("__bucket", ranges(df))
+    marked = df.withColumn("__bucket", ranges(df)[0])
     # at most as many rows as shuffle partitions
     counts = marked.groupBy("__bucket").count().withColumn("__before", F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = F.broadcast(counts.select("__bucket", F.coalesce("__before", F.lit(0)).alias("__before")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..relation import ORD, PlanError, col, data, kind, need, number, operation, with_order
+from ..relation import ORD, PlanError, col, data, kind, need, number, operation, ranges, with_order
 
 
 def same_keys(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> None:
@@ -67,6 +67,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, le
     """The nearest right row of each left row: both sides in one sorted window per group, no pairs.
 
     The sort is linear in the rows of a group and streams; groups are the unit of distribution.
+    Without keys, ranges of the right side's times are, each of which gets the last right row
+    before it and the first one behind it.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise PlanError(f"there is no direction {direction!r}")
@@ -87,7 +89,16 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, le
     if right_by:
         r = r.where(" AND ".join(f"{b} IS NOT NULL" for b in by))
     both = l.unionByName(r, allowMissingColumns=True)
-    groups = [F.col(b) for b in by] or [F.lit(0)]
+    groups = [F.col(b) for b in by]
+    if not by:
+        bucket, many = ranges(r, "__at")
+        both = both.withColumn("__bucket", bucket)
+        ends = r.withColumn("__bucket", bucket).groupBy("__bucket").agg(F.max_by("__r", F.struct("__at", "__o")).alias("__last"), F.min_by("__r", F.struct("__at", "__o")).alias("__first"))
+        order = Window.orderBy("__bucket")
+        filled = left.sparkSession.range(many).select(F.col("id").cast("int").alias("__bucket")).join(ends, "__bucket", "left")
+        filled = filled.select("__bucket", F.last("__last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__last"), F.first("__first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__first"))
+        both = both.join(F.broadcast(filled), "__bucket")  # a row for each range
+        groups = [F.col("__bucket")]
 
     def found(back: bool) -> Column:
         # with exact matches a left row sees right rows at its own time, so those come first
@@ -97,7 +108,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, le
             w = Window.partitionBy(*groups).orderBy(F.col("__at").asc_nulls_first(), side, F.col("__o")).rowsBetween(Window.unboundedPreceding, -1)
         else:
             w = Window.partitionBy(*groups).orderBy(F.col("__at").desc_nulls_last(), side, F.col("__o").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        return F.last("__r", ignorenulls=True).over(w)
+        inside = F.last("__r", ignorenulls=True).over(w)
+        return inside if by else F.coalesce(inside, F.col("__last" if back else "__first"))
 
     if direction in ("backward", "nearest"):
         both = both.withColumn("__back", found(True))

@@ -142,7 +142,7 @@ def fill_na(df: DataFrame, column: str | None = None, method: str = "value", val
     if method not in ("ffill", "bfill"):
         raise PlanError(f"there is no method {method!r}")
     df = with_order(df)
-    marked = df.withColumn("__bucket", ranges(df))
+    marked = df.withColumn("__bucket", ranges(df)[0])
     forward = method == "ffill"
     pick = F.max_by if forward else F.min_by
     carried = marked.groupBy("__bucket").agg(*[pick(F.when(col(n).isNotNull(), F.struct(col(n).alias("v"))), F.when(col(n).isNotNull(), F.col(ORD))).alias(f"__c{k}") for k, n in enumerate(names)])

@@ -70,22 +70,23 @@ def steady(df: DataFrame) -> DataFrame:
     return with_order(df) if all(STABLE.match(n) for n in nodes) else durable(with_order(df))
 
 
-def ranges(df: DataFrame) -> Column:
-    """The number of the range of ORD that a row is in: about as many ranges as shuffle partitions, by quantiles.
+def ranges(df: DataFrame, name: str = ORD) -> tuple[Column, int]:
+    """The number of the range of a numeric column that a row is in, and how many ranges there are: about as many as shuffle partitions, by quantiles.
 
-    The edges form a balanced tree of comparisons, so a row costs the logarithm of their number.
+    The edges form a balanced tree of comparisons, so a row costs the logarithm of their
+    number. Equal values are in one range; null is in the last one.
     """
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = df.approxQuantile(ORD, [k / parts for k in range(1, parts)], 0.001) or []
-    edges = sorted({int(x) for x in found})
+    found = df.approxQuantile(name, [k / parts for k in range(1, parts)], 0.001) or []
+    edges = sorted({int(x) if name == ORD else float(x) for x in found if x == x})
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(F.col(ORD) <= edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+        return F.when(F.col(name) <= edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    return tree(0, len(edges))
+    return tree(0, len(edges)), len(edges) + 1
 
 
 def data(df: DataFrame) -> list[str]:

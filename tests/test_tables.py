@@ -3,11 +3,12 @@
 import hashlib
 import hmac
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import OPERATIONS, apply
+from tesserae.operators import OPERATIONS, aggregates, apply
 from tesserae.operators.quality import with_metadata
 from tesserae.relation import ORD, PlanError, report, with_order
 
@@ -68,6 +69,34 @@ def test_window_ranks_with_ties(spark):
     assert get("cumsum") == [10, 30, 50, 90, None] and get("ntile", buckets=2) == [1, 1, 1, 2, 2] and get("lag") == [None, 10, 20, 20, 40]
 
 
+def test_windows_without_groups_are_those_of_one_group(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "STRETCH", 16)
+    r = random.Random(3)
+    rows = [(k, None if r.random() < 0.1 else float(r.randrange(12)), "a") for k in range(300)]
+    df = with_order(spark.createDataFrame(rows, "k long, v double, g string").repartition(5), "k")
+    for f in sorted(aggregates.FUNCTIONS):
+        for more in ({}, {"offset": 3}, {"offset": -2}) if f in ("lag", "lead", "pct_change") else ({},):
+            one, all_ = (apply("table.window_function", df, column="v", function=f, output_column="w", **more, **g) for g in ({"group_by": "g"}, {}))
+            assert all_.columns == one.columns
+            want, got = ([r.w for r in x.orderBy("k").collect()] for x in (one, all_))
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(want, got, strict=True)), (f, more)
+    for f in ("sum", "mean", "min", "max", "stddev"):
+        for window in (1, 4, 40):
+            one, all_ = (apply("table.rolling_window", df, column="v", function=f, window=window, output_column="w", **g) for g in ({"group_by": "g"}, {}))
+            want, got = ([r.w for r in x.orderBy("k").collect()] for x in (one, all_))
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-6) for a, b in zip(want, got, strict=True)), (f, window)
+
+
+def test_asof_without_keys_is_that_of_one_key(spark):
+    r = random.Random(5)
+    left = with_order(spark.createDataFrame([(k, None if k % 50 == 7 else float(r.randrange(100)), "a") for k in range(200)], "id long, t double, g string").repartition(3), "id")
+    right = with_order(spark.createDataFrame([(k, float(r.choice([r.randrange(100), 20])), "a") for k in range(60)], "n long, t double, g string").repartition(3), "n")
+    for direction in ("backward", "forward", "nearest"):
+        for more in ({}, {"allow_exact": False}, {"tolerance": 2.0}):
+            one, all_ = ({x.id: x.n for x in apply("table.asof_join", left, right, left_on="t", right_on="t", direction=direction, **more, **by).collect()} for by in ({"left_by": ["g"], "right_by": ["g"]}, {}))
+            assert one == all_, (direction, more)
+
+
 def test_fill_runs_over_many_ranges(spark):
     n = 500
     df = with_order(spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") % 37 == 5, F.col("id").cast("double")).alias("v")).repartition(7), "k")
