@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..relation import ORD, PlanError, col, data, is_number, kind, literal, need, new_name, no_repeats, number, operation, ranges, to_text, with_order
+from ..relation import ORD, PlanError, col, data, is_number, kind, literal, need, new_name, no_repeats, number, operation, ranges, refuse, to_text, with_order
 from .filters import test
 
 ATOMS = {"str": "string", "string": "string", "utf8": "string", "int": "long", "int64": "long", "float": "double", "float64": "double", "bool": "boolean", "boolean": "boolean", "date32": "date", "date": "date", "timestamp_millis": "timestamp_ntz", "decimal128": "decimal(38,10)", "uint64": "decimal(20,0)", "binary": "binary"}
@@ -140,36 +141,55 @@ def lookup(df: DataFrame, column: str, mapping: dict, default: object = None, ou
     return df.withColumn("__key", text).join(side, "__key", "left").withColumn(out, F.when(F.col("__key").isNotNull(), F.coalesce("__value", F.lit(None).cast("string") if default is None else F.lit(shown(default)), F.col("__key")))).drop("__key", "__value")
 
 
+def equal_bins(low: float, high: float, bins: int) -> list[float]:
+    """The edges of bins of equal width; the first one is put a little below the least value."""
+    if low == high:
+        pad = abs(low) * 0.001 or 0.001
+        return [low - pad + k * (2 * pad) / bins for k in range(bins + 1)]
+    edges = [low + k * (high - low) / bins for k in range(bins + 1)]
+    edges[0] -= (high - low) * 0.001
+    edges[-1] = high
+    return edges
+
+
+def intervals(edges: list[float]) -> list[str]:
+    return [f"({a:.6g}, {b:.6g}]" for a, b in zip(edges, edges[1:], strict=False)]
+
+
 @operation("table.bin", "B")
 def bin_(df: DataFrame, column: str, bins: int | list[float] = 10, labels: list[str] | None = None, output_column: str | None = None) -> DataFrame:
-    """Right-closed intervals; the first one also holds its left edge. Equal widths need one pass for the range."""
+    """Right-closed intervals; the first one also holds its left edge. The range for equal widths is an aggregate of one row that is joined."""
     x = number(df, column)
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    many = bins if isinstance(bins, int) else len(bins) - 1
+    if isinstance(bins, int) and not 2 <= bins <= 100:
+        raise PlanError("2 to 100 bins are possible")
+    if not isinstance(bins, int) and (not 2 <= many <= 100 or any(a >= b for a, b in zip(bins, bins[1:], strict=False))):
+        raise PlanError("3 to 101 rising edges are needed")
+    if labels is not None and len(labels) != many:
+        raise PlanError("a label for each bin is needed")
+    name, names = new_name(output_column or f"{column}_bin"), df.columns
     if isinstance(bins, int):
-        if not 2 <= bins <= 100:
-            raise PlanError("2 to 100 bins are possible")
-        low, high = df.where(finite).agg(F.min(x), F.max(x)).first()
-        if low is None:
-            raise PlanError("no finite value to bin")
-        if low == high:
-            pad = abs(low) * 0.001 or 0.001
-            edges = [low - pad + k * (2 * pad) / bins for k in range(bins + 1)]
-        else:
-            edges = [low + k * (high - low) / bins for k in range(bins + 1)]
-            edges[0] -= (high - low) * 0.001
-            edges[-1] = high
+
+        def lay(low: pa.Array, high: pa.Array) -> pa.Array:
+            found = [None if a is None else equal_bins(a, b, bins) for a, b in zip(low.to_pylist(), high.to_pylist(), strict=True)]
+            rows = [None if e is None else {"edges": e, "labels": labels or intervals(e)} for e in found]
+            return pa.array(rows, pa.struct([("edges", pa.list_(pa.float64())), ("labels", pa.list_(pa.string()))]))
+
+        laid = F.arrow_udf(lay, T._parse_datatype_string("struct<edges: array<double>, labels: array<string>>"))
+        # one row, so this is no product
+        df = df.crossJoin(F.broadcast(df.where(finite).agg(F.min(x).alias("low"), F.max(x).alias("high")).select(laid("low", "high").alias("__bins"))))
+        edges = [F.col("__bins.edges")[k] for k in range(many + 1)]
+        shown = [F.col("__bins.labels")[k] for k in range(many)]
+        x = refuse(F.col("__bins").isNull(), "no finite value to bin", x)
     else:
-        edges = [float(e) for e in bins]
-        if not 3 <= len(edges) <= 101 or any(a >= b for a, b in zip(edges, edges[1:], strict=False)):
-            raise PlanError("3 to 101 rising edges are needed")
-    if labels is not None and len(labels) != len(edges) - 1:
-        raise PlanError("a label for each bin is needed")
-    shown = labels or [f"({a:.6g}, {b:.6g}]" for a, b in zip(edges, edges[1:], strict=False)]
+        edges = [F.lit(float(e)) for e in bins]
+        shown = [F.lit(t) for t in labels or intervals([float(e) for e in bins])]
     out = None
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        inside = finite & ((x >= a) if k == 0 else (x > a)) & (x <= b)
+    for k in range(many):
+        inside = finite & ((x >= edges[k]) if k == 0 else (x > edges[k])) & (x <= edges[k + 1])
         out = F.when(inside, shown[k]) if out is None else out.when(inside, shown[k])
-    return df.withColumn(new_name(output_column or f"{column}_bin"), out)
+    return df.withColumn(name, out).select(*[col(c) for c in names if c != name], col(name)) if name not in names else df.withColumn(name, out).select(*[col(c) for c in names])
 
 
 @operation("table.concat_columns")

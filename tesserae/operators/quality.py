@@ -76,11 +76,17 @@ def assert_regex(df: DataFrame, column: str, pattern: str, allow_null: bool = Fa
 
 @operation("table.assert_cardinality")
 def assert_cardinality(df: DataFrame, exact_rows: int | None = None, min_rows: int | None = None, max_rows: int | None = None) -> DataFrame:
-    """Counts rows in one aggregation of one number per task; an empty table is counted at once."""
-    n = df.count()
-    if exact_rows is not None and n != exact_rows or min_rows is not None and n < min_rows or max_rows is not None and n > max_rows:
-        raise PlanError(f"rejected: validation.row_count ({n} rows)")
-    return df
+    """The rows, and behind them an aggregate that gives no row but an error where their number is wrong."""
+    n = F.col("n")
+    wrong = F.lit(False)
+    for limit, bad in ((exact_rows, n != F.lit(exact_rows)), (min_rows, n < F.lit(min_rows)), (max_rows, n > F.lit(max_rows))):
+        wrong |= bad if limit is not None else F.lit(False)
+    counted = df.agg(F.count(F.lit(1)).alias("n")).where(F.when(wrong, F.raise_error(F.concat(F.lit("rejected: validation.row_count ("), n.cast("string"), F.lit(" rows)")))).otherwise(F.lit(False)))
+    none = counted.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    out = df.unionByName(none)
+    for f in df.schema.fields:
+        out = out.withMetadata(f.name, f.metadata) if f.metadata else out
+    return out
 
 
 @operation("table.assert_metadata")

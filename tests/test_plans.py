@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae import plans, sources, streaming
 from tesserae.relation import PlanError
@@ -49,6 +50,20 @@ def test_data_dependent_columns_are_not_for_plans(spark, frames):
         plans.validate(spark, p, {"a": frames["a"].schema})
 
 
+def node(name, op, inputs, **config):
+    return {"id": name, "op": op, "inputs": inputs, "config": config}
+
+
+def test_plans_with_counts_and_ranges_are_validated_without_data(spark):
+    schema = T.StructType([T.StructField("v", T.DoubleType()), T.StructField("k", T.LongType())])
+    plan = {"inputs": ["rows"], "nodes": [node("a", "table.bin", ["rows"], column="v", bins=3), node("b", "table.assert_cardinality", ["a"], min_rows=2)]}
+    assert plans.validate(spark, plan, {"rows": schema}).names == ["v", "k", "v_bin"]
+    df = spark.createDataFrame([(0.0, 1), (3.0, 2), (None, 3)], schema)
+    assert {r.k: r.v_bin for r in plans.run(plan, {"rows": df}).collect()} == {1: "(-0.003, 1]", 2: "(2, 3]", 3: None}
+    with pytest.raises(Exception, match="row_count"):
+        plans.run(plan, {"rows": df.limit(1)}).collect()
+
+
 def test_filters_reach_the_scan(spark, frames, tmp_path):
     frames["a"].write.parquet(f"{tmp_path}/a")
     plan = plans.explain({"inputs": ["a"], "nodes": [{"id": "f", "op": "table.filter", "inputs": ["a"], "config": {"column": "n", "operator": "==", "value": 2}}, {"id": "s", "op": "table.select_columns", "inputs": ["f"], "config": {"columns": ["n"]}}]}, {"a": spark.read.parquet(f"{tmp_path}/a")})

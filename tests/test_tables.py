@@ -227,8 +227,9 @@ def test_checks(spark, unary):
     refused(apply("table.assert_range", unary.dropna(), column="num", min=2))
     refused(apply("table.assert_regex", unary, column="group", pattern="^[ab]$"))
     assert apply("table.assert_regex", unary, column="group", pattern="^[ab]$", allow_null=True).count() == 5
-    with pytest.raises(PlanError):
-        apply("table.assert_cardinality", unary, min_rows=6)
+    refused(apply("table.assert_cardinality", unary, min_rows=6))
+    refused(apply("table.assert_cardinality", unary.limit(0), min_rows=1))
+    assert apply("table.assert_cardinality", unary, exact_rows=5, max_rows=5).count() == 5
     with pytest.raises(PlanError):
         apply("table.assert_schema", unary, fields=[{"name": "id", "type": "string"}], allow_extra=True)
     with pytest.raises(PlanError):
