@@ -95,13 +95,15 @@ def statistics(df: DataFrame, column: str, group_by: str | None = None, stats: l
 
 
 @operation("table.pivot", "B")
-def pivot(df: DataFrame, index_col: str, column: str, value_col: str, aggr_func: str = "first", mapping: dict | None = None) -> DataFrame:
-    """Output columns are the sorted texts of the pivot column, read beforehand unless a mapping names them."""
+def pivot(df: DataFrame, index_col: str, column: str, value_col: str, aggr_func: str = "first", mapping: dict | None = None, max_columns: int = 10_000) -> DataFrame:
+    """Output columns are the sorted texts of the pivot column, read beforehand unless a mapping names them; more than max_columns are refused."""
     keys = [k.strip() for k in index_col.split(",")]
     need(df, *keys, column, value_col)
     df = with_order(df)
     p = to_text(df, column)
-    values = list(mapping) if mapping else [r[0] for r in df.select(p.alias("p")).where("p IS NOT NULL").distinct().orderBy("p").collect()]
+    values = list(mapping) if mapping else sorted(r[0] for r in df.select(p.alias("p")).where("p IS NOT NULL").distinct().limit(max_columns + 1).collect())
+    if not mapping and len(values) > max_columns:
+        raise PlanError(f"more than {max_columns} values can't become columns")
     outs = []
     for v in values:
         hit = p == F.lit(v)
@@ -335,15 +337,16 @@ def melt(df: DataFrame, id_columns: list[str], value_columns: list[str] = (), va
 def transpose(df: DataFrame, id_column: str | None = None, output_columns: list[str] = (), type_policy: str = "reject", max_rows: int = 4096) -> DataFrame:
     """Rows become columns. The row count becomes the width of the table, so it is bounded by max_rows and checked."""
     df = with_order(df)
-    rows = df.orderBy(ORD).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise PlanError(f"more than {max_rows} rows can't become columns")
-    if not rows:
-        return df
     names = [c for c in data(df) if c != id_column]
     mixed = len({str(kind(df, c)) for c in names}) > 1
     if mixed and type_policy != "string":
         raise PlanError("the columns differ in type")
+    read = df.select(*[to_text(df, c).alias(c) for c in data(df)], ORD) if mixed else df
+    rows = read.orderBy(ORD).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise PlanError(f"more than {max_rows} rows can't become columns")
+    if not rows:
+        return df
     if output_columns:
         heads = list(output_columns)
     elif id_column:
@@ -354,8 +357,6 @@ def transpose(df: DataFrame, id_column: str | None = None, output_columns: list[
         raise PlanError("an output column for each row is needed")
     no_repeats(["column", *heads])
     value = T.StringType() if mixed else kind(df, names[0])
-    if mixed:
-        rows = df.select(*[to_text(df, c).alias(c) for c in data(df)], ORD).orderBy(ORD).collect()
     schema = T.StructType([T.StructField("column", T.StringType(), False), *[T.StructField(h, value) for h in heads]])
     return df.sparkSession.createDataFrame([(c, *[r[c] for r in rows]) for c in names], schema)
 

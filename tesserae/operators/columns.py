@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -87,7 +88,13 @@ def numbered(df: DataFrame, name: str, start: int) -> DataFrame:
 
 @operation("table.uuid_generator")
 def uuid_generator(df: DataFrame, output_column: str = "uuid") -> DataFrame:
-    return df.withColumn(new_name(output_column), F.expr("uuid()"))
+    """Random identifiers of version 4: a digest of a secret of this call and the row's position, so a row that is computed again keeps its own."""
+    names, df = df.columns, with_order(df)
+    h = F.sha2(F.concat_ws(":", F.lit(uuid.uuid4().hex), F.col(ORD).cast("string")), 256)
+    variant = F.substr(F.lit("89ab"), F.conv(F.substr(h, F.lit(17), F.lit(1)), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    parts = [F.substr(h, F.lit(1), F.lit(8)), F.substr(h, F.lit(9), F.lit(4)), F.concat(F.lit("4"), F.substr(h, F.lit(14), F.lit(3))), F.concat(variant, F.substr(h, F.lit(18), F.lit(3))), F.substr(h, F.lit(21), F.lit(12))]
+    out = df.withColumn(new_name(output_column), F.concat_ws("-", *parts))
+    return out if ORD in names else out.drop(ORD)
 
 
 @operation("table.coalesce")

@@ -692,14 +692,20 @@ def dissolve(df: DataFrame) -> DataFrame:
     code = crs(df)
 
     def union(batches):
+        from pyspark import TaskContext
+
         gs = [read_wkb(x) for b in batches for x in b.column(0).to_pylist() if x is not None]
         gs = [x for x in gs if planar.dimension(x) == 2]
         if gs:
-            yield pa.RecordBatch.from_pydict({"geometry": pa.array([write_wkb(planar.dissolve(gs))], pa.binary())})
-
-    placed = df.select(col(g).alias("g"), each(box, BOX, col(g)).alias("b")).where("b IS NOT NULL")
-    parts = placed.repartitionByRange(F.col("b.minx"), F.col("b.miny")).select("g").mapInArrow(union, "geometry binary")
-    one = parts.coalesce(1).mapInArrow(union, "geometry binary")
+            yield pa.RecordBatch.from_pydict({"geometry": pa.array([write_wkb(planar.dissolve(gs))], pa.binary()), "place": pa.array([TaskContext.get().partitionId() // 8], pa.int32())})
+
+    sides = df.select(col(g).alias("g"), each(box, BOX, col(g), fast=columns.box).alias("b")).where("b IS NOT NULL")
+    parts = sides.repartitionByRange(F.col("b.minx"), F.col("b.miny")).select("g").mapInArrow(union, "geometry binary, place int")
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while many > 8:  # eight unions of neighbours become one, until a task can take the rest
+        many = -(-many // 8)
+        parts = parts.repartition(many, "place").select("geometry").mapInArrow(union, "geometry binary, place int")
+    one = parts.repartition(1).select("geometry").mapInArrow(union, "geometry binary, place int")
     # an empty input gives one row with null
     return with_geometry(one.agg(F.first("geometry").alias("geometry")), "geometry", code)
 
