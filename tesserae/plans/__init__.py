@@ -10,7 +10,9 @@ graph over the data into one DataFrame, which Catalyst optimises as a whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from ..operators import OPERATIONS, apply
 from ..relation import ORD, PlanError, with_order
 
-MOST_NODES = 1024
+MOST_NODES, MOST_EDGES, MOST_DEPTH, MOST_READERS, MOST_INPUTS = 1024, 4096, 256, 64, 16
 #: Their output columns depend on data, so they can't be inside a plan unless these options fix them.
 DATA_DEPENDENT = {"table.pivot": "mapping", "table.transpose": None, "table.flatten_json": "output_columns"}
 
@@ -93,9 +95,33 @@ def parse(text: str | dict) -> Plan:
     visit(output)
     if len(ordered) != len(nodes):
         raise PlanError(f"nodes without a use: {sorted(set(by_name) - {n.id for n in ordered})}")
+    readers = Counter(i for n in nodes for i in n.inputs)
+    depth: dict[str, int] = {}
+    for n in ordered:
+        depth[n.id] = 1 + max((depth.get(i, 0) for i in n.inputs), default=0)
+    for what, found, most in (("inputs", len(inputs), MOST_INPUTS), ("edges", sum(readers.values()), MOST_EDGES), ("levels", depth[output], MOST_DEPTH), ("readers of one node", max(readers.values()), MOST_READERS)):
+        if found > most:
+            raise PlanError(f"the plan has {found} {what}; {most} are allowed")
     return Plan(inputs, tuple(ordered), output)
 
 
+def fingerprint(plan: Plan | str | dict) -> str:
+    """SHA-256 of what a plan computes: the same for other orders of nodes and keys and for other layouts of its text."""
+    p = plan if isinstance(plan, Plan) else parse(plan)
+    nodes = sorted([n.id, n.op, list(n.inputs), n.config] for n in p.nodes)
+    return hashlib.sha256(json.dumps([sorted(p.inputs), nodes, p.output], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+#: What an operation asks of the cluster.
+COSTS = {"S": "row by row, inside the scan's stage", "B": "needs its whole input: a shuffle or an aggregate", "BB": "brings two inputs together: shuffles of both"}
+
+
+def steps(plan: Plan | str | dict) -> list[dict]:
+    """The nodes in the order of their work, with what each one costs."""
+    p = plan if isinstance(plan, Plan) else parse(plan)
+    return [{"id": n.id, "op": n.op, "inputs": list(n.inputs), "kind": OPERATIONS[n.op].kind, "cost": COSTS[OPERATIONS[n.op].kind]} for n in p.nodes]
+
+
 def fold(plan: Plan, frames: Mapping[str, DataFrame]) -> DataFrame:
     missing = set(plan.inputs) - set(frames)
     if missing:

@@ -1,11 +1,14 @@
 """Plans, sources and streams."""
 
+import json
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae import plans, sources, streaming
+from tesserae.__main__ import main as command
 from tesserae.relation import PlanError
 
 PLAN = {
@@ -98,3 +101,28 @@ def test_streams(spark, frames, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/w").where("u = 0").agg(F.max("count")).first()[0] == 10
     with pytest.raises(PlanError):
         streaming.run({"inputs": ["s"], "nodes": [{"id": "x", "op": "table.sort", "inputs": ["s"], "config": {"columns": ["n"]}}]}, {"s": stream})
+
+
+def test_fingerprints_steps_and_limits():
+    turned = {**PLAN, "nodes": PLAN["nodes"][::-1], "output": "sum"}
+    assert plans.fingerprint(PLAN) == plans.fingerprint(turned) != plans.fingerprint(changed(config={"column": "n", "operator": ">", "value": 2}))
+    assert [(s["id"], s["kind"]) for s in plans.steps(turned)] == [("big", "S"), ("both", "BB"), ("sum", "B")]
+    chain = [node(f"n{k}", "table.limit", [f"n{k - 1}" if k else "a"], n=1) for k in range(plans.MOST_DEPTH + 1)]
+    with pytest.raises(PlanError, match="levels"):
+        plans.parse({"inputs": ["a"], "nodes": chain})
+    with pytest.raises(PlanError, match="inputs"):
+        plans.parse({"inputs": list("abcdefghijklmnopq"), "nodes": [node("x", "table.limit", ["a"], n=1)]})
+
+
+def test_the_command_line(spark, frames, tmp_path, capsys):
+    (tmp_path / "plan.json").write_text(json.dumps(PLAN))
+    for name, f in frames.items():
+        f.write.parquet(f"{tmp_path}/{name}")
+    given = [f"{tmp_path}/plan.json", f"a={tmp_path}/a", f"b=parquet:{tmp_path}/b"]
+    assert command(["run", *given, "--output", f"{tmp_path}/out"]) == 0
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [("one", 2.0), ("two", 3.0)]
+    capsys.readouterr()
+    assert command(["validate", *given]) == 0 and "total" in capsys.readouterr().out
+    assert command(["fingerprint", given[0]]) == 0 and capsys.readouterr().out.strip() == plans.fingerprint(PLAN)
+    assert command(["operations"]) == 0 and "geo.sjoin" in capsys.readouterr().out
+    assert command(["run", given[0]]) == 2 and command(["steps", "/nowhere.json"]) == 2
