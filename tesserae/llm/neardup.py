@@ -40,12 +40,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import spend, stored
+from .common import file_system, spend, stored
 from .decontaminate import FOLD, words
 from .graph import Shard, components, distances
 from .wordhash import hashes, mix
@@ -56,7 +58,8 @@ RADIUS = 62
 #: Texts of so few shingles have SimHashes too coarse to rule anything out.
 FEW = 64
 #: Texts of a graph, and shingles of an inverted index.
-PART, PART_SHINGLES = 1024, 400_000
+PART, PART_SHINGLES = 512, 400_000
+AUDIT_SHINGLES = 4_000_000
 #: Rows of an Arrow batch where a row has two texts or a set.
 LONG_ROWS = 500
 #: Ranges of a sketch; a power of two.
@@ -261,6 +264,26 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return touched(docs, ids).mapInArrow(run, "rep long, code long, set binary").dropDuplicates(["rep", "code"])
 
 
+class Inverted:
+    """For each shingle the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat, rows = np.concatenate([EMPTY, *sets]), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        order = np.argsort(flat, kind="stable")
+        self.names, first = np.unique(flat[order], return_index=True)
+        self.bounds, self.rows, self.many = np.append(first, len(flat)), rows[order], len(sets)
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """The number of shingles that a set has in common with each of the sets."""
+        if not len(self.names):
+            return np.zeros(self.many, np.int64)
+        at = np.minimum(np.searchsorted(self.names, s), len(self.names) - 1)
+        at = at[self.names[at] == s]
+        low, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.rows[places], minlength=self.many)
+
+
 def missed(rows: DataFrame) -> DataFrame:
     """The links that the search missed, over (shard, part, query, rep, size, root, main, set), sorted: pairs (a, b) of similar texts of two components.
 
@@ -269,21 +292,12 @@ def missed(rows: DataFrame) -> DataFrame:
     """
 
     def opened(shard: int, c: list[np.ndarray]) -> dict:
-        sets = [np.frombuffer(s, np.uint64) for s in c[4]]
-        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
-        order = np.argsort(flat, kind="stable")
-        names, first = np.unique(flat[order], return_index=True)
-        return {"ids": c[0], "sizes": c[1], "root": c[2], "names": names, "bounds": np.append(first, len(flat)), "rows": rows[order]}
+        return {"ids": c[0], "sizes": c[1], "root": c[2], "index": Inverted([np.frombuffer(s, np.uint64) for s in c[4]])}
 
     def ask(x: dict, c: list[np.ndarray]) -> list[tuple[int, int]]:
         out = []
         for rep, size, root, main, raw in zip(c[0].tolist(), c[1].tolist(), c[2].tolist(), c[3].tolist(), c[4], strict=True):
-            s = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(x["names"], s), len(x["names"]) - 1)
-            at = at[x["names"][at] == s]
-            low, n = x["bounds"][at], x["bounds"][at + 1] - x["bounds"][at]
-            places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(x["rows"][places], minlength=len(x["ids"]))
+            common = x["index"].common(np.frombuffer(raw, np.uint64))
             hit = np.flatnonzero((common >= SIMILARITY * (size + x["sizes"] - common)) & (x["root"] != root) & ((x["root"] == main) | (x["ids"] < rep)))
             best: dict[int, int] = {}
             for j in hit[np.argsort(-common[hit], kind="stable")].tolist():
@@ -447,6 +461,50 @@ def with_root(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("rep"), F.col("root").alias(name)), "rep", "left").withColumn(name, F.coalesce(name, "rep"))
 
 
+def audit(docs: DataFrame, found: DataFrame, every: int = 100) -> DataFrame:
+    """Links of the documents whose id is divisible by every, against all documents: doc_id, other and whether found has them in one class.
+
+    found has doc_id and class_id. This is brute force, by an inverted index of the queries'
+    shingles: every row meets every slice of AUDIT_SHINGLES of them, whatever its shard. Texts
+    without words are left out.
+    """
+    asked_ = docs.where(f"doc_id % {every} = 0").select("doc_id", "text")
+    joined = asked_.join(found.select("doc_id", "class_id"), "doc_id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingles_of(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int64()), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(list(map(len, made)), pa.int64())], names=["doc_id", "class_id", "set", "size"])
+
+    queries = stored(joined.mapInArrow(sets, "doc_id long, class_id long, set binary, size long").where("size > 0"), "audit", LONG_ROWS)
+    slices = max(1, -(-(queries.agg(F.sum("size")).first()[0] or 0) // AUDIT_SHINGLES))
+    cut = stored(queries.repartition(slices), "audit-slices", LONG_ROWS)
+    spend(queries)
+    folder = cut.stored_at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(folder)
+        files = sorted(f.path for f in fs.get_file_info(FileSelector(base)) if f.path.endswith(".parquet"))
+        kept: tuple = ("",)
+        for b in batches:
+            own = [shingles_of(t.as_py()) for t in b.column(1)]
+            out = []
+            for f in files:
+                if kept[0] != f:
+                    t = pq.read_table(f, filesystem=fs)
+                    kept = f, *(t.column(c).to_numpy() for c in ("doc_id", "class_id", "size")), Inverted([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()])
+                _, ids, classes_, sizes, index = kept
+                for i, c, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), own, strict=True):
+                    common = index.common(s)
+                    for j in np.flatnonzero((common > 0) & (common >= SIMILARITY * (len(s) + sizes - common)) & (ids != i)).tolist():
+                        out.append((int(ids[j]), i, c == int(classes_[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "other", "found"])
+
+    rows = docs.select("doc_id", "text").join(found.select("doc_id", "class_id"), "doc_id")
+    return rows.mapInArrow(run, "doc_id long, other long, found boolean").groupBy("doc_id", "other").agg(F.max("found").alias("found"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without those that have an earlier document in their class; rows without an id stay."""
     later = classes(docs).where("doc_id <> class_id").select("doc_id")

@@ -2,7 +2,7 @@
 
 A file is: one zstandard frame for each run of whole documents (about FRAME_BYTES of ids,
 more for a long document), then a skippable frame with the document table (id, number of
-ids), then a skippable frame in the public seekable format: for each frame the compressed
+ids, and how many documents without an id come first), then a skippable frame in the public seekable format: for each frame the compressed
 and the decompressed size and the low 32 bits of the XXH64 of its content, the number of
 frames, a descriptor and the magic number 0x8F92EAB1. Any zstandard tool can decompress a
 file; a reader needs the two tables and only the frames of the documents asked for.
@@ -34,7 +34,6 @@ from .common import file_system, shared_path, texts
 FRAME_BYTES = 64 * 1024
 LEVEL = 1
 SKIP_DOCS, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-NULL_ID = -(1 << 63)
 
 
 class Writer:
@@ -45,6 +44,7 @@ class Writer:
         self.pending: list[bytes] = []
         self.size = 0
         self.docs: list[tuple[int, int]] = []
+        self.nulls = 0  # documents without an id, which come first
         self.frames: list[tuple[int, int, int]] = []
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
 
@@ -53,7 +53,10 @@ class Writer:
             self.flush()
         self.pending.append(ids)
         self.size += len(ids)
-        self.docs.append((NULL_ID if doc_id is None else doc_id, len(ids) // self.dtype.itemsize))
+        if doc_id is None and self.nulls < len(self.docs):
+            raise ValueError("documents without an id come first")
+        self.nulls += doc_id is None
+        self.docs.append((doc_id or 0, len(ids) // self.dtype.itemsize))
 
     def flush(self) -> None:
         if self.pending:
@@ -65,7 +68,7 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        table = zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<BQ", self.dtype.itemsize, len(self.docs)) + np.array(self.docs, "<i8").reshape(-1, 2).T.tobytes())
+        table = zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<BQQ", self.dtype.itemsize, len(self.docs), self.nulls) + np.array(self.docs, "<i8").reshape(-1, 2).T.tobytes())
         table = struct.pack("<I", zlib.crc32(table)) + table
         self.out.write(struct.pack("<II", SKIP_DOCS, len(table)) + table)
         seek = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
@@ -104,9 +107,9 @@ class Reader:
         if head != SKIP_DOCS or zlib.crc32(table[4:]) != struct.unpack("<I", table[:4])[0]:
             raise ValueError("the document table is damaged")
         raw = zstandard.ZstdDecompressor().decompress(table[4:])
-        width, docs = struct.unpack("<BQ", raw[:9])
+        width, docs, self.nulls = struct.unpack("<BQQ", raw[:17])
         self.dtype = np.dtype(f"<u{width}")
-        self.ids, self.lengths = np.frombuffer(raw[9:], "<i8").reshape(2, docs)
+        self.ids, self.lengths = np.frombuffer(raw[17:], "<i8").reshape(2, docs)
 
     def frame(self, k: int) -> np.ndarray:
         packed, plain, check = (int(x) for x in self.frames[k])
@@ -118,10 +121,10 @@ class Reader:
 
     def spans(self) -> list[Span]:
         out, k, used, before = [], 0, 0, 0
-        for i, n in zip(self.ids.tolist(), self.lengths.tolist(), strict=True):
+        for at, (i, n) in enumerate(zip(self.ids.tolist(), self.lengths.tolist(), strict=True)):
             while used + n > int(self.frames[k][1]) // self.dtype.itemsize:
                 k, used = k + 1, 0
-            out.append(Span(None if i == NULL_ID else i, k, used, n, before))
+            out.append(Span(None if at < self.nulls else i, k, used, n, before))
             used += n
             before += n
         return out

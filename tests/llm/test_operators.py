@@ -437,6 +437,20 @@ def test_near_duplicates_of_few_shingles_are_found_at_any_distance(spark):
     assert all(got[k] == got[k + 1] == k for k in range(0, len(docs), 2))
 
 
+def test_audit_against_all_rows(spark):
+    base = [prose(k, 90) for k in range(5)]
+    texts = [edited(base[k % 5], k, k % 7) for k in range(60)] + ["", None]
+    docs = frame(spark, texts)
+    classes = neardup.classes(docs)
+    rows = neardup.audit(docs, classes, 10).collect()
+    sets = [set(neardup.shingles_of(t).tolist()) for t in texts]
+    want = {(a, b) for a in range(0, 60, 10) for b in range(60) if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and {(r.doc_id, r.other) for r in rows} == want and all(r.found for r in rows)
+    alone = docs.select("doc_id", F.col("doc_id").alias("class_id"))
+    assert not any(r.found for r in neardup.audit(docs, alone, 10).collect())
+    assert neardup.audit(docs.limit(0), classes).count() == 0
+
+
 def test_the_audit_finds_what_the_graph_misses(spark, monkeypatch):
     base = [prose(k, 60) for k in range(6)]
     texts = [edited(base[k % 6], k, k % 9) for k in range(120)]
@@ -572,6 +586,31 @@ def test_token_files_round_trip(spark, edges, tmp_path):
     assert tokenstore.round_trip(edges).count() == len(EDGES)
 
 
+def test_token_files_keep_any_id(spark):
+    rows = [(-(1 << 63), "least"), (None, "none"), (5, "five"), (5, "other five"), (None, "none either"), ((1 << 63) - 1, "most")]
+    got = tokenstore.round_trip(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    want = Counter((i, zlib.crc32(np.array([*bpe.encoder().tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+
+
+def test_packing_takes_rows_of_one_id_apart(spark):
+    rows = [(1, prose(k, 30 + k)) for k in range(6)] + [(2, None), (2, ""), (None, prose(9, 40))]
+    got = packing.pack(spark.createDataFrame(rows, DOCS)).collect()
+    sizes = [len(bpe.encoder().tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    assert sum(r.length for r in got) == sum(sizes)
+    whole = Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0)
+    assert whole == Counter((i, n) for (i, _), n in zip(rows, sizes, strict=True))
+
+
+def test_toxicity_takes_the_highest_of_several_labels(spark):
+    texts = [prose(k, 60) + (" vile rotten nasty" if k % 5 == 0 else "") for k in range(300)]
+    one = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(300)], "doc_id long, toxic int")
+    more = one.unionByName(spark.createDataFrame([(k, 0) for k in range(0, 300, 5)] + [(3, None), (None, 1), (7, 9)], "doc_id long, toxic int"))
+    a, b = ({r.doc_id: r.score for r in toxicity.score(frame(spark, texts), x, keep=["doc_id"]).collect()} for x in (one, more))
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def test_memo_encodes_as_the_library_does():
     small = bpe.Encoder(memo_limit=200)
     texts = [t or "" for t in EDGES] + [prose(k, 60) for k in range(40)] + ["a,b. c, d.. e.\nf g'll I'm 3, 4. x² ½, Ǆ. ́. a  b", "\x1c a", "tab\t b", "end "]

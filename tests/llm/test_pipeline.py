@@ -3,8 +3,11 @@
 import pytest
 
 pytest.importorskip("tesserae.llm")
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from tesserae.llm import pii, queries  # noqa: E402
+from tesserae.llm.common import stored  # noqa: E402
 
 from .test_operators import brute_classes, brute_contamination, edited, prose  # noqa: E402
 
@@ -43,6 +46,17 @@ def test_stages_decide_as_brute_force_does(spark, folder):
     assert {r.doc_id for r in docs.collect()} == set(kept[3])
 
 
+def test_stages_keep_columns_of_their_own_names(spark, folder):
+    path, texts, _ = folder
+    mine = {"n_words": -5, "rule": "mine", "kept": "k", "base_failed": "b", "n_items": -7, "rep": 1, "shard": "s", "class_id": "c", "root": "r", "_items": "i", "contaminated": "d", "size": 3, "sketch": "x"}
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({k: F.lit(v) for k, v in mine.items()})
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, path), "stage")
+        assert docs.columns == names
+    assert docs.count() and {tuple(r) for r in docs.select(*mine).distinct().collect()} == {tuple(mine.values())}
+
+
 def test_run_writes_and_rereads(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == [c.split()[0] for c in "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long".split(",")]
