@@ -305,9 +305,9 @@ def voronoi(spark: SparkSession, folder: str) -> DataFrame:
     return apply("geo.area", apply("geo.voronoi", few(spark, folder))).where("x BETWEEN 10 AND 30 AND y BETWEEN 10 AND 30").selectExpr("id", "round(area, 6) as area")
 
 
-@query("geo_delaunay", "SELECT 50::BIGINT AS n, 2500.0::DOUBLE AS area")
+@query("geo_delaunay", f"SELECT id, 2::BIGINT AS n, (w * h)::DOUBLE AS area FROM {SN}")
 def delaunay(spark: SparkSession, folder: str) -> DataFrame:
-    return apply("geo.area", apply("geo.delaunay", boxes(spark, folder))).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 6).alias("area"))
+    return apply("geo.area", apply("geo.delaunay", crates(spark, folder))).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 6).alias("area"))
 
 
 @query("geo_clean_topology", f"SELECT id, (CASE WHEN x = 0 THEN 12 ELSE 10 END * CASE WHEN y = 0 THEN 12 ELSE 10 END)::DOUBLE AS area FROM {B}")
