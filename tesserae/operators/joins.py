@@ -161,7 +161,13 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         sizes = r.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
         sizes = sizes.where(F.when(F.col("__n") > max_candidates, F.raise_error(F.lit("rejected: a block has more than max_candidates rows"))).otherwise(F.lit(True)))
         r = r.join(sizes.select("__block"), "__block")
-    pairs = l.where("__a IS NOT NULL").join(r, "__block")
+    keys = ["__block"]
+    if blocking == "none":  # one block of all rows: the left side is dealt out, and the right side goes to each part
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        l = l.withColumn("__part", F.pmod(F.xxhash64(col("l." + ORD)), F.lit(parts)))
+        r = r.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        keys.append("__part")
+    pairs = l.where("__a IS NOT NULL").join(r, keys)
     pairs = pairs.withColumn("__score", similarity(metric, F.col("__a"), F.col("__b"))).where(F.col("__score") >= threshold)
     names = set(data(left))
     kept = [col("r." + c).alias(c + "_R" if c in names or c == right_key else c) for c in data(right)]

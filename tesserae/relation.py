@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,10 +176,18 @@ def demand(df: DataFrame, bad: Column, cause: str) -> DataFrame:
 
 
 def report(df: DataFrame, bad: Column, cause: str, examples: int = 10) -> dict:
-    """Counts rows that would be refused, with the positions of the first ones. One pass; the examples are bounded."""
-    rows = with_order(df).where(F.coalesce(bad, F.lit(False)))
-    first = [r[0] for r in rows.orderBy(ORD).limit(examples).select(ORD).collect()]
-    return {"cause": cause, "rows": rows.count(), "examples": first}
+    """Counts rows that would be refused, with the positions of the first ones. One pass; each task sends a count and so many positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first = 0, np.zeros(0, np.int64)
+        for b in batches:
+            n += b.num_rows
+            first = np.sort(np.concatenate([first, b.column(0).to_numpy()]))[:examples]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([first.tolist()], pa.list_(pa.int64()))], names=["n", "first"])
+
+    found = with_order(df).where(F.coalesce(bad, F.lit(False))).select(ORD).mapInArrow(run, "n long, first array<long>").collect()
+    return {"cause": cause, "rows": sum(r.n for r in found), "examples": sorted(x for r in found for x in r["first"])[:examples]}
 
 
 @dataclass(frozen=True)
