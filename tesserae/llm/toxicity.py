@@ -95,27 +95,32 @@ def added(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
     return v[first], w[first], np.add.reduceat(n, first, axis=1, dtype=np.uint32)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, least ones of all first: small numbers leave long runs of zeros."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
 def packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted pairs and their counts: runs of v, and places of w in the list of its values."""
+    """Sorted pairs and their counts: runs of v, and places of w in the list of its values; sorted lists as differences."""
     begins = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     names, place = np.unique(w, return_inverse=True)
-    runs = np.diff(np.append(begins, len(v))).astype("<u4")
-    parts = [np.array([len(v), len(begins), len(names)], "<u4"), v[begins], names, *(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T) for x in (runs, place.astype("<u4"), *n.astype("<u4")))]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+    runs = np.diff(np.append(begins, len(v)))
+    parts = [np.array([len(v), len(begins), len(names)], "<u4").tobytes(), *(planes(np.diff(x, prepend=np.uint64(0))) for x in (v[begins], names)), *(planes(x.astype("<u4")) for x in (runs, place, *n))]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(raw)
     size, n_runs, n_names = np.frombuffer(raw, "<u4", 3).tolist()
-    at = 12 + 8 * (n_runs + n_names)
+    at = 12
 
-    def numbers(count: int) -> np.ndarray:
+    def numbers(count: int, width: int = 4) -> np.ndarray:
         nonlocal at
-        x = np.frombuffer(raw, np.uint8, 4 * count, at).reshape(4, count)
-        at += 4 * count
-        return np.ascontiguousarray(x.T).view("<u4").ravel()
+        x = np.frombuffer(raw, np.uint8, width * count, at).reshape(width, count)
+        at += width * count
+        return np.ascontiguousarray(x.T).view(f"<u{width}").ravel()
 
-    v, names = np.frombuffer(raw, np.uint64, n_runs, 12), np.frombuffer(raw, np.uint64, n_names, 12 + 8 * n_runs)
+    v, names = (np.cumsum(numbers(k, 8), dtype=np.uint64) for k in (n_runs, n_names))
     return np.repeat(v, numbers(n_runs)), names[numbers(size)], np.stack([numbers(size) for _ in range(4)])
 
 
@@ -350,20 +355,21 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray]
     ours = known.where(remainder("doc_id") != 2).withColumn("late", F.expr("int(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 3)"))
     counted = touched(docs.where(remainder("doc_id") != 2), ours.select("doc_id"))
     early, model = learn(counted.join(ours.hint("merge"), "doc_id"), slices)
-    # at most CALIBRATION_ROWS labelled rows, by id hash; of several texts of an id the one of the smallest hash
+    # at most CALIBRATION_ROWS labelled rows, by id hash; of several texts of an id the one of the smallest hash, found once they are measured
     ids = known.where(remainder("doc_id") == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    there = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    some = there.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
+    there = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(ids), "doc_id").select("doc_id", "h", "toxic", "text")
     names = [f"f{k}" for k in range(FEATURES)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [NONE] * b.num_rows if early is None else [x for some in blocks(b.column(0)) for x in early.features(some)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.float64()) for x in zip(*rows, strict=True)], b.column(1)], names=[*names, "toxic"])
+            rows = [NONE] * b.num_rows if early is None else [x for some in blocks(b.column(3)) for x in early.features(some)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), b.column(2).cast(pa.int32()), *[pa.array(x, pa.float64()) for x in zip(*rows, strict=True)]], names=["doc_id", "h", "toxic", *names])
 
-    got = some.mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", toxic int").toPandas().sort_values([*names, "toxic"])
+    measured = there.mapInArrow(measure, "doc_id long, h long, toxic int, " + ", ".join(f"{c} double" for c in names))
+    one = measured.groupBy("doc_id", "toxic").agg(F.min_by(F.struct(*names), "h").alias("f")).select("toxic", "f.*")
+    got = one.toPandas().sort_values([*names, "toxic"])
     x, y = got[names].to_numpy(float), got["toxic"].to_numpy(float)
     if early is None or len(set(y)) < 2:
         share = known.where(remainder("doc_id") != 2).agg(F.avg("toxic")).first()[0] or 0.0
