@@ -51,7 +51,9 @@ def one(df: DataFrame, c: str, f: str, a: dict) -> Column:
     if f == "count":
         return F.count(col(c))
     if f == "nunique":
-        n = F.count_distinct(text)
+        # these types have a text for each value, so the values can be counted themselves
+        plain = is_number(kind(df, c)) or isinstance(kind(df, c), (T.StringType, T.BooleanType, T.DateType))
+        n = F.count_distinct(col(c) if plain else text)
         return n if a.get("skip_null", True) else n + F.max(col(c).isNull().cast("int")).cast("long")
     if f in ("first", "last"):
         return (F.min_by if f == "first" else F.max_by)(F.struct(text.alias("v")), F.col(ORD))["v"]
