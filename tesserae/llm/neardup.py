@@ -429,7 +429,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spend(own, rooted, mixed, left)
     if not open_.isEmpty():
         columns = ["shard", "part", "query", "rep", *SIGNATURE, "root", "main", "sketch"]
-        near = stored(near_misses(asked(open_, part, everywhere, columns)), "near-misses")
+        near = stored(near_misses(asked(open_, columns)), "near-misses")
         again = stored(open_.drop("sketch", "parts").join(near, ["shard", "rep"]), "again")
         spend(open_, near)
         parts = again.groupBy("shard").agg(F.ceil(F.sum("size") / PART_SHINGLES).alias("parts"))
@@ -437,7 +437,7 @@ def classes(docs: DataFrame) -> DataFrame:
         spend(again)
         sets = stored(shingle_sets(docs, sized.select("rep").distinct()), "sets", LONG_ROWS)
         columns = ["shard", "part", "query", "rep", "size", "root", "main", "set"]
-        new = stored(missed(asked(sized.join(sets, ["rep", "code"]), part, everywhere, columns)), "links", LONG_ROWS)
+        new = stored(missed(asked(sized.join(sets, ["rep", "code"]), columns)), "links", LONG_ROWS)
         spend(sized, sets)
         if not new.isEmpty():
             links = links.unionByName(new)
@@ -449,10 +449,16 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")).withColumn("recall", F.lit(by_search / total if total else 1.0))
 
 
-def asked(rows: DataFrame, part, everywhere, columns: list[str]) -> DataFrame:
-    """The texts of each part, and behind them, as queries, the texts of all parts outside the main component."""
-    there = rows.withColumn("part", part).withColumn("query", F.lit(0)).select(*columns)
-    queries = rows.where("root <> main").withColumn("part", everywhere).withColumn("query", F.lit(1)).select(*columns)
+def asked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts of each shard that is in parts, and behind them, as queries, those outside the main component.
+
+    Texts are dealt to as many parts as rows says and queries likewise, and each part of
+    texts meets each part of queries by itself, so no task gets more than two parts.
+    """
+    own = lambda *c: F.pmod(F.xxhash64(*c), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    there = rows.withColumn("other", every).withColumn("part", own("rep") * F.col("parts") + F.col("other")).withColumn("query", F.lit(0)).select(*columns)
+    queries = rows.where("root <> main").withColumn("other", every).withColumn("part", F.col("other") * F.col("parts") + own("rep", F.lit(1))).withColumn("query", F.lit(1)).select(*columns)
     return there.unionByName(queries).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "rep")
 
 
