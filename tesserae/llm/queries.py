@@ -81,7 +81,7 @@ def op8_sql() -> str:
         l AS (SELECT * FROM (VALUES {rows}) v(domain, action, since) UNION ALL SELECT host, 'block', DATE '2024-01-01' + {CODE} % 300 FROM h UNION ALL SELECT host, 'allow', DATE '2024-01-01' + ({CODE} % 300 + 45) FROM h),
         e AS (SELECT domain, since, max(action) AS action FROM l GROUP BY domain, since),
         i AS (SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM e),
-        s AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), k, NULL), '.') AS domain FROM (SELECT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL))),
+        s AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS domain FROM (SELECT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL))),
         hi AS (SELECT s.host, i.* FROM s JOIN i ON s.domain = i.domain),
         m AS (SELECT p.*, hi.domain, hi.action AS act, hi.since, row_number() OVER (PARTITION BY page_id, url ORDER BY length(hi.domain) DESC NULLS LAST) AS r
               FROM p LEFT JOIN hi ON p.host = hi.host AND hi.since <= p.fetched AND (hi.until IS NULL OR p.fetched < hi.until))
