@@ -295,6 +295,46 @@ def test_packing_recall_of_near_copies_does_not_fall_with_size(n, monkeypatch):
     assert (own[asked] == own[near.argmax(axis=1)]).mean() >= 0.8
 
 
+def test_packing_puts_neighbours_side_by_side_whatever_their_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    # pairs that have seven words in eight in common, among texts of the same vocabulary
+    docs = [" ".join(w if k % 2 == 0 or j % 8 else prose(k * 1000 + j, 1) for j, w in enumerate(prose(k // 2, 120).split())) for k in range(600)]
+    pieces = sorted(packing.pack(frame(spark, docs)).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = [k for k, _ in itertools.groupby(r.doc_id for r in pieces)]
+    place = {d: k for k, d in enumerate(order)}
+    assert len(order) == len(place) == 600
+    assert sum(abs(place[k] - place[k + 1]) == 1 for k in range(0, 600, 2)) >= 240
+
+
+def test_packing_graph_holds_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    docs = frame(spark, [*[prose(k, 40 + k % 90) for k in range(600)], *[prose(1, 41)] * 50, None, ""])
+    assert packing.recall(docs, every=3) >= 0.9
+    assert packing.recall(docs.limit(0)) == 1
+
+
+def test_linked_leaves_no_edge_between_open_ends():
+    r = np.random.default_rng(4)
+    first = np.arange(0, 200, 2)
+    last = np.where(r.random(100) < 0.5, first, first + 1)  # paths of one node and of several
+    ends = np.union1d(first, last)
+    a, b = r.choice(ends, 400), r.choice(ends, 400)
+    a, b, sims = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], r.random(int((a != b).sum())).astype(np.float32)
+    chains = packing.linked(first, last, a, b, sims)
+    assert sorted(p for c in chains for p, _ in c) == list(range(100))
+    chain, open_ = {}, Counter()
+    edges = set(zip(a.tolist(), b.tolist(), strict=True))
+    for k, c in enumerate(chains):
+        sides = [(last[p], first[p]) if turned else (first[p], last[p]) for p, turned in c]
+        for (_, x), (y, _) in itertools.pairwise(sides):
+            assert (min(x, y), max(x, y)) in edges
+        open_[sides[0][0]] += 1
+        open_[sides[-1][1]] += 1
+        chain |= {x: k for s in sides for x in s}
+    assert len(chains) < 60
+    assert all(chain[x] == chain[y] or not (open_[x] and open_[y]) for x, y in edges)
+
+
 def test_walk_visits_all_and_follows_neighbours():
     v = np.random.default_rng(2).normal(size=(300, packing.DIMS)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
