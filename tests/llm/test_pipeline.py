@@ -1,12 +1,14 @@
 """The stages against brute force on a small folder of tables, and the registered queries."""
 
+import itertools
+
 import pytest
 
 pytest.importorskip("tesserae.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tesserae.llm import pii, queries  # noqa: E402
+from tesserae.llm import packing, pii, queries  # noqa: E402
 from tesserae.llm.common import stored  # noqa: E402
 
 from .test_operators import brute_classes, brute_contamination, edited, prose  # noqa: E402
@@ -63,6 +65,15 @@ def test_run_writes_and_rereads(spark, folder):
     assert out.count() > 0
 
 
+def test_packing_stage_links_partners_of_different_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    texts = [" ".join(w if k % 2 == 0 or j % 8 else prose(k * 1000 + j, 1) for j, w in enumerate(prose(k // 2, 120).split())) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+    place = {d: k for k, (d, _) in enumerate(itertools.groupby(r.doc_id for r in pieces))}
+    assert len(place) == 400 and sum(abs(place[k] - place[k + 1]) == 1 for k in range(0, 400, 2)) >= 160
+
+
 def test_names_of_the_queries():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names[:10]] == [f"op{k}" for k in range(1, 11)] and names[10] == "pipeline"
