@@ -74,6 +74,20 @@ def test_packing_stage_links_partners_of_different_shards(spark, monkeypatch):
     assert len(place) == 400 and sum(abs(place[k] - place[k + 1]) == 1 for k in range(0, 400, 2)) >= 160
 
 
+@pytest.mark.parametrize("rest", [packing.REST, 10])
+def test_packing_stage_links_ends_whose_neighbours_are_taken(spark, monkeypatch, rest):
+    # many more alike than the graph has neighbours: most ends of paths know no other end
+    monkeypatch.setattr(packing, "REST", rest)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    linked, chains = packing.linked, []
+    monkeypatch.setattr(packing, "linked", lambda *a: chains.append(linked(*a)) or chains[-1])
+    texts = [" ".join(w if (k * 7 + j * j) % 3 else prose(k * 1000 + j, 1) for j, w in enumerate(prose(k // 40, 90).split())) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    assert {r.doc_id for r in rows} == set(range(400)) and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    assert len(chains[0]) > 3 and len(chains[-1]) == 1
+
+
 def test_names_of_the_queries():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names[:10]] == [f"op{k}" for k in range(1, 11)] and names[10] == "pipeline"
