@@ -241,6 +241,23 @@ def test_proximity_matches(spark):
     assert all(set(x["items"]) <= set(x.near_items) for x in got)
 
 
+def test_memo_holds_many_chunks_in_little_memory():
+    # chunks of all lengths: hashed by words of eight bytes, or by running sums
+    words = [b"%d" % (k * 7919) + b"x" * (k % 40) for k in range(300_000)]
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    key, check = wordhash.checked(np.frombuffer(b" ".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert len(np.unique(key)) == len(np.unique(check)) == len(words)
+    moved = wordhash.checked(np.frombuffer(b" ".join([b"abc", *words[:200]]), np.uint8), ends[:200] - [len(w) for w in words[:200]] + 4, ends[:200] + 4)
+    assert (moved[0] == key[:200]).all() and (moved[1] == check[:200]).all()
+    memo = bpe.Memo(np.dtype("<u2"))
+    for at in range(0, len(words), 50_000):
+        assert (memo.find(key[at:], check[at:])[0] == -1).all()
+        memo.add(key[at : at + 50_000], check[at : at + 50_000], [None if k % 5 == 4 else b"ab" * (k % 5) for k in range(at, min(at + 50_000, len(words)))])
+    at, size = memo.find(key, check)
+    assert len(memo) == len(words) and (at >= 0).all() and size.tolist() == [-1 if k % 5 == 4 else k % 5 for k in range(len(words))]
+    assert sum(x.nbytes for x in vars(memo).values() if isinstance(x, np.ndarray)) < 45 * len(words)
+
+
 def test_packing_covers_every_token_once(spark, edges):
     docs = frame(spark, [*EDGES, *[prose(k % 7, 50 + 40 * k) for k in range(60)]])
     rows = packing.pack(docs).collect()
