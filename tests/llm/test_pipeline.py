@@ -8,7 +8,7 @@ pytest.importorskip("tesserae.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tesserae.llm import packing, pii, queries  # noqa: E402
+from tesserae.llm import common, packing, pii, queries  # noqa: E402
 from tesserae.llm.common import stored  # noqa: E402
 
 from .test_operators import brute_classes, brute_contamination, edited, prose  # noqa: E402
@@ -97,3 +97,11 @@ def test_names_of_the_queries():
 def test_pii_runs_without_python(spark, folder):
     plan = pii.pseudonymised(spark.read.parquet(f"{folder[0]}/documents.parquet"), "k1")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stored_gives_back_what_the_driver_has_freed(spark, monkeypatch):
+    said, own = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda s: said.append(own(s, share=0)))
+    freed = spark._jvm.java.lang.ref.WeakReference(spark._jvm.java.lang.Object())
+    assert stored(spark.range(3), "some").count() == 3
+    assert [x.startswith("Trim native heap") for x in said] == [True] and freed.get() is None
