@@ -258,6 +258,19 @@ def test_memo_holds_many_chunks_in_little_memory():
     assert sum(x.nbytes for x in vars(memo).values() if isinstance(x, np.ndarray)) < 45 * len(words)
 
 
+def test_sketches_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(3)
+    many = [np.zeros(0, "<u2"), *[rng.integers(0, 900, n).astype("<u2") for n in (1, 40, 700, 0, 2000)]]
+    many.append(many[2].copy())
+    weights, signs = rng.random(900).astype(np.float32), packing.directions(900)
+    weights[7] = 0
+    many.append(np.array([7, 7], "<u2"))
+    found = packing.sketches(many, weights, packing.numbers(signs))
+    assert np.allclose(found, [packing.sketch(x, weights, signs) for x in many], atol=1e-5)
+    assert (found[2] == found[-2]).all() and (packing.sketches(many[2:3], weights, packing.numbers(signs)) == found[2]).all()
+    assert packing.sketches([], weights, packing.numbers(signs)).shape == (0, packing.DIMS)
+
+
 def test_packing_covers_every_token_once(spark, edges):
     docs = frame(spark, [*EDGES, *[prose(k % 7, 50 + 40 * k) for k in range(60)]])
     rows = packing.pack(docs).collect()
