@@ -336,6 +336,20 @@ def test_packing_puts_neighbours_side_by_side_whatever_their_shards(spark, monke
     assert sum(abs(place[k] - place[k + 1]) == 1 for k in range(0, 600, 2)) >= 240
 
 
+def test_packing_graph_is_the_same_however_lists_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    sent, lists, _ = packing.tokens_of(frame(spark, [prose(k, 30) for k in range(150)]).select("doc_id", "text"), None, 1)
+    index, graph, width = packing.graph_of(sent, lists)
+    want = graph.orderBy("code").collect()
+    assert len(want) == 150 and len({r.list for r in want}) > 4
+    for tasks in (1, 3, 1000):
+        dealt = packing.neighbour_graph(spark, index, width, tasks)
+        got = dealt.orderBy("code").collect()
+        assert dealt.rdd.getNumPartitions() <= tasks and [r[:4] for r in got] == [r[:4] for r in want]
+        assert [set(r.near) for r in got] == [set(r.near) for r in want]
+        assert np.allclose([r.sims for r in got], [r.sims for r in want], atol=1e-5)  # a product's last bits are those of its shape
+
+
 def test_packing_graph_holds_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCS", 20)
     docs = frame(spark, [*[prose(k, 40 + k % 90) for k in range(600)], *[prose(1, 41)] * 50, None, ""])
@@ -691,6 +705,30 @@ def test_memo_encodes_as_the_library_does():
     assert len(small.memo) <= 6000 and small.encode([]) == [] and small.encode([""]) == [b""]
 
 
+def test_memo_learns_a_word_once_whatever_stands_beside_it():
+    r = random.Random(2)
+    words = sorted({"".join(r.choices("abcdeéßŀ", k=9)) for _ in range(500)})
+    texts = [f"{w}, {w}.\n{w} ({w}) {w}!! {w}1 {w}\n{w}; {w}×{w}" for w in words]
+    encoder = bpe.Encoder()
+    assert encoder.encode(texts) == encoder._plain(texts)
+    # with a space, without one, and beside a byte of no known kind
+    assert len(encoder.memo) <= 3 * len(words) + 20
+
+
+def test_parts_end_where_two_known_kinds_meet():
+    for text, want in (
+        ("ab,c1 é.\nÉ", "ab|,|c|1|é|.|\n|É"),
+        ("it's ab\n\nc x×y 'q\n", "it's|ab\n\nc|x×y|'q\n"),
+        ("\na \n", "\na|\n"),
+        ("日a. 1st--2", "日a|.|1|st|--|2"),
+        ("", ""),
+        ("  ", ""),
+    ):
+        raw = text.encode()
+        _, begins, ends = wordhash.parts(raw)
+        assert "|".join(raw[b:e].decode() for b, e in zip(begins, ends, strict=True)) == want
+
+
 def test_automaton_counts_like_greedy_matching(spark, edges):
     r = random.Random(4)
     first, later = ({bytes(r.choices(b"abc", k=r.randrange(1, 5))) for _ in range(25)} for _ in range(2))
