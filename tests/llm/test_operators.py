@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -379,6 +380,37 @@ def test_linked_leaves_no_edge_between_open_ends():
     assert all(chain[x] == chain[y] or not (open_[x] and open_[y]) for x, y in edges)
 
 
+def test_linking_holds_few_bytes_for_a_path_and_no_edges():
+    n, r = 20_000, np.random.default_rng(8)
+    first = r.permutation(n) * 2
+    last = np.where(r.random(n) < 0.3, first, first + 1)
+    near = [(r.integers(0, n, 4_000), r.integers(-30, 30, 4_000)) for _ in range(25)]
+    edges = [(first[i], last[np.clip(i + d, 0, n - 1)]) for i, d in near]
+    tracemalloc.start()
+    chains = packing.linked(first, last, iter(edges))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 * n
+    a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+    assert list(chains) == list(packing.linked(first, last, a, b, -np.arange(len(a), dtype=float)))
+    # chains of chains: the paths of a turned one from its last to its first
+    over = packing.Chains(np.array([2, 0, 1]), np.array([False, True, False]), np.array([0, 2, 3])).over(packing.Chains(np.arange(5, dtype=np.int32), np.array([False, True, False, False, True]), np.array([0, 2, 4, 5])))
+    assert list(over) == [[(4, True), (1, False), (0, True)], [(2, False), (3, False)]]
+
+
+def test_records_come_in_the_order_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "READ", 7)
+    rows = spark.range(100).selectExpr("id * 37 % 101 as a", "-id as b").repartition(5)
+    records = packing.Records(rows.orderBy(F.desc("a")), "some")
+    a, b = records.columns()
+    assert a.tolist() == sorted((k * 37 % 101 for k in range(100)), reverse=True) and all(-y * 37 % 101 == x for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    assert max(len(x) for x, _ in records.edges()) == 7
+    assert packing.Records(rows.where("a < 0"), "none").columns()[0].tolist() == []
+    back = packing.sent_back(spark, "back", "a long", 100, lambda x, y: {"a": a[x:y]})
+    assert [r.a for r in back.orderBy(F.desc("a")).collect()] == a.tolist()
+    assert packing.sent_back(spark, "back", "a long", 0, lambda x, y: {"a": a[x:y]}).count() == 0
+
+
 def test_walk_visits_all_and_follows_neighbours():
     v = np.random.default_rng(2).normal(size=(300, packing.DIMS)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
