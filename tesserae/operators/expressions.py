@@ -33,6 +33,12 @@ def quotient(a: Column, b: Column) -> Column:
     return finite(refuse(b == 0, "evaluation.division_by_zero", F.try_divide(a, b)))
 
 
+def ieee_quotient(a: Column, b: Column) -> Column:
+    """Of doubles: infinite or not a number where b is 0."""
+    sign = F.signum(a) * F.when(b.cast("string") == "-0.0", F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(b == 0, F.when(F.isnan(a) | (a == 0), F.lit(math.nan)).otherwise(sign * F.lit(math.inf))).otherwise(F.try_divide(a, b))
+
+
 class Formula:
     """A recursive-descent parser of + - * / and parentheses; + joins texts."""
 
@@ -128,8 +134,11 @@ def formula(df: DataFrame, new_column: str, formula: str) -> DataFrame:
 class Compiler:
     """Expression trees: {column}, {literal}, {unary, operand}, {binary, left, right}, {function, arguments}, {case, else}."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, keep: bool = False):
+        """keep: results that are infinite or not a number are values and not errors."""
         self.df, self.nodes = df, 0
+        self.finite, self.quotient = (lambda c: c, ieee_quotient) if keep else (finite, quotient)
+        self.keep = keep
 
     def build(self, e: dict, depth: int = 1) -> Typed:
         self.nodes += 1
@@ -178,10 +187,10 @@ class Compiler:
         if op in ("add", "subtract", "multiply", "divide"):
             x, y = only(a, "number"), only(b, "number")
             if op == "divide":
-                if b.constant == 0:
+                if b.constant == 0 and not self.keep:
                     raise PlanError("division by the literal 0")
-                return Typed(quotient(x, y), "number")
-            return Typed(finite({"add": x + y, "subtract": x - y, "multiply": x * y}[op]), "number")
+                return Typed(self.quotient(x, y), "number")
+            return Typed(self.finite({"add": x + y, "subtract": x - y, "multiply": x * y}[op]), "number")
         if "null" not in (a.kind, b.kind) and a.kind != b.kind:
             raise PlanError("values of different types are compared")
         x, y = a.column, b.column
@@ -224,7 +233,7 @@ class Compiler:
             digits = int(a[1].constant) if len(a) > 1 and a[1].constant is not None else 0
             return Typed(F.round(n(0), digits), "number")
         if name == "power":
-            return Typed(finite(F.pow(n(0), n(1))), "number")
+            return Typed(self.finite(F.pow(n(0), n(1))), "number")
         if name == "substring":
             start = refuse(n(1) < 0, "evaluation.negative_position", n(1)).cast("int") + 1
             size = refuse(n(2) < 0, "evaluation.negative_length", n(2)).cast("int") if len(a) > 2 else F.lit(2**31 - 1)
@@ -269,8 +278,11 @@ def constant(v: object) -> Typed:
 
 
 @operation("table.expression")
-def expression(df: DataFrame, output_column: str, expression: dict, output_type: str = "auto") -> DataFrame:
-    out = Compiler(df).build(expression)
+def expression(df: DataFrame, output_column: str, expression: dict, output_type: str = "auto", non_finite: str = "reject") -> DataFrame:
+    """non_finite: "keep" computes as IEEE 754 says, so that a division by 0 is infinite or not a number; else it ends the query."""
+    if non_finite not in ("reject", "keep"):
+        raise PlanError(f"results that are not finite can't be treated by {non_finite!r}")
+    out = Compiler(df, non_finite == "keep").build(expression)
     casts = {"auto": None, "number": "double", "boolean": "boolean", "text": "string", "date32": "date", "timestamp_ms": "timestamp_ntz"}
     if output_type not in casts:
         raise PlanError(f"there is no type {output_type!r}")

@@ -47,3 +47,15 @@ def test_query(spark, tables, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.startswith("scalar_") and "customer" in SQL[n]])
+def test_scalars_of_customers_whose_divisor_is_0(spark, tmp_path, name):
+    rows = [(k, f"Customer#{k:09}", float(n), "BUILDING") for k, n in enumerate([-21, -21, 0, 21, -21.01, 7])]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.id: r.x for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = dict(c.execute(f"SELECT id, x FROM ({SQL[name]})").fetchall())
+    assert {k: plain(x) for k, x in got.items()} == {k: plain(x) for k, x in want.items()}
+    assert name != "scalar_divide" or got[1] == -math.inf

@@ -185,6 +185,18 @@ def test_expressions(unary):
             e(bad)
 
 
+def test_expressions_divide_by_0_as_asked(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (1.0, -0.0), (0.0, 0.0), (float("nan"), 0.0), (None, 0.0), (1.0, None), (1.0, 4.0), (1e300, 1e-300)], "a double, b double")
+    tree = {"binary": "divide", "left": {"column": "a"}, "right": {"column": "b"}}
+    got = [r.r for r in apply("table.expression", df, output_column="r", expression=tree, non_finite="keep").collect()]
+    assert str(got) == "[inf, -inf, -inf, nan, nan, None, None, 0.25, inf]"
+    for rows in (df.where("b = 0"), df.where("a > 2")):
+        with pytest.raises(Exception, match="rejected: evaluation"):
+            apply("table.expression", rows, output_column="r", expression=tree).collect()
+    with pytest.raises(PlanError):
+        apply("table.expression", df, output_column="r", expression=tree, non_finite="drop")
+
+
 def test_joins_with_null_keys(spark):
     left = spark.createDataFrame([(1, "old"), (2, "same"), (3, "gone"), (None, "n")], "id long, value string")
     right = spark.createDataFrame([(1, "new"), (2, "same"), (4, "added"), (None, "m")], "id long, value string")
