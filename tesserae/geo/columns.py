@@ -444,6 +444,113 @@ def related(name: str, a: Columns, b: Columns) -> pa.Array | None:
     return masked(f(inside, on) if f else np.zeros(len(null), bool), null)
 
 
+#: Relations of a line to areas by whether some of it is inside, some outside, and whether they meet; others never hold.
+OF_LINE = {"intersects": lambda i, o, m: m, "disjoint": lambda i, o, m: ~m, "within": lambda i, o, m: i & ~o, "covered_by": lambda i, o, m: m & ~o, "touches": lambda i, o, m: m & ~i, "crosses": lambda i, o, m: i & o}
+MOST_PAIRS = 200_000
+
+
+class Area:
+    """The polygons of one geometry, each a list of rings, against which points and lines are held as planar does, by the same formulas and tolerances."""
+
+    def __init__(self, polygons: list[list[list[tuple[float, float]]]]):
+        self.rings: list[list[int]] = []
+        ends, own = [], []
+        for p in polygons:
+            self.rings.append(list(range(len(own), len(own) + len(p))))
+            for r in p:
+                edges = [(*a, *b) for a, b in zip(r, r[1:], strict=False) if a != b]
+                own.append((len(ends), len(ends) + len(edges)))
+                ends += edges
+        self.own = own
+        self.x, self.y, self.u, self.v = np.array(ends, float).reshape(-1, 4).T
+        self.box = (min(self.x), min(self.y), max(self.x), max(self.y)) if ends else None
+
+    def locate(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """1 inside, 0 on the boundary, -1 outside."""
+        x, y = x[:, None], y[:, None]
+        on = on_segment(x, y, self.x, self.y, self.u, self.v)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            over = ((self.y > y) != (self.v > y)) & (x < (self.u - self.x) * (y - self.y) / (self.v - self.y) + self.x)
+        best = np.full(len(x), -1)
+        for rings in self.rings:
+            at = np.full(len(x), -1)
+            for k, r in enumerate(rings):
+                a, b = self.own[r]
+                ring = np.where(on[:, a:b].any(axis=1), 0, np.where(over[:, a:b].sum(axis=1) % 2 == 1, 1, -1))
+                at = ring if k == 0 else np.where((at == 1) & (ring >= 0), -ring, at)
+            best = np.maximum(best, at)
+        return best
+
+
+def on_segment(x: np.ndarray, y: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """planar.on_segment() of segments that are no points."""
+    scale = np.maximum.reduce(np.broadcast_arrays(*map(np.abs, (ax, ay, bx, by, x, y)), 1e-300))
+    near = np.abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) <= 1e-11 * scale * np.hypot(bx - ax, by - ay)
+    t = 1e-12 * scale
+    return near & (np.minimum(ax, bx) - t <= x) & (x <= np.maximum(ax, bx) + t) & (np.minimum(ay, by) - t <= y) & (y <= np.maximum(ay, by) + t)
+
+
+def touch(x: np.ndarray, y: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether points lie on segments to the last bit, and whether they lie so near that only planar's tolerances can tell."""
+    scale = np.maximum.reduce(np.broadcast_arrays(*map(np.abs, (ax, ay, bx, by, x, y)), 1e-300)) * 1e-8
+    x0, x1, y0, y1 = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+    turn = np.abs((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+    on = (turn == 0) & (x0 <= x) & (x <= x1) & (y0 <= y) & (y <= y1)
+    return on, ~on & (turn <= scale * np.hypot(bx - ax, by - ay)) & (x0 - scale <= x) & (x <= x1 + scale) & (y0 - scale <= y) & (y <= y1 + scale)
+
+
+def lines_to_area(name: str, c: Columns, area: Area) -> tuple[np.ndarray, np.ndarray]:
+    """A relation of the lines of a batch to one area, and the rows that have to be looked at by themselves: corners too near to tell, no length at all.
+
+    Each segment is cut where it meets the area's boundary. What lies between two cuts is
+    inside, on the boundary or outside as its middle is.
+    """
+    inside, outside, meets = (np.zeros(c.rows, bool) for _ in range(3))
+    (x0, y0, x1, y1), none = bounds(c)
+    apart = none | (x1 < area.box[0]) | (area.box[2] < x0) | (y1 < area.box[1]) | (area.box[3] < y0)
+    k = c.steps()
+    k = k[(c.x[k] != c.x[k + 1]) | (c.y[k] != c.y[k + 1])]
+    row = c.row[c.ring[k]]
+    left = ~apart & (np.bincount(row, minlength=c.rows) == 0)
+    k = k[~apart[row]]
+    edges = len(area.x)
+    most = np.maximum.reduce([np.abs(v) for v in (x0, y0, x1, y1)])
+    most = np.maximum(most, max(np.abs(v).max() for v in (area.x, area.y)))
+    for at in range(0, len(k), max(1, MOST_PAIRS // edges)):
+        some = k[at : at + max(1, MOST_PAIRS // edges)]
+        own = c.row[c.ring[some]]
+        ax, ay, bx, by = (v[:, None] for v in (c.x[some], c.y[some], c.x[some + 1], c.y[some + 1]))
+        cx, cy, dx, dy = area.x, area.y, area.u, area.v
+        close = (np.maximum(ax, bx) >= np.minimum(cx, dx)) & (np.maximum(cx, dx) >= np.minimum(ax, bx)) & (np.maximum(ay, by) >= np.minimum(cy, dy)) & (np.maximum(cy, dy) >= np.minimum(ay, by))
+        (first, a), (second, b), (start, e), (stop, f) = (touch(*x) for x in ((cx, cy, ax, ay, bx, by), (dx, dy, ax, ay, bx, by), (ax, ay, cx, cy, dx, dy), (bx, by, cx, cy, dx, dy)))
+        left[own[(a | b | e | f).any(axis=1)]] = True
+        ends = start | stop
+        rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
+        n = rx * sy - ry * sx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((cx - ax) * sy - (cy - ay) * sx) / n
+            u = ((cx - ax) * ry - (cy - ay) * rx) / n
+            cross = close & ~(first | second | ends) & (n != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+            px, py = ax + t * rx, ay + t * ry
+        meets[own[(first | second | ends | cross).any(axis=1)]] = True
+        # all cuts of each segment, from its beginning to its end
+        shape = (len(some), edges)
+        x = np.concatenate([ax, bx, *(np.where(hit, np.broadcast_to(v, shape), ax) for hit, v in ((first, cx), (second, dx), (cross, px)))], axis=1)
+        y = np.concatenate([ay, by, *(np.where(hit, np.broadcast_to(v, shape), ay) for hit, v in ((first, cy), (second, dy), (cross, py)))], axis=1)
+        order = np.argsort((x - ax) * rx + (y - ay) * ry, axis=1, kind="stable")
+        x, y = (np.take_along_axis(v, order, axis=1) for v in (x, y))
+        size = np.hypot(np.diff(x, axis=1), np.diff(y, axis=1))
+        grid = most[own][:, None] * 1e-11  # nearer points are one
+        left[own[((size > 0.9 * grid) & (size < 4 * grid)).any(axis=1)]] = True
+        piece, place = np.nonzero(size >= 4 * grid)
+        middle = area.locate((x[piece, place] + x[piece, place + 1]) / 2, (y[piece, place] + y[piece, place + 1]) / 2)
+        inside[own[piece[middle == 1]]] = True
+        outside[own[piece[middle == -1]]] = True
+        meets[own[piece[middle >= 0]]] = True
+    f = OF_LINE.get(name)
+    return f(inside, outside, meets) if f else np.zeros(c.rows, bool), left & ~c.null
+
+
 def encode(kind: np.ndarray, row: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, null: np.ndarray) -> pa.Array:
     """Points, lines and polygons (kinds 1 to 3) as well-known binary, from their rings in order of rows."""
     rings = np.bincount(row, minlength=len(kind))

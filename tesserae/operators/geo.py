@@ -441,8 +441,16 @@ def _predicate(name: str) -> None:
         h = other(other_wkb)
         raw = bytes.fromhex(other_wkb)
 
+        area = columns.Area([d for _, d in simple(h)]) if h[0] in ("Polygon", "MultiPolygon") else None
+
         def fast(c: columns.Columns) -> pa.Array | None:
-            d = columns.decode(pa.array([raw], pa.binary()).take(pa.array(np.zeros(c.rows, np.int64)))) if set(c.kind[~c.null].tolist()) == {1} else None
+            kinds = set(c.kind[~c.null].tolist())
+            if kinds == {2} and area is not None and area.box is not None:
+                found, left = columns.lines_to_area(name, c, area)
+                for k in np.flatnonzero(left):
+                    found[k] = planar.predicate(name, read_wkb(c.buf[c.offsets[k] : c.offsets[k + 1]].tobytes()), h)
+                return columns.masked(found, c.null)
+            d = columns.decode(pa.array([raw], pa.binary()).take(pa.array(np.zeros(c.rows, np.int64)))) if kinds == {1} else None
             return None if d is None else columns.related(name, c, d)
 
         return measured(planar_only(df), output_column, lambda g: planar.predicate(name, g, h), "boolean", fast=fast)

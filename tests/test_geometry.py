@@ -225,3 +225,36 @@ def test_spatial_joins_with_one_huge_box_behind_a_shuffle(spark):
     pairs = {(x.id, names[x["__right_index"]]) for x in got.select("id", "__right_index").collect()}
     meets = lambda a, b: a[1] <= b[1] + b[3] and b[1] <= a[1] + a[3] and a[2] <= b[2] + b[3] and b[2] <= a[2] + a[3]
     assert pairs == {(a[0], b[0]) for a in small for b in small if meets(a, b)}
+
+
+AREAS = ["POLYGON((5 -1,9 -1,9 1,5 1,5 -1))", "POLYGON((0 0,6 0,6 6,0 6,0 0),(1 1,1 3,3 3,3 1,1 1),(4 4,4 5,5 5,5 4,4 4))", "MULTIPOLYGON(((0 0,2 0,2 2,0 2,0 0)),((2 2,4 2,4 4,2 4,2 2)),((5 0,7 0.5,6 3,5 0)))"]
+
+
+@pytest.mark.parametrize("text", AREAS)
+def test_lines_against_an_area_as_planar_relates_them(text):
+    h, r = codec.read_wkt(text), random.Random(text)
+    place = lambda: (r.choice([r.randint(-1, 8), r.randint(-2, 16) / 2, r.uniform(-1, 8)]), r.choice([r.randint(-1, 7), r.randint(-2, 14) / 2, r.uniform(-1, 7)]))
+    lines = [("LineString", [place() for _ in range(r.choice([2, 2, 3, 5]))]) for _ in range(400)]
+    ring = h[1][0] if h[0] == "Polygon" else h[1][0][0]
+    lines += [("LineString", [(0.0, 0.0), (float(k), 0.0)]) for k in range(1, 12)] + [("LineString", ring), ("LineString", ring[:3]), ("LineString", [(1.0, 1.0), (1.0, 1.0)]), ("LineString", [(50.0, 50.0), (51.0, 50.0)])]
+    lines += [("LineString", [(a[0] + d, a[1]), (b[0], b[1] - d)]) for a in ring for b in ring for d in (1e-9, 1e-11, 1e-13) if a != b]
+    c = columns.decode(pa.array([codec.write_wkb(g) for g in lines], pa.binary()))
+    for name in PREDICATES:
+        found, left = columns.lines_to_area(name, c, columns.Area([d for _, d in codec.simple(h)]))
+        want = [planar.predicate(name, g, h) for g in lines]
+        assert [k for k in range(len(lines)) if found[k] != want[k] and not left[k]] == [], name
+    assert left.mean() < 0.2
+
+
+def test_predicates_of_lines_take_the_batch(spark):
+    texts = [f"LINESTRING(0 0,{k + 1} 0)" for k in range(40)] + ["LINESTRING(0 0,3 0,3 9)"]
+    h = codec.read_wkt(AREAS[0])
+    c = columns.decode(pa.array([codec.write_wkb(codec.read_wkt(t)) for t in texts], pa.binary()))
+    found, left = columns.lines_to_area("crosses", c, columns.Area([h[1]]))
+    assert not left.any() and found.tolist() == [k + 1 > 5 for k in range(40)] + [False]
+    # lengths of nothing and near misses go to planar
+    texts += [None, "LINESTRING(6 0,6 0)", "LINESTRING(5 -1,5.00000000001 1)"]
+    df = apply("geo.from_wkt", spark.createDataFrame(list(enumerate(texts)), "id long, wkt string"), wkt_column="wkt")
+    for name in ("crosses", "touches", "covered_by"):
+        p = apply(f"geo.predicate_{name}", df, other_wkb=codec.write_wkb(h).hex(), output_column="p")
+        assert [r.p for r in p.orderBy("id").collect()] == [None if t is None else planar.predicate(name, codec.read_wkt(t), h) for t in texts]
