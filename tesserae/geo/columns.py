@@ -763,27 +763,41 @@ def densified(c: Columns, step: float) -> pa.Array | None:
     return encode(c.kind.astype(np.int64), c.row, np.bincount(c.ring, weights=n, minlength=len(c.row)).astype(np.int64), x, y, c.null)
 
 
-def distance_to_point(c: Columns, px: float, py: float) -> pa.Array | None:
-    """Of lines, points and polygons to one point; 0 for polygons that cover it."""
+def distance_to_point(c: Columns, px: float | np.ndarray, py: float | np.ndarray) -> pa.Array | None:
+    """Of lines, points and polygons to one point, or to that of each row; 0 for polygons that cover it."""
     n = np.bincount(c.coordinate_rows(), minlength=c.rows)
     if (n[~c.null] == 0).any():
         return None
+    px, py = (np.broadcast_to(np.asarray(v, float), c.rows) for v in (px, py))
     best = np.full(c.rows, np.inf)
     own = c.coordinate_rows()
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
     if len(own):
-        best[own[first]] = np.minimum.reduceat(np.hypot(c.x - px, c.y - py), first)
+        best[own[first]] = np.minimum.reduceat(np.hypot(c.x - px[own], c.y - py[own]), first)
     k = c.steps()
     if len(k):
+        row = c.row[c.ring[k]]
         dx, dy = c.x[k + 1] - c.x[k], c.y[k + 1] - c.y[k]
         m = dx * dx + dy * dy
+        u, v = px[row] - c.x[k], py[row] - c.y[k]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = np.where(m > 0, np.clip(((px - c.x[k]) * dx + (py - c.y[k]) * dy) / m, 0, 1), 0.0)
-        np.minimum.at(best, c.row[c.ring[k]], np.hypot(px - c.x[k] - t * dx, py - c.y[k] - t * dy))
+            t = np.where(m > 0, np.clip((u * dx + v * dy) / m, 0, 1), 0.0)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        best[row[first]] = np.minimum(best[row[first]], np.minimum.reduceat(np.hypot(u - t * dx, v - t * dy), first))
     areal = np.isin(c.kind, (3, 6))
     if areal.any():
-        raw = np.zeros(c.rows, np.dtype([("o", "u1"), ("t", "<u4"), ("x", "<f8"), ("y", "<f8")]))
-        raw["o"], raw["t"], raw["x"], raw["y"] = 1, 1, px, py
-        inside, on = located(decode(fixed(raw, np.zeros(c.rows, bool))), c)
+        inside, on = located(decode(points(px, py, np.zeros(c.rows, bool))), c)
         best[areal & (inside | on)] = 0.0
     return masked(best, c.null)
+
+
+def distance(a: Columns, b: Columns) -> pa.Array | None:
+    """Of the geometries of two columns, one of which has points only; None for other kinds."""
+    for p, g in ((a, b), (b, a)):
+        there = ~(p.null | g.null)
+        if (p.kind[there] == 1).all() and (np.bincount(p.coordinate_rows(), minlength=p.rows)[there] == 1).all():
+            at = np.zeros((2, p.rows))
+            at[:, p.coordinate_rows()] = p.x, p.y
+            found = distance_to_point(g, *at)
+            return found if found is None or not p.null.any() else masked(found.to_numpy(zero_copy_only=False), ~there)
+    return None

@@ -557,12 +557,28 @@ def sjoin(left: DataFrame, right: DataFrame, predicate: str = "intersects") -> D
     return rows.join(hits, F.col("__n") == F.col("ln")).select(*[col(c) for c in data(left)], F.col("rn").alias("__right_index"))
 
 
+def distances(c: columns.Columns, d: columns.Columns) -> pa.Array | None:
+    """planar.distance() of a batch; where hardly anything lies between two, its tolerances tell whether they meet."""
+    found = columns.distance(c, d)
+    if found is None:
+        return None
+    out = found.fill_null(0.0).to_numpy(zero_copy_only=False).copy()
+    scale = np.maximum(*(np.abs(columns.bounds(x)[0]).max(axis=0) for x in (c, d)))
+    for k in np.flatnonzero((out > 0) & (out <= 1e-10 * scale)):
+        out[k] = planar.distance(*(read_wkb(x.buf[x.offsets[k] : x.offsets[k + 1]].tobytes()) for x in (c, d)))
+    return columns.masked(out, c.null | d.null)
+
+
 @operation("geo.nearest", "BB")
 def nearest(left: DataFrame, right: DataFrame, max_distance: float | None = None) -> DataFrame:
-    """All right geometries at the least distance. The search radius doubles for rows that have found none; a row is done when its best lies within the radius."""
+    """All right geometries at the least distance. The search radius grows for rows that have found none; a row is done when its best lies within the radius.
+
+    It begins at the right side's own distances, however many rows the left has. What a round
+    has found is written once, so that later ones don't search again.
+    """
     rows, l, r = sides(left, right)
     on = grid((l, "l"), (r, "r"))
-    size = 2.0**on.least
+    size = 2.0 ** grid((r, "r")).least
     found, todo, radius = None, l, size if max_distance is None else min(size, max_distance)
     b = l.agg(F.min(F.col("lb")["minx"]), F.max(F.col("lb")["maxx"]), F.min(F.col("lb")["miny"]), F.max(F.col("lb")["maxy"])).first()
     c = r.agg(F.min(F.col("rb")["minx"]), F.max(F.col("rb")["maxx"]), F.min(F.col("rb")["miny"]), F.max(F.col("rb")["maxy"])).first()
@@ -572,13 +588,14 @@ def nearest(left: DataFrame, right: DataFrame, max_distance: float | None = None
     while far:
         radius = min(radius, far)
         p = pairs(todo, r, on, radius)
-        near = p.withColumn("distance", each(planar.distance, "double", F.col("lg"), F.col("rg"))).where(F.col("distance") <= radius).select("ln", "rn", "distance")
-        best = near.groupBy("ln").agg(F.min("distance").alias("__best"))
-        hit = near.join(best, "ln").where("distance = __best").select("ln", "rn", "distance")
+        near = p.withColumn("distance", each(planar.distance, "double", F.col("lg"), F.col("rg"), fast=distances)).where(F.col("distance") <= radius).select("ln", "rn", "distance")
+        # few rows for each of the left: those within the radius
+        hit = near.withColumn("__best", F.min("distance").over(Window.partitionBy("ln"))).where("distance = __best").select("ln", "rn", "distance")
+        hit = hit if radius >= far else durable(hit)
         found = hit if found is None else found.unionByName(hit)
         if radius >= far:
             break
-        todo = todo.join(best, "ln", "left_anti")
+        todo = todo.join(hit.select("ln"), "ln", "left_anti")
         radius *= 4
     if found is None:
         found = left.sparkSession.createDataFrame([], "ln long, rn long, distance double")

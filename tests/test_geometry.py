@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.geo import codec, columns, planar, shapes
-from tesserae.operators import apply
+from tesserae.operators import apply, geo
 from tesserae.operators.geo import PREDICATES, with_geometry
 from tesserae.relation import PlanError, with_order
 
@@ -258,3 +258,34 @@ def test_predicates_of_lines_take_the_batch(spark):
     for name in ("crosses", "touches", "covered_by"):
         p = apply(f"geo.predicate_{name}", df, other_wkb=codec.write_wkb(h).hex(), output_column="p")
         assert [r.p for r in p.orderBy("id").collect()] == [None if t is None else planar.predicate(name, codec.read_wkt(t), h) for t in texts]
+
+
+def test_distances_of_a_batch_are_those_of_planar():
+    r = random.Random(6)
+    place = lambda: (float(r.randint(-3, 9)), r.choice([float(r.randint(-3, 9)), r.uniform(-3, 9)]))
+    hs = [codec.read_wkt(t) for t in (*AREAS, "LINESTRING(0 0,3 3,3 9)", "POINT(3 3)", "MULTIPOINT((0 0),(5 5))", "MULTILINESTRING((0 0,1 1),(2 2,3 3))")]
+    pairs_ = [(("Point", place()), r.choice(hs)) for _ in range(2_000)] + [(("Point", (5 - 1e-13, 0.0)), hs[0]), (("Point", (3.0, 3.0 + 1e-14)), hs[3])]
+    g, h = (columns.decode(pa.array([None, *map(codec.write_wkb, x)], pa.binary())) for x in zip(*pairs_, strict=True))
+    want = [planar.distance(*p) for p in pairs_]
+    for one, two in ((g, h), (h, g)):
+        got = geo.distances(one, two).to_pylist()
+        assert got[0] is None and got[1:] == pytest.approx(want, rel=1e-14, abs=0)
+        assert [x == 0 for x in got[1:]] == [x == 0 for x in want]
+    assert columns.distance(h, h) is None
+
+
+@pytest.mark.parametrize("far", [100.0, 20.0, None])
+def test_nearest_of_many_takes_as_few_rounds_as_of_few(spark, monkeypatch, far):
+    rounds, own = [], geo.pairs
+    monkeypatch.setattr(geo, "pairs", lambda *a: rounds.append(a[-1]) or own(*a))
+    r = random.Random(3)
+    points_ = [(r.uniform(0, 1), r.uniform(0, 1)) for _ in range(1_500)] + [(25.0, 5.0), (90.0, 5.0), (170.0, 3.0), (500.0, 0.0)]
+    boxes = [square(x, y, 10) for x, y in ((10, 0), (30, 0), (30, 20), (100, 0))]
+    frames = [with_geometry(spark.createDataFrame([(k, codec.write_wkb(g)) for k, g in enumerate(gs)], "id long, geometry binary")) for gs in ([("Point", p) for p in points_], boxes)]
+    got = sorted((x.id, x.b, x.distance) for x in apply("geo.nearest", *frames, **({"max_distance": far} if far else {})).selectExpr("id", "__right_index as b", "distance").collect())
+    want = []
+    for k, p in enumerate(points_):
+        d = [planar.distance(("Point", p), b) for b in boxes]
+        want += [(k, n, x) for n, x in enumerate(d) if x == min(d) and x <= (far or 1e9)]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert len(rounds) <= {100.0: 3, 20.0: 2}.get(far, 5)
